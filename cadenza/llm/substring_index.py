@@ -1,20 +1,22 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
 A window is ``window`` consecutive words.  Its anchor is the smallest hash of the
-``gram``-word runs in it, so equal windows have equal anchors, and a document has
-about one anchor for every 20 words.  The index is a list of immutable runs,
-sorted by anchor: (anchor, document, digest of its words).
+``gram``-word runs in it, so equal windows have equal anchors.  A segment is a
+maximal run of windows with one anchor, about 20 windows; it is known by its anchor
+and two independent 64-bit hashes of all words under it.  The index is a list of
+immutable runs sorted by anchor: (anchor, s1, s2, smallest document).
 
 Ingesting a batch:
-1. Whole copies of a smaller document, in history or batch, are found by digest.
-2. The batch's anchors are merge-joined with the runs; an anchor counts if two
-   different word sequences have it.  Only membership is joined, so an anchor that
-   a third of all documents share costs one row per document, never pairs.
-3. Of the documents with such anchors, the windows under them are hashed (two
-   independent 64-bit hashes) and the smallest document of each window is found.
-   This verifies: an anchor alone removes nothing.
-4. Words under a window that also starts in a smaller document are removed.
-5. The batch's anchors become a new run; more than ``fanout`` runs are compacted.
+1. The batch's segments are pre-aggregated and merge-joined with the runs: a segment
+   that a smaller document has too is removed whole.
+2. Where one anchor has different segments, single windows can still be equal.  The
+   smallest document of each such segment gives its windows (two hashes), and the
+   smallest document of each window is found: this verifies window by window.
+3. Words under a window that also starts in a smaller document are removed.
+4. The batch's new segments become a run; more than ``fanout`` runs are compacted.
+
+Documents are never paired with each other, so a passage that a third of all of
+them share costs a row per document at most, mostly pre-aggregated.
 
 Windows are judged on the input texts.  Edge cases: null text is empty; texts
 shorter than a window lose nothing; rows with a null id keep all words; rows that
@@ -37,7 +39,6 @@ from cadenza.llm.textarrays import chunks, span_hash, window_hash
 WINDOW = 50
 GRAM = 8
 FANOUT = 4
-EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -82,90 +83,109 @@ def _word_bytes(chunk, i: int, keep: np.ndarray | None = None) -> bytes:
     return data[inside].tobytes()
 
 
+class _Segments:
+    """Maximal runs of windows with one anchor: first window, number of windows, anchor, two hashes of the words under it."""
+
+    def __init__(self, chunk, window: int, gram: int):
+        self.words, self.at, self.anchors = _anchors(chunk.split(), window, gram)
+        at, n = self.at, len(self.at)
+        doc = np.searchsorted(chunk.woff, at, "right") - 1
+        new = np.ones(n, bool)
+        new[1:] = (self.anchors[1:] != self.anchors[:-1]) | (doc[1:] != doc[:-1])
+        self.first = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.first, n))
+        self.doc, self.window_doc = doc[self.first], doc
+        self.start = at[self.first]
+        self.anchor = self.anchors[self.first].view(np.int64)
+        if n:
+            ends = self.start + self.count - 1 + window
+            self.s1 = span_hash(self.words, self.start, ends).view(np.int64)
+            self.s2 = span_hash(chunk.word_hash(seed=1), self.start, ends).view(np.int64)
+        else:
+            self.s1 = self.s2 = np.empty(0, np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """doc_id, n_words, digest (SHA-256 of the words), anchors: one row a document."""
+    """doc_id, n_words, digest (SHA-256 of the words), segments (anchor, s1, s2): one row a document."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column(1)):
-                _, at, anchors = _anchors(c.split(), window, gram)
-                cut = np.searchsorted(at, c.woff)
-                lists = [np.unique(anchors[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                found = _Segments(c, window, gram)
+                offsets = np.searchsorted(found.doc, np.arange(c.n + 1)).astype(np.int32)
+                parts = pa.StructArray.from_arrays([pa.array(x) for x in (found.anchor, found.s1, found.s2)], names=["anchor", "s1", "s2"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[c.lo : c.hi],
                         pa.array(np.diff(c.woff).astype(np.int64)),
                         pa.array([hashlib.sha256(_word_bytes(c, i)).hexdigest() for i in range(c.n)]),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))),
+                        pa.ListArray.from_arrays(offsets, parts),
                     ],
-                    names=["doc_id", "n_words", "digest", "anchors"],
+                    names=["doc_id", "n_words", "digest", "segments"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_words long, digest string, anchors array<long>")
+    schema = f"doc_id {id_type}, n_words long, digest string, segments array<struct<anchor: long, s1: long, s2: long>>"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, digest, at, h1, h2: the windows of each text whose anchor is in its ``shared`` list."""
+    """doc_id, h1, h2: the windows of each text whose anchor is in its ``shared`` list."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             shared = batch.column(2)
             for c in chunks(batch.column(1)):
-                words, at, anchors = _anchors(c.split(), window, gram)
-                if not len(at):
-                    continue
-                cut = np.searchsorted(at, c.woff)
-                keep = np.zeros(len(at), bool)
+                found = _Segments(c, window, gram)
+                keep = np.zeros(len(found.first), bool)
+                cut = np.searchsorted(found.doc, np.arange(c.n + 1))
                 for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                    if a < b:
-                        keep[a:b] = np.isin(anchors[a:b].view(np.int64), shared[c.lo + i].values.to_numpy())
-                at = at[keep]
-                doc = np.searchsorted(c.woff, at, "right") - 1
-                digests = pa.array([hashlib.sha256(_word_bytes(c, i)).hexdigest() for i in range(c.n)])
-                other = c.word_hash(seed=1)
+                    keep[a:b] = np.isin(found.anchor[a:b], shared[c.lo + i].values.to_numpy())
+                keep = np.repeat(keep, found.count)
+                at, doc = found.at[keep], found.window_doc[keep]
+                h1 = window_hash(found.words, at, window).view(np.int64)
+                h2 = window_hash(c.word_hash(seed=1), at, window).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[c.lo : c.hi].take(pa.array(doc)),
-                        digests.take(pa.array(doc)),
-                        pa.array((at - c.woff[doc]).astype(np.int32)),
-                        pa.array(window_hash(words, at, window).view(np.int64)),
-                        pa.array(span_hash(other, at, at + window).view(np.int64) if len(at) else np.empty(0, np.int64)),
-                    ],
-                    names=["doc_id", "digest", "at", "h1", "h2"],
+                    [batch.column(0)[c.lo : c.hi].take(pa.array(doc)), pa.array(h1), pa.array(h2)], names=["doc_id", "h1", "h2"]
                 )
 
-    return texts.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {id_type}, digest string, at int, h1 long, h2 long")
+    return texts.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {id_type}, h1 long, h2 long")
 
 
-def _cut(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, digest, n_removed, kept (the words that stay): texts without the windows in ``at``."""
+def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, digest, n_removed, kept (the words that stay): texts without the listed segments and windows."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column(1)):
-                c.split()
-                digests, removed, kept = [], [], []
-                for i in range(c.n):
-                    n = c.woff[i + 1] - c.woff[i]
-                    edge = np.zeros(n + 1, np.int32)
-                    at = batch.column(2)[c.lo + i].values.to_numpy()
-                    at = at[at + window <= n]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    digests.append(hashlib.sha256(_word_bytes(c, i)).hexdigest())
-                    removed.append(int(n - keep.sum()))
-                    kept.append(_word_bytes(c, i, keep).decode())
+                found = _Segments(c, window, gram)
+                hashes = window_hash(found.words, found.at, window).view(np.int64)
+                cut = np.searchsorted(found.doc, np.arange(c.n + 1))
+                gone = np.zeros(len(found.at), bool)
+                for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                    if a == b:
+                        continue
+                    listed = batch.column(2)[c.lo + i].values.to_numpy()
+                    lo, hi = found.first[a], found.first[b - 1] + found.count[b - 1]
+                    gone[lo:hi] = np.repeat(np.isin(found.s1[a:b], listed), found.count[a:b]) | np.isin(hashes[lo:hi], listed)
+                edge = np.zeros(len(found.words) + 1, np.int32)
+                np.add.at(edge, found.at[gone], 1)
+                np.add.at(edge, found.at[gone] + window, -1)
+                stay = np.cumsum(edge[:-1]) == 0
+                docs = [stay[a:b] for a, b in zip(c.woff[:-1], c.woff[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[c.lo : c.hi], pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                    [
+                        batch.column(0)[c.lo : c.hi],
+                        pa.array([hashlib.sha256(_word_bytes(c, i)).hexdigest() for i in range(c.n)], pa.string()),
+                        pa.array([int((~x).sum()) for x in docs], pa.int64()),
+                        pa.array([_word_bytes(c, i, x).decode() for i, x in enumerate(docs)], pa.string()),
+                    ],
                     names=["doc_id", "digest", "n_removed", "kept"],
                 )
 
-    return texts.select("doc_id", "text", "at").mapInArrow(run, f"doc_id {id_type}, digest string, n_removed long, kept string")
+    return texts.select("doc_id", "text", "gone").mapInArrow(run, f"doc_id {id_type}, digest string, n_removed long, kept string")
 
 
 class FingerprintIndex:
@@ -184,71 +204,52 @@ class FingerprintIndex:
         return out
 
     def add_run(self, rows: DataFrame) -> None:
+        """Write (anchor, s1, s2, doc_id) as a run sorted by anchor."""
         path = f"{self.folder}/run-{len(self.runs)}-{uuid.uuid4().hex}"
-        rows.repartitionByRange("anchor").sortWithinPartitions("anchor", "doc_id").write.option("compression", "zstd").parquet(path)
+        rows.repartitionByRange("anchor").sortWithinPartitions("anchor", "s1").write.option("compression", "zstd").parquet(path)
         self.runs.append(path)
         if len(self.runs) > self.fanout:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run; the old runs' files stay until their readers are done."""
-        merged, self.runs = self.history(), []
+        """Merge all runs into one, a row per segment; the old files stay until their readers are done."""
+        merged, self.runs = self.history().groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("doc_id")), []
         self.add_run(merged)
 
     def ingest(self, batch: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, n_words, n_removed, kept (null if nothing or all is removed), digest: one row per row of batch.
+        """doc_id, n_words, n_removed, kept (null if nothing is removed), digest: one row per row of batch.
 
         ``texts`` holds the texts of history and batch; ids of the batch should be
         larger than those of history, as words are removed from the larger id.
         """
         prints = written(fingerprints(batch, id_col, text_col, self.window, self.gram), "prints")
+        own = prints.filter("doc_id IS NOT NULL").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+        key = ["anchor", "s1", "s2"]
+        fresh = written(own.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("again")), "fresh")
         old = self.history()
-        own = prints.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
-        # a history document's digest row has a null anchor
-        digests = prints.filter("doc_id IS NOT NULL").select("digest", "doc_id")
+        firsts = fresh.withColumn("new", F.lit(True))
         if old is not None:
-            digests = digests.unionByName(old.filter("anchor IS NULL").select("digest", "doc_id"))
-            own = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-        firsts = prints.join(own, "digest").filter("doc_id = first")
-        fresh_rows = firsts.select(F.explode("anchors").alias("anchor"), "doc_id", "digest").unionByName(
-            firsts.select(F.lit(None).cast("long").alias("anchor"), "doc_id", "digest")
-        )
-        fresh_rows = written(fresh_rows.distinct(), "fresh")
-        new = fresh_rows.filter("anchor IS NOT NULL")
-        sides = new.withColumn("new", F.lit(True))
+            known = old.groupBy(*key).agg(F.min("doc_id").alias("was"))
+            firsts = fresh.join(known.hint("merge"), key, "left")
+            firsts = firsts.select(*key, F.least("doc_id", "was").alias("doc_id"), (F.col("again") | F.col("was").isNotNull()).alias("again"), F.col("was").isNull().alias("new"))
+        # whole segments that a smaller document has too
+        gone = own.join(firsts.filter("again").select(*key, F.col("doc_id").alias("first")), key).filter("first < doc_id").select("doc_id", F.col("s1").alias("h"))
+        # anchors with different segments, at least one of them new: their windows are compared one by one
+        sides = firsts.filter("new").select(*key, "doc_id", "new")
         if old is not None:
-            sides = sides.unionByName(old.filter("anchor IS NOT NULL").withColumn("new", F.lit(False)))
-        shared = (
-            sides.groupBy("anchor")
-            .agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.bool_or("new").alias("new"))
-            .filter("new AND a <> b")
-            .select("anchor")
-        )
-        lists = sides.drop("new", "digest").join(shared.hint("merge"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+            sides = sides.unionByName(old.select(*key, "doc_id", F.lit(False).alias("new")))
+        variants = sides.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_or("new").alias("new")).filter("n > 1 AND new").select("anchor")
+        lists = sides.join(variants.hint("merge"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
         source = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        source = written(source.join(lists, "doc_id"), "shared-texts")
-        windows = _windows(source, self.window, self.gram)
-        windows = written(windows, "windows")
+        windows = written(_windows(source.join(lists, "doc_id"), self.window, self.gram), "windows")
         first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-        mine = windows.join(new.select("doc_id").distinct(), "doc_id", "left_semi") if old is not None else windows
-        spans = mine.join(first, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
-        cut = _cut(source.drop("shared").join(spans.select("doc_id", "at", F.col("digest").alias("_of")), "doc_id"), self.window)
-        cut = written(cut.join(spans.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]), "cut")
-        out = (
-            prints.select("doc_id", "n_words", "digest")
-            .join(own, "digest", "left")
-            .join(cut, ["doc_id", "digest"], "left")
-        )
-        copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= self.window)
-        out = out.select(
-            "doc_id",
-            "n_words",
-            F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-            "digest",
-        )
-        out = written(out, "deduplicated")
-        self.add_run(fresh_rows.select("anchor", "doc_id", "digest"))
+        more = windows.join(first, ["h1", "h2"]).filter("first < doc_id").select("doc_id", F.col("h1").alias("h"))
+        listed = gone.unionByName(more).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+        of_batch = batch.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        cut = _cut(of_batch.join(listed, "doc_id"), self.window, self.gram).dropDuplicates(["doc_id", "digest"])
+        out = prints.select("doc_id", "n_words", "digest").join(cut, ["doc_id", "digest"], "left")
+        out = written(out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept", "digest"), "deduplicated")
+        self.add_run(firsts.filter("new").select(*key, "doc_id"))
         return out
 
 
