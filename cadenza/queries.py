@@ -1,5 +1,33 @@
 """Registry of all queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.operators import catalogue, integrity, resolution, scoring, search, text
+from cadenza.plans.oracles import ORACLES as _ORACLES
+from cadenza.sources.catalogue import Catalogue
+
 FLAGSHIP = "artist_counts"
+
+
+def _query(f: Callable[..., DataFrame], *args, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(Catalogue(spark, sf_dir), *args, **options)
+
+
+_MODULES = {
+    catalogue: "artist_counts kind_counts recent_recordings favourites on_this_day venue_counts genre_counts musician_counts role_counts top_acts_of_venue instruments show_places track_places first_images image_chain personnel",
+    integrity: "visible_recordings visible_counts orphan_acts owed_recordings wiped_personnel replaced_slice upserted",
+    scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence",
+    resolution: "tiered_lookup gram_frequency fuzzy_candidates similar_names content_duplicates sole_owner stable_sample dominant_place capped_aliases popularity area_chain",
+    text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
+}
+QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.items() for name in names.split()}
+QUERIES |= {
+    "search_one_term": _query(search.search, ("widget",)),
+    "search_two_terms": _query(search.search, ("red", "widget")),
+    "search_month": _query(search.search_dated, 1997, 5),
+}
+ORACLES = {k: v for k, v in _ORACLES.items() if k in QUERIES}
