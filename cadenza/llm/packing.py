@@ -34,29 +34,27 @@ MERGED = 1 << 62
 
 
 class Packer:
-    """Open windows of one partition.  place() returns (window, offset); emitted windows are closed."""
+    """Open windows of one partition.  place() returns (window, offset, windows that are closed now)."""
 
     def __init__(self, size: int, most: int, first: int):
         self.size, self.most, self.next = size, most, first
         self.open: list[tuple[int, int]] = []  # (room left, window), sorted
 
-    def new(self) -> int:
-        self.next += 1
-        return self.next - 1
-
-    def place(self, length: int) -> tuple[int, int]:
-        if length == self.size:
-            return self.new(), 0
+    def place(self, length: int) -> tuple[int, int, list[int]]:
+        closed = []
         at = bisect_left(self.open, (length, -1))
         if at < len(self.open):
             room, window = self.open.pop(at)
         else:
-            if len(self.open) >= self.most:
-                self.open.pop(0)  # the fullest is emitted
-            room, window = self.size, self.new()
+            if length < self.size and len(self.open) >= self.most:
+                closed.append(self.open.pop(0)[1])  # the fullest is emitted
+            room, window = self.size, self.next
+            self.next += 1
         if room > length:
             insort(self.open, (room - length, window))
-        return window, self.size - room
+        else:
+            closed.append(window)
+        return window, self.size - room, closed
 
 
 def pack(
@@ -71,44 +69,39 @@ def pack(
     """doc_id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset: a row per piece."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "part"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "part", "closed"]
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        packer = Packer(window, open_windows, part << 32)
+        packer, held, ready = Packer(window, open_windows, part << 32), {}, []  # held: pieces of the open windows
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text, folder), np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
-                    seq, offset = packer.place(len(piece))
-                    rows.append((doc_id, start, len(piece), piece.tobytes(), len(ids), seq, offset, part))
-                if len(rows) >= 4096:
-                    yield table(rows, batch.schema.field(0).type)
-                    rows = []
-            if rows:
-                yield table(rows, batch.schema.field(0).type)
-        still = [w for _, w in packer.open]
-        if still:
-            n = len(still)
-            empty = [pa.nulls(n, t) for t in (id_arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(still, pa.int64()), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int64())], names=names)
+                    seq, offset, closed = packer.place(len(piece))
+                    held.setdefault(seq, []).append((doc_id, start, len(piece), piece.tobytes(), len(ids), seq, offset))
+                    for w in closed:
+                        ready += held.pop(w)
+                if len(ready) >= 4096:
+                    yield table(ready, part, True)
+                    ready = []
+        if ready:
+            yield table(ready, part, True)
+        if held:
+            yield table([row for rows in held.values() for row in rows], part, False)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_arrow = to_arrow_type(docs.schema[id_col].dataType)
+    types = [to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-    def table(rows, id_arrow):
-        types = [id_arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    def table(rows, part, closed):
+        ends = [pa.array([part] * len(rows), pa.int64()), pa.array([closed] * len(rows), pa.bool_())]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *ends], names=names)
 
-    # Rows without a length name the windows that were open at their partition's end.
-    pieces = written(docs.select(id_col, text_col).mapInArrow(run, schema + ", part long"), "pieces")
-    still_open = pieces.filter("length IS NULL").select("sequence_id")
-    placed = pieces.filter("length IS NOT NULL")
-    closed = placed.join(still_open, "sequence_id", "left_anti").drop("part")
-    rest = placed.join(still_open, "sequence_id", "left_semi")
+    pieces = written(docs.select(id_col, text_col).mapInArrow(run, schema + ", part long, closed boolean"), "pieces")
+    closed = pieces.filter("closed")
+    rest = pieces.filter("NOT closed")
 
     def merge(key, group):
         seq, offset, length = (group.column(c).to_numpy() for c in ("sequence_id", "offset", "length"))
@@ -117,13 +110,13 @@ def pack(
         packer = Packer(window, len(windows) + 1, MERGED | (key[0].as_py() << 32))
         to, shift = np.empty(len(windows), np.int64), np.empty(len(windows), np.int64)
         for i in np.argsort(-fill, kind="stable"):
-            to[i], shift[i] = packer.place(int(fill[i]))
+            to[i], shift[i], _ = packer.place(int(fill[i]))
         group = group.set_column(group.schema.get_field_index("sequence_id"), "sequence_id", pa.array(to[inverse]))
         group = group.set_column(group.schema.get_field_index("offset"), "offset", pa.array(offset + shift[inverse]))
-        return group.select(names[:-1])
+        return group.select(names[:-2])
 
     merged = rest.withColumn("group", F.expr(f"part div {merge_partitions}")).groupBy("group").applyInArrow(merge, schema)
-    return closed.select(*names[:-1]).unionByName(merged.select(*names[:-1]))
+    return closed.select(*names[:-2]).unionByName(merged.select(*names[:-2]))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
