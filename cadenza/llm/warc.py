@@ -77,10 +77,8 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         .write.option("compression", "zstd")
         .parquet(f"{folder}/headers")
     )
-    keys = firsts.select(F.col("digest").alias("_digest"), F.col("first_page").alias("_first"))
     (
-        pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-        .join(keys, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_first")), "left_semi")
+        pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
         .groupBy("digest")
         .agg(F.first("payload").alias("payload"))
         .write.option("compression", "zstd")
