@@ -130,7 +130,7 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "street":
             follow = text[last + 1 : last + 2]
             low = max(upto["address"], at - _LOOK_BACK)
-            if not follow.isalnum() and (m := _STREET.search(text[low : at + 1])):
+            if not follow.isalnum() and (m := _STREET.search(text[low:at])):
                 take("address", low + m.start(1), last + 1, True)
     return [(k, a, b) for k in KINDS for a, b in out[k]]
 
