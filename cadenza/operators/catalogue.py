@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.catalogue import Catalogue
 
-PUBLISHED = F.lit("library")
-
 
 def published(col: str = "location") -> Column:
     return F.col(col) == "library"
