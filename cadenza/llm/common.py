@@ -54,7 +54,18 @@ def encode(text: str | None, folder: str | None = None):
     return byte_bpe(folder).encode_to_numpy(text or "", allowed_special="all")
 
 
+#: Rows of an Arrow batch: what a Python worker holds at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, as texts can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -73,6 +84,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)

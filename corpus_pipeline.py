@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import read, written
+from cadenza.llm.common import read, small_batches, written
 from cadenza.llm.decontaminate import contaminated
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.packing import pack
@@ -50,6 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, personal data replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     return redacted(docs, "text", "n_chars")
 
 
