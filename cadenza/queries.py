@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, integrity, resolution, scoring, search, text
+from cadenza.operators import catalogue, integrity, matching, ranking, resolution, scoring, search, text
 from cadenza.plans.oracles import ORACLES as _ORACLES
+from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.sources.catalogue import Catalogue
 
 FLAGSHIP = "artist_counts"
@@ -22,6 +23,8 @@ _MODULES = {
     integrity: "visible_recordings visible_counts orphan_acts owed_recordings wiped_personnel replaced_slice upserted",
     scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence",
     resolution: "tiered_lookup gram_frequency fuzzy_candidates similar_names content_duplicates sole_owner stable_sample dominant_place capped_aliases popularity area_chain",
+    ranking: "round_robin lead_first queue_order collision_names natural_keys release_choice date_spans status_buckets grid_search next_places",
+    matching: "equal_sets dated_names shows_covering unique_date_matches tiered_match title_overlap engineer_roles only_users run_changes field_report verdict_reasons shelf_pool",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
 QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.items() for name in names.split()}
@@ -30,4 +33,4 @@ QUERIES |= {
     "search_two_terms": _query(search.search, ("red", "widget")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in _ORACLES.items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE).items() if k in QUERIES}
