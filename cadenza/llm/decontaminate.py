@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Every k-gram of lower-cased words of the test items is a seed.
-2. One pass over all whole documents counts each seed in the corpus.  A seed of an
-   item is rare if it occurs at most ``ratio`` times as often as the item's median
-   seed; so at least half of an item's seeds are rare, at every size of corpus.
-3. A second pass cuts a passage around every run of rare seeds.  Passages join
-   test items on their seeds.
-4. Each (passage, item) pair is aligned once (match 2, mismatch -1, gap -1).  The
-   score is that of the best local alignment over that of a whole verbatim copy; a
-   pair at or above ``least`` is contaminated, edited and paraphrased copies included.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Every k-gram of lower-cased words of the test items is a seed, however often
+   the corpus has it.
+2. One pass over all whole documents cuts a passage around every run of seeds.
+3. Distinct passages join test items on their seeds, so copies are aligned once.
+4. A (passage, item) pair whose passage holds too few of the item's words to reach
+   ``least`` is left out (no alignment scores more than its matches); all others are
+   aligned (match 2, mismatch -1, gap -1).  The score is that of the best local
+   alignment over that of a whole verbatim copy; a pair at or above ``least`` is
+   contaminated, edited and paraphrased copies included.
 
 Only the item side is held by the tasks, in blocks of at most ``block`` seeds (8
 bytes each), one pass a block; documents are never collected or cut short.
@@ -31,7 +31,6 @@ from cadenza.llm.textarrays import chunks, window_hash
 
 K = 4
 LEAST = 0.5
-RATIO = 4.0
 BLOCK = 2_000_000
 #: Words of a passage before and after its seeds, and the gap that ends a run of seeds.
 PAD, GAP = 64, 64
@@ -106,25 +105,8 @@ def _sizes(rows: list[tuple[int, int]]) -> dict[int, Seeds]:
     return {k: Seeds(np.array(v, np.int64).view(np.uint64)) for k, v in by.items()}
 
 
-def seed_counts(docs: DataFrame, text_col: str, rows: list[tuple[int, int]]) -> DataFrame:
-    """seed, n: occurrences in all documents (seeds that occur nowhere are absent)."""
-    held = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches):
-        sizes = _sizes(held.value)
-        total: dict[int, int] = {}
-        for batch in batches:
-            for c in chunks(batch.column(0)):
-                for _, _, _, grams in _hits(c.split(), sizes):
-                    for g, n in zip(*np.unique(grams.view(np.int64), return_counts=True)):
-                        total[int(g)] = total.get(int(g), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["seed", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("df"))
-
-
 def passages(docs: DataFrame, id_col: str, text_col: str, rows: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, first (word number), words, seeds: a row per run of rare seeds in a document."""
+    """doc_id, first (word number), words, seeds: a row per run of seeds in a document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(rows)
     names = ["doc_id", "first", "words", "seeds"]
@@ -188,61 +170,53 @@ def contaminated(
     item_text: str = "text",
     k: int = K,
     least: float = LEAST,
-    ratio: float = RATIO,
     block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: the best alignment of every contaminated pair."""
     seeds = written(item_seeds(items, item_id, item_text, k).withColumn("k", F.least("n", F.lit(k)).cast("int")), "seeds")
     distinct = seeds.select("seed", "k").distinct()
     n_blocks = max(1, -(-distinct.count() // block))
-    counts = rare = hits = None
-    blocks = [distinct.filter(F.pmod(F.col("seed"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    for part in blocks:  # each block is at most about ``block`` seeds
-        one = seed_counts(docs, text_col, [(r.seed, r.k) for r in part.collect()])
-        counts = one if counts is None else counts.unionByName(one)
-    known = seeds.select("item_id", "seed", "k").join(counts, "seed", "left").fillna(0, ["df"])
-    median = known.filter("df > 0").groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("median"))
-    rare = written(known.filter("df > 0").join(median, "item_id").filter(F.col("df") <= ratio * F.col("median")).select("item_id", "seed", "k"), "rare")
-    for b in range(n_blocks):
-        part = rare.select("seed", "k").distinct().filter(F.pmod(F.col("seed"), F.lit(n_blocks)) == b)
+    hits = None
+    for b in range(n_blocks):  # each block is at most about ``block`` seeds
+        part = distinct.filter(F.pmod(F.col("seed"), F.lit(n_blocks)) == b)
         one = passages(docs, id_col, text_col, [(r.seed, r.k) for r in part.collect()])
         hits = one if hits is None else hits.unionByName(one)
-    hits = written(hits.withColumn("passage", F.monotonically_increasing_id()), "passages")
-    pairs = (
-        hits.select("passage", F.explode("seeds").alias("seed"))
-        .join(rare.select("seed", "item_id"), "seed")
-        .groupBy("passage", "item_id")
-        .agg(F.count("*").alias("shared"))
-    )
+    hits = written(hits.withColumn("passage", F.sha2("words", 256)), "passages")
+    pairs = hits.select("passage", F.explode("seeds").alias("seed")).distinct().join(seeds.select("seed", "item_id"), "seed").select("passage", "item_id").distinct()
+    shapes = hits.select("passage", "words").dropDuplicates(["passage"])
     texts = seeds.groupBy("item_id").agg(F.min("words").alias("item_words"))
-    both = pairs.join(hits.drop("seeds"), "passage").join(texts, "item_id")
-    id_type, item_type = (both.schema[c].dataType for c in ("doc_id", "item_id"))
+    both = pairs.join(shapes, "passage").join(texts, "item_id")
+    item_type = both.schema["item_id"].dataType
     schema = T.StructType(
         [
-            T.StructField("doc_id", id_type),
+            T.StructField("passage", T.StringType()),
             T.StructField("item_id", item_type),
             T.StructField("score", T.DoubleType()),
-            T.StructField("start_word", T.LongType()),
-            T.StructField("end_word", T.LongType()),
+            T.StructField("a", T.LongType()),
+            T.StructField("b", T.LongType()),
         ]
     )
 
     def verify(batches):
         for batch in batches:
-            score, start, end = [], [], []
-            for item, passage, first in zip(*(batch.column(c).to_pylist() for c in ("item_words", "words", "first"))):
-                s, a, b = align(np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64))
-                score.append(s), start.append(first + a), end.append(first + b)
+            rows = []
+            for i, (item, passage) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_words", "words")))):
+                item, passage = np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64)
+                if np.isin(item, passage).sum() / len(item) >= least and (found := align(item, passage))[0] >= least:
+                    rows.append((i, *found))
+            at, score, start, end = zip(*rows) if rows else [()] * 4
+            own = batch.select(["passage", "item_id"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                [*own.columns, pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                 names=[f.name for f in schema],
             )
 
+    aligned = both.select("passage", "item_id", "item_words", "words").mapInArrow(verify, schema)
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
     return (
-        both.select("doc_id", "item_id", "item_words", "words", "first")
-        .mapInArrow(verify, schema)
-        .filter(F.col("score") >= least)
+        hits.select("doc_id", "first", "passage")
+        .join(aligned, "passage")
+        .select("doc_id", "item_id", "score", (F.col("first") + F.col("a")).alias("start_word"), (F.col("first") + F.col("b")).alias("end_word"))
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")

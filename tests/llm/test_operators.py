@@ -162,6 +162,20 @@ def test_decontamination_finds_edited_copies(spark, docs):
     assert set(got) == {(9, 1), (10, 1)} and all(s >= 0.5 for s in got.values())
 
 
+@pytest.mark.parametrize("part", [True, False])
+def test_decontamination_finds_a_large_group_of_edited_copies(spark, part):
+    r = np.random.RandomState(3)
+    fill = lambda n: [f"f{x}" for x in r.randint(0, 10**6, n)]
+    item = [f"w{i}" for i in range(40)]
+    copy = item[:21] if part else [x if i % 6 != 5 else "edit" for i, x in enumerate(item)]  # fewer than half of the seeds
+    rows = [(0, [*fill(30), *item, *fill(30)])] + [(i, [*fill(30), *copy, *fill(30)]) for i in range(1, 1001)]
+    group = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: (x.score, x.start_word, x.end_word) for x in decontaminate.contaminated(group, items).collect()}
+    assert set(got) == set(range(1001)) and got[0] == (1.0, 30, 70)
+    assert {got[i] for i in range(1, 1001)} == {(0.525, 30, 51) if part else (0.775, 30, 70)}
+
+
 def test_align_is_smith_waterman():
     r = np.random.RandomState(0)
     for _ in range(30):
