@@ -200,6 +200,17 @@ def test_attention_gradient_and_scores_once():
         assert g[at] == pytest.approx(slope, abs=1e-4)
 
 
+def test_lm_trains_on_whole_texts(docs):
+    want, got = collections.Counter(), collections.Counter()
+    for _, t in rows_of(docs):
+        ids = [attention_lm.BOS, *encode((t or "").translate(LOW)).tolist(), attention_lm.END]
+        want.update(zip(ids, ids[1:]))
+    for r in attention_lm.training_windows(docs, "text", None).collect():
+        w = np.frombuffer(r.ids, np.int32).reshape(-1, attention_lm.WINDOW + 1)
+        got.update((a, b) for x in w.tolist() for a, b in zip(x, x[1:]) if b >= 0)
+    assert got == want
+
+
 def test_lm_base(docs):
     training, counts = [], collections.Counter()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
