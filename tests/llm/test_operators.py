@@ -200,6 +200,24 @@ def test_attention_gradient_and_scores_once():
         assert g[at] == pytest.approx(slope, abs=1e-4)
 
 
+def test_attention_gradient_leaves_out_what_fills_up():
+    r = np.random.RandomState(2)
+    p = attention_lm.unpack(attention_lm.initial(np.ones(attention_lm.CLASSES), np.ones((attention_lm.INPUTS, attention_lm.CLASSES))))
+    x, y = r.randint(0, 50, (1, 16)), r.randint(0, attention_lm.CLASSES, (1, 16))
+    loss, g = attention_lm.gradients(p, x[:, :5], y[:, :5])
+    y[:, 5:] = -1
+    filled, h = attention_lm.gradients(p, x, y)
+    assert filled == pytest.approx(loss) and np.allclose(g, h, atol=1e-6)
+
+
+def test_lm_trains_on_short_texts(spark):
+    short = spark.createDataFrame([(f"text {i}",) for i in range(20)], "text string")
+    vocab, flat = attention_lm.fit(short, "text")
+    end = vocab.cls[attention_lm.END]
+    start = np.log(vocab.class_counts[end] / vocab.class_counts.sum())
+    assert attention_lm.unpack(flat)["b"][end] != pytest.approx(start, abs=1e-6)
+
+
 def test_lm_trains_on_whole_texts(docs):
     want, got = collections.Counter(), collections.Counter()
     for _, t in rows_of(docs):
