@@ -4,16 +4,12 @@ Two public vocabularies read every whole text: the byte-level BPE gives
 characters per token and the entropy of its tokens; the piece vocabulary gives
 the share of its tokens that fall back to bytes.  A document is rejected when a
 measure leaves the band of its language, or of its script where the language has
-no band.  The fixed bands are wide; inside them, the band of characters per token
-is narrowed to the median and ``spread`` robust deviations (interquartile range
-over 1.349) of all documents of that language or script that pass the base rule.
+no band.  The bands are fixed, so a document's verdict depends on no other row.
 Byte tokens for ASCII (line ends) are not counted as fallback.
 
 Edge cases: null or blank texts have no words, fail the base rule and measure 0;
 null or unknown languages use their script's bands; repeated rows are judged
-each.  The texts are read once; the measures (a row of numbers a document) are
-written to the shared folder, and one row of quantiles per band is collected (at
-most as many as there are bands in the parameters).
+each.  The texts are read once, and nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -26,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import encode, read, vocabulary_path, written
+from cadenza.llm.common import encode, read, vocabulary_path
 from cadenza.llm.textarrays import chunks, statistics
 
 
@@ -123,22 +119,9 @@ def measures(
     return docs.select(*cols).mapInArrow(run, SCHEMA.format(id=id_type))
 
 
-def fertility_rules(docs: DataFrame, spread: float = 5.0, least: int = 200, **options) -> DataFrame:
-    """Measures and verdict.  Bands with fewer than ``least`` documents keep their fixed limits."""
-    found = written(measures(docs, **options), "fertility")
-    rows = (
-        found.filter(~F.col("base_failed"))
-        .groupBy("band")
-        .agg(F.count("*").alias("n"), F.percentile_approx("chars_per_token", [0.25, 0.5, 0.75], 10_000).alias("q"))
-        .filter(F.col("n") >= least)
-        .collect()
-    )
-    usual = F.lit(True)
-    for r in rows:
-        reach = spread * max((r.q[2] - r.q[0]) / 1.349, 0.01 * r.q[1])
-        inside = F.col("chars_per_token").between(r.q[1] - reach, r.q[1] + reach)
-        usual = F.when(F.col("band") == r.band, inside).otherwise(usual)
-    return found.withColumn("kept", ~F.col("base_failed") & F.col("in_band") & usual)
+def fertility_rules(docs: DataFrame, **options) -> DataFrame:
+    """Measures and verdict."""
+    return measures(docs, **options).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

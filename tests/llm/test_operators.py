@@ -55,6 +55,17 @@ def test_fertility_base_counts(docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_fertility_verdict_does_not_depend_on_the_table(spark):
+    r = np.random.RandomState(4)
+    usual = "house water light world river stone green table music paper night small great place right point story young white horse".split()
+    short = "of to in it is be as at so we he by or on do if me my up an go no us am the and for are but not you all any can had her".split()
+    text = lambda words: " ".join(r.choice(words, 80))
+    rows = [(0, text(short), "en")] + [(i, text(usual), "en") for i in range(1, 251)]
+    large = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [fertility.fertility_rules(t).filter("doc_id = 0").first().kept for t in (large.filter("doc_id < 150"), large)]
+    assert kept == [True, True]
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components(docs, k, percent):
     rows = rows_of(docs)
