@@ -19,7 +19,7 @@ def act_core(name: Column) -> Column:
 
 
 def tiered_lookup(c: Catalogue) -> DataFrame:
-    """Each part name against brand-named acts: exact key, else first word, else core; the smallest id of the first tier that hits."""
+    """Each part name against every tenth part's name, as in the SQL: exact key, else first word; the smallest id of the first tier that hits."""
     acts = c.table("part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key")).filter("id % 10 = 0")
     exact = acts.groupBy("key").agg(F.min("id").alias("exact"))
     first = acts.groupBy(F.substring_index("key", " ", 1).alias("head")).agg(F.min("id").alias("by_head"))
@@ -41,7 +41,7 @@ def gram_frequency(c: Catalogue) -> DataFrame:
 
 
 def fuzzy_candidates(c: Catalogue, rarest: int = 6, least: float = 0.3) -> DataFrame:
-    """Distinct part names against each other on their rarest trigrams, weighed by rarity, kept by Jaccard."""
+    """Distinct part names against each other on their rarest trigrams, kept by Jaccard."""
     names = c.table("part").select(F.lower("p_name").alias("name")).distinct()
     rows = names.select("name", F.explode(grams(F.col("name"))).alias("gram"))
     freq = rows.groupBy("gram").agg(F.count("*").alias("df"))
