@@ -73,6 +73,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local default only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = os.path.join(tempfile.gettempdir(), "cadenza-shared")
@@ -87,7 +89,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+    out = df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_path", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
