@@ -1,17 +1,23 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every k-gram of lower-cased words of the test items is a seed, however often
-   the corpus has it.
-2. One pass over all whole documents cuts a passage around every run of seeds.
+1. Every k-gram of lower-cased words of the test items is a seed.  Seeds are counted
+   over the corpus' passages, and a passage meets an item on the rarest seed that they share.
+2. One pass over all whole documents cuts a passage around every run of seeds.  An
+   alignment that reaches ``least`` spans at most ``n * (3 - 2 * least)`` words for an item of n,
+   so a passage reaches that far beyond a seed of the item, and nothing that counts is cut off.
 3. Distinct passages join test items on their seeds, so copies are aligned once.
 4. A (passage, item) pair whose passage holds too few of the item's words to reach
    ``least`` is left out (no alignment scores more than its matches); all others are
    aligned (match 2, mismatch -1, gap -1).  The score is that of the best local
    alignment over that of a whole verbatim copy; a pair at or above ``least`` is
-   contaminated, edited and paraphrased copies included.
+   contaminated, edited and paraphrased copies included.  A long passage is aligned in
+   overlapping stretches, so an alignment holds 48 bytes times the square of the item's words at most.
 
-Only the item side is held by the tasks, in blocks of at most ``block`` seeds (8
-bytes each), one pass a block; documents are never collected or cut short.
+Only the item side is held by the tasks: 12 bytes a seed, in blocks of whole items of about
+``block`` seeds, one pass a block; documents are never collected or cut short.
+
+Recall: a copy is found if it shares k words in a row with its item.  With k = 3 that
+holds for every copy with fewer than a quarter of its words replaced, wherever they stand.
 
 Edge cases: null or blank texts and items match nothing; an item of fewer than k
 words is one seed of all its words; repeated rows each give their own result row
@@ -26,14 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import read, written
+from cadenza.llm.common import discard, read, written
 from cadenza.llm.textarrays import chunks, window_hash
 
-K = 4
+K = 3
 LEAST = 0.5
 BLOCK = 2_000_000
-#: Words of a passage before and after its seeds, and the gap that ends a run of seeds.
-PAD, GAP = 64, 64
 MATCH, MISMATCH, SPACE = 2, -1, -1
 
 
@@ -68,71 +72,53 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
 
 
 class Seeds:
-    """Sorted seeds with a small table of low bits before the binary search."""
+    """Sorted seeds and how far a passage reaches beyond each, with a small table of low bits before the binary search."""
 
-    def __init__(self, seeds: np.ndarray):
-        self.sorted = np.unique(seeds)
+    def __init__(self, seeds: np.ndarray, pads: np.ndarray):
+        order = np.argsort(seeds)
+        self.sorted, self.pads = seeds[order], pads[order]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.sorted & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in grams that are seeds, and which."""
         at = np.flatnonzero(self.maybe[(grams & np.uint64(0xFFFF)).astype(np.int64)])
-        which = np.searchsorted(self.sorted, grams[at])
-        good = self.sorted[np.minimum(which, len(self.sorted) - 1)] == grams[at] if len(self.sorted) else np.zeros(0, bool)
+        which = np.minimum(np.searchsorted(self.sorted, grams[at]), max(len(self.sorted) - 1, 0))
+        good = self.sorted[which] == grams[at] if len(self.sorted) else np.zeros(0, bool)
         return at[good], which[good]
 
 
-def _spans(at: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of sorted positions with gaps of at most GAP."""
-    cuts = np.flatnonzero(np.diff(at) > GAP)
-    return list(zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts + 1, [len(at)]]))) if len(at) else []
-
-
-def _hits(chunk, sizes: dict[int, Seeds]):
-    """Word hashes; positions and seeds found for every gram length."""
-    words = chunk.word_hash(lower=True)
-    for k, seeds in sizes.items():
-        at = chunk.windows(k)
-        found, _ = seeds.find(grams := window_hash(words, at, k))
-        yield k, words, at[found], grams[found]
-
+def _reach(n: np.ndarray, least: float) -> np.ndarray:
+    """Most words that an alignment at or above ``least`` spans, for items of n words."""
+    return np.ceil(n * (1 + (MATCH / -SPACE) * (1 - least))).astype(np.int64)
 
-def _sizes(rows: list[tuple[int, int]]) -> dict[int, Seeds]:
-    by: dict[int, list[int]] = {}
-    for seed, k in rows:
-        by.setdefault(k, []).append(seed)
-    return {k: Seeds(np.array(v, np.int64).view(np.uint64)) for k, v in by.items()}
 
-
-def passages(docs: DataFrame, id_col: str, text_col: str, rows: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, first (word number), words, seeds: a row per run of seeds in a document."""
+def passages(docs: DataFrame, id_col: str, text_col: str, sizes: dict[int, Seeds]) -> DataFrame:
+    """doc_id, first (word number), words, seeds: a row per stretch of a document within reach of seeds."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(rows)
+    held = docs.sparkSession.sparkContext.broadcast(sizes)
     names = ["doc_id", "first", "words", "seeds"]
 
     def run(batches):
-        sizes = _sizes(held.value)
         for batch in batches:
             ids, out = batch.column(0), []
             for c in chunks(batch.column(1)):
-                found = list(_hits(c.split(), sizes))
-                if not sum(len(x[2]) for x in found):
-                    continue
-                words = found[0][1]
-                at = np.concatenate([x[2] for x in found])
-                grams = np.concatenate([x[3] for x in found])
-                size = np.concatenate([np.full(len(x[2]), x[0]) for x in found])
-                order = np.argsort(at, kind="stable")
-                at, grams, size = at[order], grams[order], size[order]
-                docs_of = np.searchsorted(c.woff, at, "right") - 1
-                for d in np.unique(docs_of):
-                    mine = docs_of == d
-                    lo, hi = c.woff[d], c.woff[d + 1]
-                    p, g, s = at[mine], grams[mine], size[mine]
-                    for i, j in _spans(p):
-                        a, b = max(lo, p[i] - PAD), min(hi, (p[i:j] + s[i:j]).max() + PAD)
-                        out.append((ids[c.lo + int(d)].as_py(), int(a - lo), words[a:b].tobytes(), np.unique(g[i:j]).view(np.int64).tolist()))
+                words, found = c.split().word_hash(lower=True), []
+                for k, seeds in held.value.items():
+                    at = c.windows(k)
+                    hit, which = seeds.find(grams := window_hash(words, at, k))
+                    pad = seeds.pads[which]
+                    found.append((at[hit] - pad, at[hit] + k + pad, at[hit], grams[hit]))
+                lo, hi, at, grams = map(np.concatenate, zip(*found)) if found else [np.empty(0, np.int64)] * 4
+                doc = np.searchsorted(c.woff, at, "right") - 1
+                lo, hi = np.maximum(lo, c.woff[doc]), np.minimum(hi, c.woff[doc + 1])
+                order = np.argsort(lo, kind="stable")
+                lo, hi, doc, grams = lo[order], hi[order], doc[order], grams[order]
+                upto = np.maximum.accumulate(hi)
+                new = np.flatnonzero(np.concatenate([[True], lo[1:] >= upto[:-1]])) if len(lo) else []
+                for i, j in zip(new, [*new[1:], len(lo)]):
+                    a, b = lo[i], upto[j - 1]
+                    out.append((ids[c.lo + int(doc[i])].as_py(), int(a - c.woff[doc[i]]), words[a:b].tobytes(), np.unique(grams[i:j]).view(np.int64).tolist()))
             if out:
                 types = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
@@ -140,17 +126,16 @@ def passages(docs: DataFrame, id_col: str, text_col: str, rows: list[tuple[int,
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, first long, words binary, seeds array<long>")
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
-    """Best local alignment: score over that of a verbatim copy, and the words of the passage it spans."""
+def _align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """Score of the best local alignment, and the words of the passage it spans."""
     steps = np.arange(len(passage) + 1)
     h = np.zeros((len(item) + 1, len(passage) + 1), np.int32)
     for i, w in enumerate(item, 1):
-        row = np.maximum(h[i - 1], 0)
-        row = np.maximum(row + SPACE, 0)
+        row = np.maximum(h[i - 1] + SPACE, 0)
         row[1:] = np.maximum(row[1:], h[i - 1, :-1] + np.where(passage == w, MATCH, MISMATCH))
         h[i] = np.maximum.accumulate(row - SPACE * steps) + SPACE * steps
     i, j = np.unravel_index(h.argmax(), h.shape)
-    best, end = h[i, j], j
+    best, end = int(h[i, j]), j
     while i and j and h[i, j] > 0:
         if h[i, j] == h[i - 1, j - 1] + (MATCH if item[i - 1] == passage[j - 1] else MISMATCH):
             i, j = i - 1, j - 1
@@ -158,39 +143,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
             i -= 1
         else:
             j -= 1
-    return float(best) / (MATCH * len(item)), int(j), int(end)
-
-
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    k: int = K,
-    least: float = LEAST,
-    block: int = BLOCK,
-) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word: the best alignment of every contaminated pair."""
-    seeds = written(item_seeds(items, item_id, item_text, k).withColumn("k", F.least("n", F.lit(k)).cast("int")), "seeds")
-    distinct = seeds.select("seed", "k").distinct()
-    n_blocks = max(1, -(-distinct.count() // block))
-    hits = None
-    for b in range(n_blocks):  # each block is at most about ``block`` seeds
-        part = distinct.filter(F.pmod(F.col("seed"), F.lit(n_blocks)) == b)
-        one = passages(docs, id_col, text_col, [(r.seed, r.k) for r in part.collect()])
-        hits = one if hits is None else hits.unionByName(one)
-    hits = written(hits.withColumn("passage", F.sha2("words", 256)), "passages")
-    pairs = hits.select("passage", F.explode("seeds").alias("seed")).distinct().join(seeds.select("seed", "item_id"), "seed").select("passage", "item_id").distinct()
-    shapes = hits.select("passage", "words").dropDuplicates(["passage"])
+    return best, int(j), int(end)
+
+
+def align(item: np.ndarray, passage: np.ndarray, least: float = LEAST) -> tuple[float, int, int]:
+    """Best local alignment: score over that of a verbatim copy, and the words of the passage it spans.
+
+    Stretches of a long passage overlap by what an alignment at or above ``least`` can span.
+    """
+    reach = int(_reach(np.array([len(item)]), least)[0])
+    size = max(6 * reach, 256)
+    found = [(*_align(item, passage[a : a + size]), a) for a in range(0, max(len(passage) - reach, 1), size - reach)]
+    best, start, end, at = max(found, key=lambda f: (f[0], -f[3]))
+    return best / (MATCH * len(item)), at + start, at + end
+
+
+def _block(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame, least: float) -> DataFrame:
+    """The contaminated pairs of the items of ``seeds`` (item_id, words, seed, n, k)."""
+    own = seeds.groupBy("seed", "k").agg(F.max("n").alias("n")).toPandas()
+    sizes = {
+        int(k): Seeds(part.seed.to_numpy(np.int64).view(np.uint64), _reach(part.n.to_numpy(), least).astype(np.int32)) for k, part in own.groupby("k")
+    }
+    hits = written(passages(docs, id_col, text_col, sizes).withColumn("passage", F.sha2("words", 256)), "passages")
+    shapes = hits.groupBy("passage").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds"), F.count("*").alias("copies"))
+    shapes = written(shapes, "shapes")
+    met = shapes.select("passage", "copies", F.explode("seeds").alias("seed"))
+    rarity = met.groupBy("seed").agg(F.sum("copies").alias("df"))
+    pairs = met.join(seeds.select("seed", "item_id").join(rarity, "seed"), "seed")
+    pairs = pairs.groupBy("passage", "item_id").agg(F.min(F.struct("df", "seed")).alias("rarest"))
     texts = seeds.groupBy("item_id").agg(F.min("words").alias("item_words"))
-    both = pairs.join(shapes, "passage").join(texts, "item_id")
-    item_type = both.schema["item_id"].dataType
+    both = pairs.join(shapes.select("passage", "words"), "passage").join(texts, "item_id")
     schema = T.StructType(
         [
             T.StructField("passage", T.StringType()),
-            T.StructField("item_id", item_type),
+            T.StructField("item_id", both.schema["item_id"].dataType),
+            T.StructField("seed_df", T.LongType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("a", T.LongType()),
             T.StructField("b", T.LongType()),
@@ -200,27 +187,52 @@ def contaminated(
     def verify(batches):
         for batch in batches:
             rows = []
-            for i, (item, passage) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_words", "words")))):
-                item, passage = np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64)
-                if np.isin(item, passage).sum() / len(item) >= least and (found := align(item, passage))[0] >= least:
+            for i, (item, passage) in enumerate(zip(batch.column(3), batch.column(4))):
+                item, passage = np.frombuffer(item.as_buffer(), np.uint64), np.frombuffer(passage.as_buffer(), np.uint64)
+                if np.isin(item, passage).sum() / len(item) >= least and (found := align(item, passage, least))[0] >= least:
                     rows.append((i, *found))
             at, score, start, end = zip(*rows) if rows else [()] * 4
-            own = batch.select(["passage", "item_id"]).take(pa.array(at, pa.int64()))
+            own = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*own.columns, pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                 names=[f.name for f in schema],
             )
 
-    aligned = both.select("passage", "item_id", "item_words", "words").mapInArrow(verify, schema)
-    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
-    return (
+    aligned = both.select("passage", "item_id", F.col("rarest.df").alias("seed_df"), "item_words", "words").mapInArrow(verify, schema)
+    best = F.max_by(F.struct("score", "start_word", "end_word", "seed_df"), F.struct("score", -F.col("start_word")))
+    out = (
         hits.select("doc_id", "first", "passage")
         .join(aligned, "passage")
-        .select("doc_id", "item_id", "score", (F.col("first") + F.col("a")).alias("start_word"), (F.col("first") + F.col("b")).alias("end_word"))
+        .select("doc_id", "item_id", "score", (F.col("first") + F.col("a")).alias("start_word"), (F.col("first") + F.col("b")).alias("end_word"), "seed_df")
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
-        .select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
+        .select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word", "b.seed_df")
     )
+    out = written(out, "contaminated")
+    discard(hits, shapes)
+    return out
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    k: int = K,
+    least: float = LEAST,
+    block: int = BLOCK,
+) -> DataFrame:
+    """doc_id, item_id, score, start_word, end_word, seed_df: the best alignment of every contaminated pair."""
+    seeds = written(item_seeds(items, item_id, item_text, k).withColumn("k", F.least("n", F.lit(k)).cast("int")), "seeds")
+    n_blocks = max(1, -(-seeds.count() // block))
+    out = None
+    for b in range(n_blocks):  # whole items, so that no copy is judged in fragments
+        one = _block(docs, id_col, text_col, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b), least)
+        out = one if out is None else out.unionByName(one)
+    discard(seeds)
+    return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
