@@ -198,46 +198,87 @@ def test_align_is_smith_waterman():
         assert decontaminate.align(a, b)[0] == pytest.approx(h.max() / 14)
 
 
-def test_attention_gradient_and_scores_once():
+def test_attention_gradient():
     r = np.random.RandomState(1)
-    flat = attention_lm.initial(np.ones(attention_lm.CLASSES), r.poisson(1, (attention_lm.INPUTS, attention_lm.CLASSES)).astype(float)).astype(np.float64)
+    flat = attention_lm.initial().astype(np.float64)
     x, y = r.randint(0, 50, (3, 16)), r.randint(0, attention_lm.CLASSES, (3, 16))
-    _, g = attention_lm.gradients(attention_lm.unpack(flat), x, y)
-    for at in (5, 33_000, 33_100, 33_400, 33_700, 34_000, 34_900):
+    shift = r.normal(0, 1, (3, 16, attention_lm.CLASSES))
+    _, g = attention_lm.gradients(attention_lm.unpack(flat), x, shift, y)
+    for at in (5, 32_800, 33_100, 33_400, 33_700, 34_000, len(flat) - 5):
         up, down = flat.copy(), flat.copy()
         up[at] += 1e-5
         down[at] -= 1e-5
-        slope = (attention_lm.gradients(attention_lm.unpack(up), x, y)[0] - attention_lm.gradients(attention_lm.unpack(down), x, y)[0]) / 2e-5
+        slope = (attention_lm.gradients(attention_lm.unpack(up), x, shift, y)[0] - attention_lm.gradients(attention_lm.unpack(down), x, shift, y)[0]) / 2e-5
         assert g[at] == pytest.approx(slope, abs=1e-4)
 
 
 def test_attention_gradient_leaves_out_what_fills_up():
     r = np.random.RandomState(2)
-    p = attention_lm.unpack(attention_lm.initial(np.ones(attention_lm.CLASSES), np.ones((attention_lm.INPUTS, attention_lm.CLASSES))))
+    p = attention_lm.unpack(attention_lm.initial())
     x, y = r.randint(0, 50, (1, 16)), r.randint(0, attention_lm.CLASSES, (1, 16))
-    loss, g = attention_lm.gradients(p, x[:, :5], y[:, :5])
+    shift = np.zeros((1, 16, attention_lm.CLASSES), np.float32)
+    loss, g = attention_lm.gradients(p, x[:, :5], shift[:, :5], y[:, :5])
     y[:, 5:] = -1
-    filled, h = attention_lm.gradients(p, x, y)
+    filled, h = attention_lm.gradients(p, x, shift, y)
     assert filled == pytest.approx(loss) and np.allclose(g, h, atol=1e-6)
 
 
-def test_lm_trains_on_short_texts(spark):
-    short = spark.createDataFrame([(f"text {i}",) for i in range(20)], "text string")
-    vocab, flat = attention_lm.fit(short, "text")
-    end = vocab.cls[attention_lm.END]
-    start = np.log(vocab.class_counts[end] / vocab.class_counts.sum())
-    assert attention_lm.unpack(flat)["b"][end] != pytest.approx(start, abs=1e-6)
+def _ids(docs):
+    return attention_lm.encoded(docs.select("doc_id", "text"), None).select("ids")
 
 
 def test_lm_trains_on_whole_texts(docs):
-    want, got = collections.Counter(), collections.Counter()
+    want, got, rounds = collections.Counter(), collections.Counter(), collections.Counter()
+    texts = []
     for _, t in rows_of(docs):
         ids = [attention_lm.BOS, *encode((t or "").translate(LOW)).tolist(), attention_lm.END]
+        texts.append(ids)
         want.update(zip(ids, ids[1:]))
-    for r in attention_lm.training_windows(docs, "text", None).collect():
-        w = np.frombuffer(r.ids, np.int32).reshape(-1, attention_lm.WINDOW + 1)
-        got.update((a, b) for x in w.tolist() for a, b in zip(x, x[1:]) if b >= 0)
-    assert got == want
+    seq, begin = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    for r in (None, 0, 1, 2):
+        for x in attention_lm.training_windows(seq, begin, r).tolist():
+            (got if r is None else rounds).update((a, b) for a, b in zip(x, x[1:]) if b >= 0)
+    assert got == rounds == want
+    counted = {divmod(r.key, attention_lm.IDS): r.n for r in attention_lm.pair_counts(_ids(docs)).collect()}
+    assert counted == want
+
+
+def test_lm_scores_each_token_once_with_a_distribution(docs):
+    vocab, flat = attention_lm.fit(_ids(docs))
+    p = attention_lm.unpack(flat)
+    assert np.abs(flat - attention_lm.initial()).max() > 1e-4
+    texts = [np.array([attention_lm.BOS, *encode(t).tolist(), attention_lm.END], np.int32) for t in ("", "alpha beta", "gamma delta epsilon zeta " * 20)]
+
+    def step(context):
+        h, _ = attention_lm._attend(p, vocab.row[context][None])
+        logits = (h[0, -1] @ p["U"] + p["b"] + vocab.shift[context[-1]]).astype(float)
+        share = np.exp(logits) / np.exp(logits).sum()
+        ids = np.arange(attention_lm.VOCAB + 1)
+        return share[vocab.cls[ids]] * vocab.id_in_class(np.full(len(ids), context[-1]), ids)
+
+    got = attention_lm.score_texts(p, vocab, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    width, stride = attention_lm.WINDOW, attention_lm.WINDOW - attention_lm.OVERLAP
+    for text, score in zip(texts, got):
+        total = 0.0
+        for t in range(len(text) - 1):
+            first = 0 if t < width else (t - attention_lm.OVERLAP) // stride * stride
+            chance = step(text[first : t + 1])
+            assert chance.sum() == pytest.approx(1, abs=1e-3)
+            total += np.log10(chance[text[t + 1]])
+        assert score == pytest.approx(total, rel=1e-3)
+
+
+def test_lm_attention_is_worth_its_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", attention_lm.held_out("doc_id", 7, 2).alias("out"))
+    ids = attention_lm.written(attention_lm.encoded(docs, None), "encoded")
+    vocab, flat = attention_lm.fit(ids.filter("NOT out").select("ids"))
+    held = [np.frombuffer(r.ids, np.uint16).astype(np.int32) for r in ids.filter("out").select("ids").collect()]
+    seq, begin = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+    p = attention_lm.unpack(flat.copy())
+    bits = lambda: -attention_lm.score_texts(p, vocab, seq, begin).sum() / np.log10(2) / (np.diff(begin) - 1).sum()
+    whole = bits()
+    p["O"][:] = 0
+    assert whole < 5.88 and whole < bits() - 0.05  # 5.92: a backed-off bigram over all training text
 
 
 def test_lm_base(docs):
