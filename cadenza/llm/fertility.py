@@ -9,7 +9,7 @@ Byte tokens for ASCII (line ends) are not counted as fallback.
 
 Edge cases: null or blank texts have no words, fail the base rule and measure 0;
 null or unknown languages use their script's bands; repeated rows are judged
-each.  The texts are read once, and nothing is shuffled or collected.
+each; an empty table gives no rows; extra columns are not read.  The texts are read once, and nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def measures(
             for c in chunks(batch.column(1)):
                 s = statistics(c.split())
                 texts = [c.data[a:b].tobytes().decode() for a, b in zip(c.off[:-1], c.off[1:])]
-                wide = c.per_doc(c.data >= 0xD0) * 4 > s["n_chars"]
+                wide = c.per_doc(c.data >= 0xCE) * 4 > s["n_chars"]
                 n_tokens, share, bits = np.zeros(c.n, np.int64), np.zeros(c.n), np.zeros(c.n)
                 for i, (text, other) in enumerate(zip(texts, model.encode(texts, num_threads=1))):
                     ids = encode(text, folder)

@@ -9,7 +9,7 @@ that no task ever holds more than ``merge_partitions * open_windows`` windows.
 
 Every id lies in exactly one piece; offsets in a window are gapless from 0.
 Edge cases: null text is empty and holds only the end id; repeated rows are packed
-each; extra columns are not read.  The pieces are written once to the shared
+each; an empty table gives no pieces; extra columns are not read.  The pieces are written once to the shared
 folder, so a lost executor never repacks differently what was already read.
 """
 

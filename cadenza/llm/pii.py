@@ -8,7 +8,9 @@ addresses before one.  Offsets are code points, end exclusive; per kind, spans a
 leftmost and do not overlap, and a match that fails validation is dropped.
 
 Edge cases: null text is empty and has no spans; repeated rows are read each; the
-digest of no spans is that of the empty string.  One pass, no shuffle.
+digest of no spans is that of the empty string; very long texts are scanned whole; on
+ties the leftmost span wins; an empty table gives no rows; extra columns are kept as
+they are, and added ones get a name that is still free.  One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -188,7 +190,8 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_account long, n_address long"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_account long, n_address long"
 
     def run(batches):
         for batch in batches:
@@ -199,9 +202,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                 base = joined([s for s in spans if s[0] in BASE])
                 rows.append((doc_id, *(n[k] for k in BASE), hashlib.sha256(base.encode()).hexdigest(), joined(spans), n["account"], n["address"]))
             names = [f.split()[0] for f in schema.split(", ")]
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
+            types = [batch.schema.field(0).type] + [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    found, name = with_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found, name = with_spans(docs)
     return found.select("doc_id", name).mapInArrow(run, schema)

@@ -7,7 +7,8 @@ each from a Cholesky factor computed once on the driver (10 x 10).
 
 Edge cases: a null text is empty; an empty text has all statistics 0 and is
 scored like any other; null labels or null ids never train; with one class only
-every score is that class' share; repeated rows are scored each.  Extra columns
+every score is that class' share; repeated rows are scored each, and repeated label rows
+train as often as they stand; an empty table gives no rows.  Extra columns
 are not looked at; the added columns' names can be chosen.
 """
 

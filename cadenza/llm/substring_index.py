@@ -20,7 +20,8 @@ them share costs a row per document at most, mostly pre-aggregated.
 
 Windows are judged on the input texts.  Edge cases: null text is empty; texts
 shorter than a window lose nothing; rows with a null id keep all words; rows that
-repeat an id do not remove words from each other; extra columns are not read.
+repeat an id do not remove words from each other; an empty table gives no rows; ids that
+are not numbers are ingested as one batch; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.llm.common import read, shared_dir, written
 from cadenza.llm.textarrays import chunks, span_hash, window_hash
@@ -257,6 +259,8 @@ def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     """Ingest docs in batches of ascending id into a new index; rows as FingerprintIndex.ingest."""
     index = FingerprintIndex(docs.sparkSession, **options)
     docs = docs.select(id_col, text_col)
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        batches = 1
     share = [i / batches for i in range(1, batches)]
     bounds = docs.select(F.percentile_approx(id_col, share, 1000)).first()[0] if share else []
     bounds = sorted(set(bounds or []))

@@ -7,7 +7,7 @@ worker while the bounded memo has room.
 
 Edge cases: null text is empty (0 bytes, 0 tokens); special strings inside a text
 are one token each, as the library's default; texts are never cut; repeated rows
-count each.  One pass, no shuffle; only the id and text columns are read.
+count each; an empty table gives no rows.  One pass, no shuffle; only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ length and in a second, independent hash, or the job fails.
 Edge cases: null html is an empty payload; payloads under ``least`` bytes are
 always responses; rows that repeat the smallest page id of a payload are all
 responses; a null page id never is the smallest, and if no id is known all are
-responses; extra columns are not read.  Joins are plain equi-joins on the digest,
+responses; an empty table gives an empty archive; ids of any type that casts from a
+string are read back; extra columns are not read.  Joins are plain equi-joins on the digest,
 so that adaptive execution can split a hot payload.
 """
 
@@ -103,6 +104,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read them back, and tell what was found in the archive."""
     folder = write_archive(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/cadenza/warc-{uuid.uuid4().hex}")
     found = read_archive(spark, folder)
+    id_type = spark.read.parquet(f"{folder}/headers").schema["page_id"].dataType.simpleString()
     head = F.decode("header", "UTF-8")
     digest = F.sha2("payload", 256)
     return found.select(
@@ -112,7 +114,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.raise_error(F.lit("stored payload does not match its digest")))
         .alias("payload_digest"),
         "record_type",
-        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), '\\r\\nWARC-Refers-To: <urn:page:([^>]*)>', 1) AS bigint)").alias("refers_to"),
+        F.expr(f"try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\r\\nWARC-Refers-To: <urn:page:([^>]*)>', 1), '') AS {id_type})").alias("refers_to"),
     )
 
 
@@ -121,7 +123,7 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (SELECT payload_digest, min(page_id) AS first_page FROM p GROUP BY payload_digest)
 SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-  CASE WHEN p.payload_bytes >= {LEAST} AND p.page_id <> f.first_page THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN p.payload_bytes >= {LEAST} AND p.page_id <> f.first_page THEN f.first_page END AS refers_to
+  CASE WHEN p.payload_bytes >= {LEAST} AND f.first_page IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.payload_bytes >= {LEAST} AND f.first_page IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_page THEN f.first_page END AS refers_to
 FROM p JOIN f ON p.payload_digest = f.payload_digest
 """
