@@ -235,7 +235,7 @@ def test_lm_trains_on_whole_texts(docs):
         texts.append(ids)
         want.update(zip(ids, ids[1:]))
     seq, begin = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-    for r in (None, 0, 1, 2):
+    for r in (None, *range(attention_lm.ROUNDS)):
         for x in attention_lm.training_windows(seq, begin, r).tolist():
             (got if r is None else rounds).update((a, b) for a, b in zip(x, x[1:]) if b >= 0)
     assert got == rounds == want
