@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, integrity, matching, ranking, resolution, scoring, search, text
+from cadenza.operators import catalogue, filters, integrity, matching, normalise, ranking, resolution, resolve, scoring, search, text, upkeep
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_matching import ORACLES as _MORE
+from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
+from cadenza.plans.oracles_rules import ORACLES as _RULES
 from cadenza.sources.catalogue import Catalogue
 
 FLAGSHIP = "artist_counts"
@@ -25,6 +27,10 @@ _MODULES = {
     resolution: "tiered_lookup gram_frequency fuzzy_candidates similar_names content_duplicates sole_owner stable_sample dominant_place capped_aliases popularity area_chain",
     ranking: "round_robin lead_first queue_order collision_names natural_keys release_choice date_spans status_buckets grid_search next_places",
     matching: "equal_sets dated_names shows_covering unique_date_matches tiered_match title_overlap engineer_roles only_users run_changes field_report verdict_reasons shelf_pool",
+    filters: "name_contains begins_in listed_statuses bounded_arguments whole_word archive_lookup paged_recordings skipped_last quality_sorted errors_last article_sorted top_candidates run_rollup waiting_paths first_run window_features weighted_means balanced_folds cooled_down resumable_work access_recency run_duplicates allowed_attempts",
+    normalise: "normal_names act_cores event_keys path_keys track_flags retired_flags canonical_places sort_names lucene_queries archive_items",
+    resolve: "resolved_dates resolved_places show_kinds aligned_tracks disc_shortfall incomplete_releases duplicate_shows owned_wholly checksum_matches performance_members judgements cross_validated learned_aliases technical_gates rescored",
+    upkeep: "owed_work orphans orphan_places dangling_memberships stale_staging placeholder_venues filled_roles outdated_analyses tag_inventory group_spread roster_stints migrated_counts derived_sets demotable",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
 QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.items() for name in names.split()}
@@ -33,4 +39,4 @@ QUERIES |= {
     "search_two_terms": _query(search.search, ("red", "widget")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in (_ORACLES | _MORE).items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE).items() if k in QUERIES}
