@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,20 @@ def act_core(name: Column) -> Column:
 
 
 def tiered_lookup(c: Catalogue) -> DataFrame:
-    """Each part name against every tenth part's name, as in the SQL: exact key, else first word; the smallest id of the first tier that hits."""
-    acts = c.table("part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key")).filter("id % 10 = 0")
-    exact = acts.groupBy("key").agg(F.min("id").alias("exact"))
-    first = acts.groupBy(F.substring_index("key", " ", 1).alias("head")).agg(F.min("id").alias("by_head"))
-    rows = c.table("part").select("p_partkey", F.lower("p_name").alias("key"), F.substring_index(F.lower("p_name"), " ", 1).alias("head"))
-    rows = rows.join(exact, "key", "left").join(first, "head", "left")
-    return rows.select("p_partkey", F.coalesce("exact", "by_head").alias("match"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_head").isNotNull(), "head").alias("tier"))
+    """Typed names to acts: exact name, else alias, else core; the smallest id of the first tier that hits.
+
+    Acts are all parts (name, and name with type as alias); what is typed is a part's name as it is, with its
+    type, or with an article and a noise word.
+    """
+    parts = c.table("part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("alias"))
+    tiers = {"exact": F.col("name"), "alias": F.col("alias"), "core": act_core(F.col("name"))}
+    typed = F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, F.col("alias")).otherwise(F.concat(F.lit("the "), F.col("name"), F.lit(" band")))
+    rows = parts.select(F.col("id").alias("p_partkey"), typed.alias("typed")).withColumn("typed_core", act_core(F.col("typed")))
+    for tier, key in tiers.items():
+        first = parts.groupBy(key.alias("key")).agg(F.min("id").alias(tier))
+        rows = rows.join(first, F.col("typed_core" if tier == "core" else "typed") == F.col("key"), "left").drop("key")
+    hit = F.coalesce(*(F.when(F.col(t).isNotNull(), F.lit(t)) for t in tiers))
+    return rows.select("p_partkey", F.coalesce(*tiers).alias("match"), hit.alias("tier"))
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -40,27 +49,58 @@ def gram_frequency(c: Catalogue) -> DataFrame:
     return names.select(F.explode(grams(F.lower("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def fuzzy_candidates(c: Catalogue, rarest: int = 6, least: float = 0.3) -> DataFrame:
-    """Distinct part names against each other on their rarest trigrams, kept by Jaccard."""
-    names = c.table("part").select(F.lower("p_name").alias("name")).distinct()
-    rows = names.select("name", F.explode(grams(F.col("name"))).alias("gram"))
-    freq = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    rows = rows.join(freq, "gram")
-    by = Window.partitionBy("name").orderBy("df", "gram")
-    rare = rows.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= rarest)
-    pairs = rare.select(F.col("name").alias("a"), "gram").join(rows.select(F.col("name").alias("b"), "gram"), "gram").filter("a <> b").select("a", "b").distinct()
-    ga, gb = grams(F.col("a")), grams(F.col("b"))
-    jaccard = F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
-    return pairs.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+def long_names(c: Catalogue) -> DataFrame:
+    return c.table("part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name")).distinct()
 
 
-def similar_names(c: Catalogue, least: float = 0.6) -> DataFrame:
-    """Edit similarity of names that share a first letter (blocking)."""
-    names = c.table("part").select(F.lower("p_name").alias("name")).distinct().withColumn("block", F.substring("name", 1, 1))
-    a, b = names.alias("a"), names.alias("b")
-    rows = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
-    ratio = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
-    return rows.withColumn("ratio", F.round(ratio, 9)).filter(F.col("ratio") >= least)
+def fuzzy_candidates(c: Catalogue, rarest: int = 6, pool: int = 150, least: float = 0.3, gate: float = 0.85) -> DataFrame:
+    """Misspelled names (the third letter lost) to names.
+
+    A query's rarest trigrams fetch names, weighed by the sum of idf = ln(1 + n / df); the best ``pool`` go on,
+    a Jaccard of all trigrams and a score (containment, else edit similarity up to .96) gate them.
+    """
+    names = long_names(c)
+    index = names.select("name", F.explode(grams(F.col("name"))).alias("gram"))
+    total = names.agg(F.count("*").alias("total"))
+    freq = index.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(total))
+    freq = freq.select("gram", "df", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
+    typed = names.select(F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)")).alias("typed")).distinct()
+    rows = typed.select("typed", F.explode(grams(F.col("typed"))).alias("gram")).join(freq, "gram")
+    by = Window.partitionBy("typed").orderBy("df", "gram")
+    rare = rows.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= rarest)
+    met = rare.join(index, "gram").groupBy("typed", "name").agg(F.round(F.sum("idf"), 9).alias("weight"))
+    best = Window.partitionBy("typed").orderBy(F.desc("weight"), "name")
+    met = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pool)
+    ga, gb = grams(F.col("typed")), grams(F.col("name"))
+    jaccard = F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
+    longer, shorter = F.greatest(F.length("typed"), F.length("name")), F.least(F.length("typed"), F.length("name"))
+    inside = (shorter >= 5) & (F.contains(F.col("name"), F.col("typed")) | F.contains(F.col("typed"), F.col("name")))
+    score = F.when(F.col("typed") == F.col("name"), 0.97).when(inside, F.least(F.lit(0.95), 0.6 + 0.4 * shorter / longer)).otherwise(F.least(F.lit(0.96), 1 - F.levenshtein("typed", "name") / longer))
+    rows = met.select("typed", "name", F.round(jaccard, 9).alias("jaccard"), F.round(score, 9).alias("score"))
+    return rows.filter((F.col("jaccard") >= least) & (F.col("score") >= gate))
+
+
+def similar_names(c: Catalogue, percent: int = 85) -> DataFrame:
+    """All pairs of names with an edit similarity of ``percent`` or more, wherever they differ.
+
+    A name of L letters is cut into one piece more than the edits that the similarity allows, so a similar name
+    holds one of the pieces unchanged, shifted by the edits at most.  Names meet by (L, piece number, piece) only.
+    """
+    names = long_names(c)
+    most = lambda n: F.floor((100 - percent) * n / percent).cast("int")  # noqa: E731  edits allowed against any name similar to one of n letters
+    cut = names.select("name", F.length("name").alias("n")).filter("n > 0").withColumn("k", most(F.col("n")))
+    start = "cast(floor(n * i / (k + 1)) AS int)"
+    size = f"cast(floor(n * (i + 1) / (k + 1)) AS int) - {start}"
+    pieces = cut.withColumn("i", F.explode(F.expr("sequence(0, k)"))).select("name", "n", "i", F.expr(f"substring(name, {start} + 1, {size})").alias("piece"))
+    probes = cut.select(F.col("name").alias("other"), F.col("n").alias("own"))
+    probes = probes.withColumn("n", F.explode(F.expr(f"sequence(cast(ceil(own * {percent} / 100.0) AS int), cast(floor(own * 100.0 / {percent}) AS int))"))).filter("n > 0")
+    probes = probes.withColumn("k", most(F.col("n"))).withColumn("i", F.explode(F.expr("sequence(0, k)"))).withColumn("shift", F.explode(F.expr("sequence(-k, k)")))
+    probes = probes.filter(f"{start} + shift >= 0").select("other", "n", "i", F.expr(f"substring(other, {start} + 1 + shift, {size})").alias("piece"))
+    pairs = pieces.join(probes.distinct(), ["n", "i", "piece"]).filter("name <> other")
+    pairs = pairs.select(F.least("name", "other").alias("x"), F.greatest("name", "other").alias("y")).distinct()
+    longer = F.greatest(F.length("x"), F.length("y"))
+    distance = F.levenshtein("x", "y")
+    return pairs.filter(100 * distance <= (100 - percent) * longer).select("x", "y", F.round(1 - distance / longer, 9).alias("ratio"))
 
 
 def content_duplicates(c: Catalogue) -> DataFrame:
@@ -108,11 +148,13 @@ def popularity(c: Catalogue) -> DataFrame:
 
 def area_chain(c: Catalogue, depth: int = 10) -> DataFrame:
     """Ancestors of each part number in a tree of halves, at most ``depth`` steps, cycles cut."""
-    c.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent")).createOrReplaceTempView("cadenza_area")
+    area = c.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent"))
+    view = "cadenza_area_" + uuid.uuid4().hex
+    area.createOrReplaceTempView(view)
     return c.spark.sql(
         f"""WITH RECURSIVE chain(id, at, step) AS (
-          SELECT id, parent, 1 FROM cadenza_area WHERE parent IS NOT NULL
-          UNION ALL SELECT chain.id, a.parent, chain.step + 1 FROM chain JOIN cadenza_area a ON chain.at = a.id
+          SELECT id, parent, 1 FROM {view} WHERE parent IS NOT NULL
+          UNION ALL SELECT chain.id, a.parent, chain.step + 1 FROM chain JOIN {view} a ON chain.at = a.id
           WHERE a.parent IS NOT NULL AND chain.step < {depth})
         SELECT id, count(*) AS n_above, min(at) AS top FROM chain GROUP BY id"""
     )

@@ -233,5 +233,5 @@ def technical_gates(c: Catalogue) -> DataFrame:
 def rescored(c: Catalogue, version: int = 3, least: float = 0.05) -> DataFrame:
     """Recordings whose stored score (of the present feature version) changes by ``least`` or more when it is computed anew."""
     rows = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("p"), F.max("l_discount").alias("s"), (F.max("l_suppkey") % 5).cast("int").alias("version"))
-    old, new = F.round(F.col("p") / 1000, 1), F.round(F.col("p") / 1000, 3) + F.col("s")
+    old, new = F.floor(F.col("p") / 100) / 10, F.col("p") / 1000 + F.col("s")
     return rows.filter(F.col("version") == version).select("l_orderkey", "l_linenumber", old.alias("old"), F.round(new, 6).alias("new")).filter(F.abs(F.col("new") - F.col("old")) >= least - 1e-9)

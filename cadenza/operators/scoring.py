@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.curves import CREST, DUR_REL, FLAT_REL, GROUP_WEIGHTS, HF_RATIO, MID_SNR, SOURCE_OFFSET, TILT, curve, geometric
@@ -28,7 +28,7 @@ def quality_composite(c: Catalogue) -> DataFrame:
 
 def non_music(c: Catalogue) -> DataFrame:
     """Tracks against their recording: flatness over its quartile, length over its median; four tracks at least."""
-    rows = c.track.groupBy((F.col("recording_id") % 1000).alias("recording"), "track_number").agg(F.max("flatness").alias("flatness"), F.max("duration").alias("duration"))
+    rows = c.track.groupBy(F.floor(F.col("recording_id") / 10).alias("recording"), "track_number").agg(F.max("flatness").alias("flatness"), F.max("duration").alias("duration"))
     by = Window.partitionBy("recording")
     rows = rows.withColumns({"n": F.count("*").over(by), "low": F.percentile("flatness", F.lit(0.25)).over(by), "mid": F.percentile("duration", F.lit(0.5)).over(by)}).filter("n >= 4")
     score = 0.5 * curve(F.col("flatness") / F.col("low"), FLAT_REL) + 0.5 * curve(F.col("duration") / F.col("mid"), DUR_REL)
@@ -68,18 +68,25 @@ def smoothed_bins(c: Catalogue) -> DataFrame:
 
 
 def isotonic_bins(c: Catalogue) -> DataFrame:
-    """Pool adjacent violators over the bins: a closed form, max over starts of the least mean to an end.
-
-    Bins are few by definition (21), so the join of bins with themselves is bounded.
-    """
+    """Pool adjacent violators over the bins (21 by definition), weighed by their smoothed counts, n + 2."""
     from cadenza.functions.isotonic import isotonic
 
-    return isotonic(smoothed_bins(c), "bin", "rate", "n")
+    return isotonic(smoothed_bins(c).withColumn("weight", F.col("n") + 2), "bin", "rate", "weight").withColumnRenamed("weight", "n")
 
 
 def latency_quantiles(c: Catalogue) -> DataFrame:
-    rows = c.table("events").groupBy("event_type")
-    return rows.agg(*(F.round(F.percentile("value", F.lit(q / 100)), 6).alias(f"p{q}") for q in (50, 90, 95, 99)), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    """Linear quantiles by rank.  Equal values are counted first, so a window sees distinct values, not rows."""
+    values = c.table("events").groupBy("event_type", "value").agg(F.count("*").alias("k"))
+    by = Window.partitionBy("event_type").orderBy("value")
+    values = values.withColumn("upto", F.sum("k").over(by)).withColumn("n", F.sum("k").over(Window.partitionBy("event_type")))
+
+    def quantile(q: float) -> Column:
+        rank = F.lit(q) * (F.col("n") - 1)
+        lo, hi = (F.min(F.when(F.col("upto") > r, F.col("value"))) for r in (F.floor(rank), F.ceil(rank)))
+        return F.round(lo + (hi - lo) * F.max(rank - F.floor(rank)), 6)
+
+    mean = F.sum(F.col("value") * F.col("k")) / F.sum("k")
+    return values.groupBy("event_type").agg(*(quantile(q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)), F.max("value").alias("most"), F.round(mean, 6).alias("mean"))
 
 
 def waveform(c: Catalogue, buckets: int = 8) -> DataFrame:
@@ -113,3 +120,11 @@ def confidence(c: Catalogue) -> DataFrame:
     )
     logs = F.col("m") + F.log(F.exp(-F.col("m")) + F.aggregate("rivals", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m"))))
     return rows.select("item", "cand", F.round("margin", 6).alias("margin"), F.round(F.col("score") - logs, 6).alias("logit"))
+
+
+def confidence_gates(c: Catalogue, tau: float = 0.6, margin: float = 0.5, least: float = 0.0) -> DataFrame:
+    """Chance of each item's best candidate, and whether it passes the gates on chance, margin and logit."""
+    rows = confidence(c)
+    chance = 1 / (1 + F.exp(-F.col("logit")))
+    good = (F.round(chance, 6) >= tau) & (F.col("margin") >= margin) & (F.col("logit") >= least)
+    return rows.select("item", "cand", F.round(chance, 6).alias("chance"), good.alias("confident"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.normalise import search_key
 from cadenza.sources.catalogue import Catalogue
 
 # Grades of a match.
@@ -14,9 +16,8 @@ EXACT, PREFIX, WORD_START, INFIX = 100, 80, 60, 40
 
 
 def norm(x: Column) -> Column:
-    """Lower case, apostrophes gone, other punctuation to single spaces."""
-    x = F.regexp_replace(F.lower(x), "['’]", "")
-    return F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " "))
+    """Lower case without accents, apostrophes gone, other punctuation to single spaces."""
+    return search_key(x)
 
 
 def grade(key: Column, term: str) -> Column:
@@ -45,3 +46,50 @@ def search_dated(c: Catalogue, year: int, month: int | None = None) -> DataFrame
     rows = c.performance.filter(F.col("y") == year)
     rows = rows.filter(F.col("m") == month) if month else rows
     return rows.select(F.col("id").alias("performance_id"), "y", "m").join(c.recording.select("id", "performance_id", "quality"), "performance_id").select("id", "y", "m", "quality")
+
+
+#: Two-digit years up to this one are of this century.
+PIVOT = 26
+
+
+def parse_query(q: str) -> tuple[list[str], list[tuple[int, int | None, int | None]]]:
+    """Text terms and date terms (year, month, day) of what was typed; dates are looked for first."""
+    terms, dates = [], []
+    for token in q.lower().split():
+        if m := re.fullmatch(r"((?:19|20)\d\d)(?:-(\d\d?)(?:-(\d\d?))?)?", token):
+            dates.append((int(m[1]), int(m[2]) if m[2] else None, int(m[3]) if m[3] else None))
+        elif m := re.fullmatch(r"(\d\d?)/(\d\d?)/(\d\d(?:\d\d)?)", token):
+            year = int(m[3])
+            dates.append((year if year > 99 else year + (2000 if year <= PIVOT else 1900), int(m[1]), int(m[2])))
+        else:
+            terms += re.sub(r"[^\w]+", " ", re.sub("['’]", "", token)).split()
+    return terms, dates
+
+
+def search_all(c: Catalogue, q: str, limit: int = 20) -> DataFrame:
+    """grp, id, score, place: the best ``limit`` rows of each group for text and dates together (a top-k report).
+
+    Entities match on text only and are left out if none is typed; recordings must match every term and every
+    date on the keys of their act, venue and place.  Order: score, first key, id; a typed date part must be known.
+    """
+    terms, dates = parse_query(q)
+    library = c.recording.filter("location = 'library'").select("id", F.col("performance_id").alias("show"))
+    shows = c.performance.select(F.col("id").alias("show"), "artist_id", "venue_id", "y", "m", "d", F.col("city").alias("own_city"))
+    for y, m, d in dates:
+        shows = shows.filter(reduce(lambda a, b: a & b, [F.col(k) == x for k, x in (("y", y), ("m", m), ("d", d)) if x is not None]))
+    acts = c.artist.select(F.col("id").alias("artist_id"), F.col("name").alias("act"), "sort_name")
+    venues = c.venue.select(F.col("id").alias("venue_id"), F.col("name").alias("venue"), "city", "state", "country")
+    recordings = library.join(shows, "show").join(acts, "artist_id").join(venues, "venue_id", "left")
+    groups = [("recordings", recordings.withColumn("city", F.coalesce("city", "own_city")), "id", ["act", "sort_name", "venue", "city", "state", "country"])]
+    if terms:
+        groups += [("artists", c.artist, "id", ["name", "sort_name"]), ("venues", c.venue, "id", ["name", "city", "state", "country"]), ("albums", c.table("part"), "p_partkey", ["p_name", "p_brand"])]
+    out = []
+    for grp, rows, key, names in groups:
+        rows = rows.select(F.lit(grp).alias("grp"), F.col(key).alias("id"), *(norm(F.col(n)).alias(f"k{i}") for i, n in enumerate(names)))
+        best = [F.greatest(F.lit(0), *(F.coalesce(grade(F.col(f"k{i}"), t), F.lit(0)) for i in range(len(names)))) for t in terms]
+        rows = rows.select("grp", "id", F.col("k0").alias("first_key"), *(b.alias(f"t{i}") for i, b in enumerate(best)))
+        scores = [F.col(f"t{i}") for i in range(len(terms))]
+        rows = rows.filter(reduce(lambda a, b: a & b, [s > 0 for s in scores], F.lit(True)))
+        out.append(rows.select("grp", "id", "first_key", (reduce(lambda a, b: a + b, scores, F.lit(0)) / max(len(terms), 1)).alias("score")))
+    by = Window.partitionBy("grp").orderBy(F.desc("score"), "first_key", "id")
+    return reduce(DataFrame.unionByName, out).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit).select("grp", "id", "score", "place")

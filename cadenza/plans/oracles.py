@@ -35,6 +35,26 @@ def _search(*terms: str) -> str:
     return v(f"WITH k AS ({_KEYS}), g AS (SELECT grp, id, {grades} FROM k GROUP BY grp, id) SELECT grp, id, ({' + '.join(names)}) / CAST({len(terms)} AS DOUBLE) AS score FROM g WHERE {' AND '.join(n + ' > 0' for n in names)}", "artist", "venue")
 
 
+
+def _search_all(terms: tuple[str, ...], date: str | None, limit: int = 20) -> str:
+    """SQL of search.search_all: keys per row, every term must match, the best ``limit`` of each group."""
+    key = lambda x: f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    rows = """SELECT 'recordings' AS grp, r.id, a.name AS first_key, [a.name, a.sort_name, v.name, coalesce(v.city, p.city), v.state, v.country] AS keys, y, m, d
+ FROM recording r JOIN performance p ON r.performance_id = p.id JOIN artist a ON p.artist_id = a.id LEFT JOIN venue v ON v.id = p.venue_id WHERE r.location = 'library'"""
+    if terms:
+        rows += """ UNION ALL SELECT 'artists', id, name, [name, sort_name], NULL, NULL, NULL FROM artist UNION ALL SELECT 'venues', id, name, [name, city, state, country], NULL, NULL, NULL FROM venue
+ UNION ALL SELECT 'albums', p_partkey, p_name, [p_name, p_brand], NULL, NULL, NULL FROM part"""
+    best = [f"(SELECT max(CASE WHEN k = '{t}' THEN 100 WHEN starts_with(k, '{t}') THEN 80 WHEN contains(k, ' {t}') THEN 60 WHEN contains(k, '{t}') THEN 40 ELSE 0 END) FROM (SELECT {key('u')} AS k FROM (SELECT unnest(keys) AS u)))" for t in terms]
+    cols = "".join(f", {b} AS t{i}" for i, b in enumerate(best))
+    ok = " AND ".join([f"t{i} > 0" for i in range(len(terms))] + [f"(grp <> 'recordings' OR {date})"] * bool(date)) or "true"
+    mean = f"({' + '.join(f't{i}' for i in range(len(terms)))}) / CAST({len(terms)} AS DOUBLE)" if terms else "CAST(0 AS DOUBLE)"
+    return v(
+        f"""WITH s AS ({rows}), t AS (SELECT grp, id, {key('first_key')} AS first_key, y, m, d{cols} FROM s), u AS (SELECT grp, id, {mean} AS score, row_number() OVER (PARTITION BY grp ORDER BY {mean} DESC, first_key, id) AS place FROM t WHERE {ok})
+ SELECT grp, id, score, CAST(place AS INT) AS place FROM u WHERE place <= {limit}""",
+        "artist", "venue", "performance", "recording",
+    )
+
+
 ORACLES = {
     "artist_counts": v(
         """SELECT a.id, a.name, count(r.id) FILTER (r.location = 'library') AS n_published, count(r.id) AS n_total FROM artist a
@@ -103,7 +123,7 @@ ORACLES = {
  + CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.5 ELSE -3.0 END, 0.0), 100.0) AS score FROM x)
  SELECT l_returnflag, count(*) AS n, round(avg(score), 6) AS mean, count(*) FILTER (score >= 85) AS high, count(*) FILTER (score >= 70 AND score < 85) AS medium, count(*) FILTER (score < 70) AS low FROM s GROUP BY 1""",
     "non_music": v(
-        f"""WITH t AS (SELECT recording_id % 1000 AS recording, track_number, max(flatness) AS flatness, max(duration) AS duration FROM track GROUP BY ALL),
+        f"""WITH t AS (SELECT recording_id // 10 AS recording, track_number, max(flatness) AS flatness, max(duration) AS duration FROM track GROUP BY ALL),
  b AS (SELECT recording, count(*) AS n, quantile_cont(flatness, 0.25) AS low, quantile_cont(duration, 0.5) AS mid FROM t GROUP BY 1)
  SELECT t.recording, track_number, round(0.5 * ({curve_sql('(flatness / low)', FLAT_REL)}) + 0.5 * ({curve_sql('(duration / mid)', DUR_REL)}), 9) AS score FROM t JOIN b ON t.recording = b.recording WHERE n >= 4""",
         "track",
@@ -117,7 +137,7 @@ ORACLES = {
  FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem) GROUP BY 1""",
     "confusion": 'SELECT quality, count(*) FILTER (n_chars >= 2000) AS "long", count(*) FILTER (n_chars < 2000) AS "short" FROM labels JOIN documents USING (doc_id) GROUP BY 1',
     "smoothed_bins": _BINS,
-    "isotonic_bins": f"""WITH b AS ({_BINS}), e AS (SELECT i.bin, j.bin AS lo, k.bin AS hi, sum(m.rate * m.n) / sum(m.n) AS mean FROM b i JOIN b j ON j.bin <= i.bin JOIN b k ON k.bin >= i.bin JOIN b m ON m.bin BETWEEN j.bin AND k.bin GROUP BY ALL),
+    "isotonic_bins": f"""WITH b AS (SELECT bin, rate, n + 2 AS n FROM ({_BINS})), e AS (SELECT i.bin, j.bin AS lo, k.bin AS hi, sum(m.rate * m.n) / sum(m.n) AS mean FROM b i JOIN b j ON j.bin <= i.bin JOIN b k ON k.bin >= i.bin JOIN b m ON m.bin BETWEEN j.bin AND k.bin GROUP BY ALL),
  l AS (SELECT bin, lo, min(mean) AS least FROM e GROUP BY ALL), f AS (SELECT bin, max(least) AS fitted FROM l GROUP BY bin) SELECT b.bin, b.rate, b.n, round(fitted, 9) AS fitted FROM b JOIN f ON b.bin = f.bin""",
     "latency_quantiles": "SELECT event_type, "
     + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (50, 90, 95, 99))
@@ -129,16 +149,21 @@ ORACLES = {
  b AS (SELECT item, max(cand) FILTER (place = 1) AS cand, max(score) FILTER (place = 1) AS score, coalesce(max(score) FILTER (place = 2), 0.0) AS second FROM r GROUP BY item),
  l AS (SELECT r.item, sum(exp(r.score - greatest(second, 0.0))) FILTER (place > 1) AS s FROM r JOIN b ON r.item = b.item GROUP BY r.item)
  SELECT b.item, b.cand, round(b.score - second, 6) AS margin, round(b.score - (greatest(second, 0.0) + ln(exp(-greatest(second, 0.0)) + coalesce(s, 0.0))), 6) AS logit FROM b JOIN l ON b.item = l.item""",
-    "tiered_lookup": """WITH a AS (SELECT p_partkey AS id, lower(p_name) AS key FROM part WHERE p_partkey % 10 = 0), e AS (SELECT key, min(id) AS exact FROM a GROUP BY 1), h AS (SELECT split_part(key, ' ', 1) AS head, min(id) AS by_head FROM a GROUP BY 1)
- SELECT p_partkey, coalesce(exact, by_head) AS match, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN by_head IS NOT NULL THEN 'head' END AS tier FROM part LEFT JOIN e ON e.key = lower(p_name) LEFT JOIN h ON h.head = split_part(lower(p_name), ' ', 1)""",
+    "tiered_lookup": f"""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_name || ' ' || p_type) AS alias FROM part),
+ k AS (SELECT *, CASE id % 3 WHEN 0 THEN name WHEN 1 THEN alias ELSE 'the ' || name || ' band' END AS typed FROM p),
+ c AS (SELECT id, {_CORE.replace("w ", "string_split(name, ' ') ").replace("(w,", "(string_split(name, ' '),")} AS core FROM p), t AS (SELECT id, typed, {_CORE.replace("w ", "string_split(typed, ' ') ").replace("(w,", "(string_split(typed, ' '),")} AS core FROM k),
+ h AS (SELECT t.id, (SELECT min(p.id) FROM p WHERE p.name = t.typed) AS e, (SELECT min(p.id) FROM p WHERE p.alias = t.typed) AS a, (SELECT min(c.id) FROM c WHERE c.core = t.core) AS o FROM t)
+ SELECT id AS p_partkey, coalesce(e, a, o) AS match, CASE WHEN e IS NOT NULL THEN 'exact' WHEN a IS NOT NULL THEN 'alias' WHEN o IS NOT NULL THEN 'core' END AS tier FROM h""",
     "gram_frequency": f"WITH names AS (SELECT DISTINCT lower(n) AS name FROM (SELECT p_name AS n FROM part UNION SELECT n_name FROM nation)), g AS ({_GRAMS}) SELECT gram, count(*) AS df FROM g GROUP BY gram",
-    "fuzzy_candidates": f"""WITH names AS (SELECT DISTINCT lower(p_name) AS name FROM part), g AS ({_GRAMS}), f AS (SELECT gram, count(*) AS df FROM g GROUP BY 1),
- r AS (SELECT name, g.gram, row_number() OVER (PARTITION BY name ORDER BY df, g.gram) AS place FROM g JOIN f ON g.gram = f.gram),
- p AS (SELECT DISTINCT r.name AS a, g.name AS b FROM r JOIN g ON r.gram = g.gram WHERE place <= 6 AND r.name <> g.name), s AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
- c AS (SELECT a, b, (SELECT 1) AS one FROM p), o AS (SELECT p.a, p.b, count(*) AS both_n FROM p JOIN g x ON x.name = p.a JOIN g y ON y.name = p.b AND x.gram = y.gram GROUP BY 1, 2)
- SELECT a, b, round(both_n / CAST(x.n + y.n - both_n AS DOUBLE), 9) AS jaccard FROM o JOIN s x ON x.name = a JOIN s y ON y.name = b WHERE both_n / CAST(x.n + y.n - both_n AS DOUBLE) >= 0.3""",
-    "similar_names": """WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), p AS (SELECT a.name AS x, b.name AS y FROM n a JOIN n b ON substr(a.name, 1, 1) = substr(b.name, 1, 1) AND a.name < b.name),
- r AS (SELECT x, y, round(1 - levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE), 9) AS ratio FROM p) SELECT * FROM r WHERE ratio >= 0.6""",
+    "fuzzy_candidates": f"""WITH names AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS name FROM part), g AS ({_GRAMS}), f AS (SELECT gram, count(*) AS df, ln(1 + (SELECT count(*) FROM names) / count(*)) AS idf FROM g GROUP BY 1),
+ q AS (SELECT DISTINCT substr(name, 1, 2) || substr(name, 4) AS typed FROM names), qg AS (SELECT DISTINCT typed, substr(typed, i, 3) AS gram FROM q, range(1, 60) r(i) WHERE i <= length(typed) - 2),
+ r AS (SELECT typed, qg.gram, idf, row_number() OVER (PARTITION BY typed ORDER BY df, qg.gram) AS place FROM qg JOIN f ON qg.gram = f.gram),
+ m AS (SELECT typed, name, round(sum(idf), 9) AS weight FROM r JOIN g ON r.gram = g.gram WHERE place <= 6 GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY weight DESC, name) AS place FROM m),
+ o AS (SELECT p.typed, p.name, count(*) AS both_n FROM p JOIN qg ON qg.typed = p.typed JOIN g ON g.name = p.name AND g.gram = qg.gram WHERE place <= 150 GROUP BY 1, 2),
+ s AS (SELECT typed, name, round(both_n / CAST((SELECT count(*) FROM qg WHERE qg.typed = o.typed) + (SELECT count(*) FROM g WHERE g.name = o.name) - both_n AS DOUBLE), 9) AS jaccard, least(length(typed), length(name)) AS a, greatest(length(typed), length(name)) AS b FROM o)
+ SELECT * FROM (SELECT typed, name, jaccard, round(CASE WHEN typed = name THEN 0.97 WHEN a >= 5 AND (contains(name, typed) OR contains(typed, name)) THEN least(0.95::DOUBLE, 0.6 + 0.4 * a / CAST(b AS DOUBLE)) ELSE least(0.96::DOUBLE, 1 - levenshtein(typed, name) / CAST(b AS DOUBLE)) END, 9) AS score FROM s) WHERE jaccard >= 0.3 AND score >= 0.85""",
+    "similar_names": """WITH n AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS name FROM part), r AS (SELECT a.name AS x, b.name AS y, levenshtein(a.name, b.name) AS e, greatest(length(a.name), length(b.name)) AS l FROM n a JOIN n b ON a.name < b.name)
+ SELECT x, y, round(1 - e / CAST(l AS DOUBLE), 9) AS ratio FROM r WHERE 100 * e <= 15 * l""",
     "content_duplicates": """WITH f AS (SELECT text, min(doc_id) AS owner, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1)
  SELECT doc_id, owner, copies FROM documents d JOIN f ON d.text = f.text WHERE doc_id <> owner""",
     "sole_owner": "SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS owner FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1 AND count(*) >= 2",
@@ -170,3 +195,10 @@ ORACLES = {
     "search_two_terms": _search("red", "widget"),
     "search_month": v("SELECT r.id, y, m, quality FROM performance p JOIN recording r ON r.performance_id = p.id WHERE y = 1997 AND m = 5", "performance", "recording"),
 }
+ORACLES["confidence_gates"] = f"""SELECT item, cand, round(1 / (1 + exp(-logit)), 6) AS chance, round(1 / (1 + exp(-logit)), 6) >= 0.6 AND margin >= 0.5 AND logit >= 0 AS confident FROM ({ORACLES["confidence"]})"""
+ORACLES |= {
+    "search_groups": _search_all(("customer", "nation"), None),
+    "search_mixed": _search_all(("customer",), "y = 1997 AND m = 5"),
+    "search_date_only": _search_all((), "y = 1996 AND m = 3 AND d = 9"),
+    "search_albums": _search_all(("red", "widget"), None),
+}

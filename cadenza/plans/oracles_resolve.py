@@ -85,7 +85,7 @@ ORACLES = {
     "technical_gates": """SELECT * FROM (SELECT l_orderkey, l_linenumber, round(CASE WHEN t > 0.01 THEN least(25.0::DOUBLE, 5 + 20 * least(1.0::DOUBLE, (t - 0.01) / 0.5)) ELSE 0 END + CASE WHEN -q * 2 < -60 THEN 30 ELSE 0 END
   + CASE WHEN s * 10 - 0.6 < -0.3 THEN 20 ELSE 0 END + CASE WHEN q % 7 >= 3 THEN 10 ELSE 0 END, 6) AS penalty
  FROM (SELECT l_orderkey, l_linenumber, max(l_tax) AS t, max(l_discount) AS s, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)) WHERE penalty > 0""",
-    "rescored": """SELECT * FROM (SELECT l_orderkey, l_linenumber, round(p / 1000, 1) AS old, round(round(p / 1000, 3) + s, 6) AS new FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS p, max(l_discount) AS s, max(l_suppkey) % 5 AS version
+    "rescored": """SELECT * FROM (SELECT l_orderkey, l_linenumber, floor(p / 100) / 10 AS old, round(p / 1000 + s, 6) AS new FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS p, max(l_discount) AS s, max(l_suppkey) % 5 AS version
  FROM lineitem GROUP BY 1, 2) WHERE version = 3) WHERE abs(new - old) >= 0.05 - 1e-9""",
     "owed_work": v(
         f"""SELECT 'quality' AS kind, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)

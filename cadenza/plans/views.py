@@ -4,7 +4,7 @@ VIEWS = {
     "genre": "SELECT r_regionkey AS id, r_name AS name FROM region",
     "artist": "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'X ' || c_name END AS sort_name, n_regionkey AS genre_id FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "venue": "SELECT s_suppkey AS id, s_name AS name, 'City ' || CAST(s_suppkey % 17 AS VARCHAR) AS city, n_name AS state, r_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "performance": """SELECT o_orderkey AS id, o_custkey AS artist_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 100 END AS venue_id,
+    "performance": """SELECT o_orderkey AS id, o_custkey AS artist_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % (SELECT count(*) FROM supplier) END AS venue_id,
       CAST(year(o_orderdate) AS INT) AS y, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(month(o_orderdate) AS INT) END AS m,
       CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN CAST(day(o_orderdate) AS INT) END AS d,
       CASE WHEN o_orderkey % 11 = 0 THEN 'Elsewhere' END AS city FROM orders""",

@@ -23,7 +23,7 @@ def _query(f: Callable[..., DataFrame], *args, **options) -> Callable[[SparkSess
 _MODULES = {
     catalogue: "artist_counts kind_counts recent_recordings favourites on_this_day venue_counts genre_counts musician_counts role_counts top_acts_of_venue instruments show_places track_places first_images image_chain personnel",
     integrity: "visible_recordings visible_counts orphan_acts owed_recordings wiped_personnel replaced_slice upserted",
-    scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence",
+    scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence confidence_gates",
     resolution: "tiered_lookup gram_frequency fuzzy_candidates similar_names content_duplicates sole_owner stable_sample dominant_place capped_aliases popularity area_chain",
     ranking: "round_robin lead_first queue_order collision_names natural_keys release_choice date_spans status_buckets grid_search next_places",
     matching: "equal_sets dated_names shows_covering unique_date_matches tiered_match title_overlap engineer_roles only_users run_changes field_report verdict_reasons shelf_pool",
@@ -37,6 +37,10 @@ QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.ite
 QUERIES |= {
     "search_one_term": _query(search.search, ("widget",)),
     "search_two_terms": _query(search.search, ("red", "widget")),
+    "search_groups": _query(search.search_all, "Customer nation"),
+    "search_mixed": _query(search.search_all, "customer 1997-05"),
+    "search_date_only": _query(search.search_all, "3/9/96"),
+    "search_albums": _query(search.search_all, "red widget"),
     "search_month": _query(search.search_dated, 1997, 5),
 }
 ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE).items() if k in QUERIES}

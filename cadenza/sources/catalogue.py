@@ -6,6 +6,8 @@ views as SQL are in ``cadenza.plans.views``.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ class Catalogue:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def n_venues(self) -> int:
+        """Rows of supplier, from the files' footers."""
+        return self.table("supplier").count()
+
     @property
     def genre(self) -> DataFrame:
         return self.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
@@ -52,7 +59,7 @@ class Catalogue:
         return self.table("orders").select(
             key.alias("id"),
             F.col("o_custkey").alias("artist_id"),
-            F.when(key % 11 != 0, key % 100).alias("venue_id"),
+            F.when(key % 11 != 0, key % max(self.n_venues, 1)).alias("venue_id"),
             F.year("o_orderdate").alias("y"),
             month.alias("m"),
             F.when(month.isNotNull() & (key % 5 != 0), F.dayofmonth("o_orderdate")).alias("d"),
