@@ -30,6 +30,7 @@ _FLAGS = "list_filter(['live', 'encore', 'cut', 'fades in', 'fades out'], lambda
 _NOISE = ", ".join(f"'{w}'" for w in NOISE_WORDS)
 
 ORACLES = {
+    "hourly_plays": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "name_contains": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%'",
     "begins_in": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS begin_date FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') LIKE '1997-%'",
     "listed_statuses": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')",

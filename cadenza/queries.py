@@ -12,6 +12,7 @@ from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
 from cadenza.plans.oracles_rules import ORACLES as _RULES
 from cadenza.sources.catalogue import Catalogue
+from cadenza.streaming.play_log import windowed_plays
 
 FLAGSHIP = "artist_counts"
 
@@ -41,6 +42,7 @@ QUERIES |= {
     "search_mixed": _query(search.search_all, "customer 1997-05"),
     "search_date_only": _query(search.search_all, "3/9/96"),
     "search_albums": _query(search.search_all, "red widget"),
+    "hourly_plays": lambda spark, sf_dir: windowed_plays(Catalogue(spark, sf_dir).table("events")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
 ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE).items() if k in QUERIES}

@@ -20,7 +20,7 @@ def play_stream(spark: SparkSession, folder: str) -> DataFrame:
 def windowed_plays(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per tumbling window and kind; a window is final when the watermark has passed it."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
-    return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def rate_limited(events: DataFrame, most: int = 5, seconds: int = 3600) -> DataFrame:
