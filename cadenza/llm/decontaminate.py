@@ -10,8 +10,8 @@
    ``least`` is left out (no alignment scores more than its matches); all others are
    aligned (match 2, mismatch -1, gap -1).  The score is that of the best local
    alignment over that of a whole verbatim copy; a pair at or above ``least`` is
-   contaminated, edited and paraphrased copies included.  A long passage is aligned in
-   overlapping stretches, so an alignment holds 48 bytes times the square of the item's words at most.
+   contaminated, edited and paraphrased copies included.  An alignment's memory grows with
+   the passage alone.
 
 Only the item side is held by the tasks: 12 bytes a seed, in blocks of whole items of about
 ``block`` seeds, one pass a block; documents are never collected or cut short.
@@ -49,26 +49,26 @@ def _grams(chunk, k: int):
 
 
 def item_seeds(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """item_id, words (binary of uint64), seed: a row per distinct seed of an item."""
+    """item_id, words (binary of uint64), n, seeds (distinct): a row per item with a word."""
     id_type = items.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
             for c in chunks(batch.column(1)):
                 words, at, grams = _grams(c.split(), k)
+                cut, out = np.searchsorted(at, c.woff), []
                 for i in range(c.n):
                     a, b = c.woff[i], c.woff[i + 1]
                     if a == b:
                         continue
-                    own = grams[(at >= a) & (at < b)]
-                    seeds = np.unique(own) if len(own) else window_hash(words[a:b], np.array([0]), b - a)
-                    rows += [(ids[c.lo + i], words[a:b].tobytes(), int(s), int(b - a)) for s in seeds.view(np.int64)]
-            cols = list(zip(*rows)) if rows else [()] * 4
-            types = [batch.schema.field(0).type, pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["item_id", "words", "seed", "n"])
+                    own = grams[cut[i] : cut[i + 1]]
+                    seeds = np.unique(own) if len(own) else window_hash(words[a:b], np.array([0]), int(b - a))
+                    out.append((c.lo + i, words[a:b].tobytes(), int(b - a), seeds.view(np.int64)))
+                rows, texts, n, seeds = zip(*out) if out else [()] * 4
+                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "n", "seeds"])
 
-    return items.select(id_col, text_col).mapInArrow(run, f"item_id {id_type}, words binary, seed long, n long")
+    return items.select(id_col, text_col).mapInArrow(run, f"item_id {id_type}, words binary, n long, seeds array<long>")
 
 
 class Seeds:
@@ -126,40 +126,30 @@ def passages(docs: DataFrame, id_col: str, text_col: str, sizes: dict[int, Seeds
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, first long, words binary, seeds array<long>")
 
 
-def _align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Score of the best local alignment, and the words of the passage it spans."""
-    steps = np.arange(len(passage) + 1)
-    h = np.zeros((len(item) + 1, len(passage) + 1), np.int32)
-    for i, w in enumerate(item, 1):
-        row = np.maximum(h[i - 1] + SPACE, 0)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + np.where(passage == w, MATCH, MISMATCH))
-        h[i] = np.maximum.accumulate(row - SPACE * steps) + SPACE * steps
-    i, j = np.unravel_index(h.argmax(), h.shape)
-    best, end = int(h[i, j]), j
-    while i and j and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if item[i - 1] == passage[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + SPACE:
-            i -= 1
-        else:
-            j -= 1
-    return best, int(j), int(end)
-
-
-def align(item: np.ndarray, passage: np.ndarray, least: float = LEAST) -> tuple[float, int, int]:
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: score over that of a verbatim copy, and the words of the passage it spans.
 
-    Stretches of a long passage overlap by what an alignment at or above ``least`` can span.
+    Row by row, a cell holds its score in the high and where its alignment starts in the low half (smaller starts
+    are larger, so they win ties): memory grows with the passage only.
     """
-    reach = int(_reach(np.array([len(item)]), least)[0])
-    size = max(6 * reach, 256)
-    found = [(*_align(item, passage[a : a + size]), a) for a in range(0, max(len(passage) - reach, 1), size - reach)]
-    best, start, end, at = max(found, key=lambda f: (f[0], -f[3]))
-    return best / (MATCH * len(item)), at + start, at + end
-
-
-def _block(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame, least: float) -> DataFrame:
-    """The contaminated pairs of the items of ``seeds`` (item_id, words, seed, n, k)."""
+    one, low = np.int64(1 << 32), np.int64((1 << 32) - 1)
+    steps = np.arange(len(passage) + 1, dtype=np.int64)
+    fresh = low - steps
+    row, best, start, end = fresh, 0, 0, 0
+    for w in item:
+        new = np.maximum(row + SPACE * one, fresh)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(passage == w, MATCH * one, MISMATCH * one))
+        row = np.maximum.accumulate(new - SPACE * one * steps) + SPACE * one * steps
+        scores = row >> 32
+        at = int(scores.argmax())
+        if scores[at] > best:
+            best, start, end = int(scores[at]), int(low - (row[at] & low)), at
+    return best / (MATCH * len(item)), start, end
+
+
+def _block(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, least: float) -> DataFrame:
+    """The contaminated pairs of ``items`` (item_id, words, n, k, seeds)."""
+    seeds = items.select("item_id", "n", "k", F.explode("seeds").alias("seed"))
     own = seeds.groupBy("seed", "k").agg(F.max("n").alias("n")).toPandas()
     sizes = {
         int(k): Seeds(part.seed.to_numpy(np.int64).view(np.uint64), _reach(part.n.to_numpy(), least).astype(np.int32)) for k, part in own.groupby("k")
@@ -169,9 +159,9 @@ def _block(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame, least:
     shapes = written(shapes, "shapes")
     met = shapes.select("passage", "copies", F.explode("seeds").alias("seed"))
     rarity = met.groupBy("seed").agg(F.sum("copies").alias("df"))
-    pairs = met.join(seeds.select("seed", "item_id").join(rarity, "seed"), "seed")
+    pairs = met.join(seeds.select("seed", "item_id").distinct().join(rarity, "seed"), "seed")
     pairs = pairs.groupBy("passage", "item_id").agg(F.min(F.struct("df", "seed")).alias("rarest"))
-    texts = seeds.groupBy("item_id").agg(F.min("words").alias("item_words"))
+    texts = items.groupBy("item_id").agg(F.min("words").alias("item_words"))
     both = pairs.join(shapes.select("passage", "words"), "passage").join(texts, "item_id")
     schema = T.StructType(
         [
@@ -189,7 +179,7 @@ def _block(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame, least:
             rows = []
             for i, (item, passage) in enumerate(zip(batch.column(3), batch.column(4))):
                 item, passage = np.frombuffer(item.as_buffer(), np.uint64), np.frombuffer(passage.as_buffer(), np.uint64)
-                if np.isin(item, passage).sum() / len(item) >= least and (found := align(item, passage, least))[0] >= least:
+                if np.isin(item, passage).sum() / len(item) >= least and (found := align(item, passage))[0] >= least:
                     rows.append((i, *found))
             at, score, start, end = zip(*rows) if rows else [()] * 4
             own = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
@@ -225,13 +215,13 @@ def contaminated(
     block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word, seed_df: the best alignment of every contaminated pair."""
-    seeds = written(item_seeds(items, item_id, item_text, k).withColumn("k", F.least("n", F.lit(k)).cast("int")), "seeds")
-    n_blocks = max(1, -(-seeds.count() // block))
+    tests = written(item_seeds(items, item_id, item_text, k).withColumn("k", F.least("n", F.lit(k)).cast("int")), "items")
+    n_blocks = max(1, -(-(tests.agg(F.sum(F.size("seeds"))).first()[0] or 0) // block))
     out = None
     for b in range(n_blocks):  # whole items, so that no copy is judged in fragments
-        one = _block(docs, id_col, text_col, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b), least)
+        one = _block(docs, id_col, text_col, tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b), least)
         out = one if out is None else out.unionByName(one)
-    discard(seeds)
+    discard(tests)
     return out
 
 

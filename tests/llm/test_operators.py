@@ -83,8 +83,40 @@ def test_jaccard_components(docs, k, percent):
         if i is not None:
             least[x] = min(least.get(x, i), i)
     want = collections.Counter((i, len(s), least.get(x)) for (i, _), s, x in zip(rows, sets, label))
-    got = jaccard_join.jaccard_components(docs, k=k, percent=percent).collect()
-    assert collections.Counter(tuple(r) for r in got) == want
+    # with hot shingles cut small, and left to the last join
+    for options in ({}, {"rounds": 0, "cell": 1}):
+        got = jaccard_join.jaccard_components(docs, k=k, percent=percent, **options).collect()
+        assert collections.Counter(tuple(r) for r in got) == want
+
+
+def test_jaccard_keeps_links_of_texts_without_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    edit = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(1, edit(0, 1)), (None, edit()), (2, edit(58, 59)), (3, None)]  # 1 and 2 link only by the text without an id
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=95).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (2, 1), (3, 3)}
+
+
+def test_jaccard_with_many_near_copies_of_one_hot_shingle(spark):
+    r = np.random.RandomState(8)
+    base = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for at in r.choice(50, 5, replace=False):
+            text[at] = f"e{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(text)))
+    sets = [set(t.split()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min(i for i, y in enumerate(label) if y == x) for x in label}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (7, 512):
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table, k=1, percent=85, rounds=0, cell=cell).collect()}
+        assert got == {i: least[x] for i, x in enumerate(label)}
 
 
 def test_packing_round_trip(docs):
@@ -161,6 +193,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "warc/payloads")).count() == 3
 
 
+def test_warc_sql_with_null_and_repeated_ids(spark, tmp_path):
+    long = "<p>" + "x" * 200
+    rows = [(5, "u", long), (3, "v", long), (None, "n", long), (None, "m", None), (7, None, None), (8, "s", "tiny")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert not differences(QUERIES["op4_warc"](spark, str(tmp_path)), con, ORACLE_SQL["op4_warc"])
+
+
 def test_warc_sql(spark):
     assert not differences(QUERIES["op4_warc"](spark, SF), connect(SF), ORACLE_SQL["op4_warc"])
 
@@ -187,6 +228,33 @@ def test_decontamination_finds_a_large_group_of_edited_copies(spark, part):
     assert {got[i] for i in range(1, 1001)} == {(0.525, 30, 51) if part else (0.775, 30, 70)}
 
 
+def test_decontamination_pairs_are_those_of_brute_force(spark):
+    r = np.random.RandomState(6)
+    fill = lambda n: [f"f{x}" for x in r.randint(0, 40, n)]
+    items = {i: [f"i{x}" for x in r.randint(0, 30, n)] for i, n in enumerate((12, 20, 60, 3, 2))}
+    docs = {}
+    for d in range(60):
+        item = items[d % 5]
+        copy = [w if r.rand() > 0.02 * (d % 12) else "edit" for w in item]
+        cut = r.randint(0, len(copy))
+        docs[d] = [*fill(r.randint(0, 90)), *copy[:cut], *fill(d % 3), *copy[cut:], *fill(r.randint(0, 90))]
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    number = {w: n for n, w in enumerate({w for t in [*docs.values(), *items.values()] for w in t})}
+    want = {}
+    for d, t in docs.items():
+        for i, u in items.items():
+            k = min(3, len(u))
+            grams = {tuple(u[j : j + k]) for j in range(len(u) - k + 1)}
+            if grams & {tuple(t[j : j + k]) for j in range(len(t) - k + 1)}:
+                score = decontaminate.align(*(np.array([number[w] for w in x], np.uint64) for x in (u, t)))[0]
+                if score >= 0.5:
+                    want[d, i] = score
+    for block in (10**6, 10):
+        got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(table, tests, block=block).collect()}
+        assert got == want
+
+
 def test_align_is_smith_waterman():
     r = np.random.RandomState(0)
     for _ in range(30):
@@ -313,6 +381,7 @@ def test_classifier_edge_cases(spark, docs):
 
 def test_empty_tables(docs):
     none = docs.limit(0)
+    assert decontaminate.contaminated(none, docs.selectExpr("doc_id AS item_id", "text")).count() == 0
     for f in (fertility.fertility_rules, jaccard_join.jaccard_components, packing.pack, substring_index.deduplicate, token_counts.token_counts, pii.redacted, attention_lm.score):
         assert f(none).count() == 0
 
