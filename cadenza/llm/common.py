@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Where the public vocabularies lie when the package that ships them cannot be imported.
@@ -113,3 +114,41 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+#: Bits of a sieve: 4096 bitmaps of 4 KB, so 16 MB at most, whatever the input.
+SIEVE_BITS = 27
+
+
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+
+
+def sieve(values: DataFrame) -> DataFrame:
+    """bucket, bits: bitmaps with the hashed bit of every value of the only column of ``values``."""
+    at = _bit(values.columns[0])
+    rows = values.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("pos"))
+    return rows.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("pos").alias("bits"))
+
+
+def sifted(df: DataFrame, column: str, bitmaps: DataFrame, among: bool = True) -> DataFrame:
+    """Rows of df whose ``column`` may be one of a sieve's values, or the other rows, which surely are not.
+
+    The first are a superset that an exact join follows; only they are shuffled for it.  A sieve
+    of far more than 2**SIEVE_BITS values passes nearly all rows, and the join then does the work alone.
+    """
+    bucket, bits = fresh(df, "bucket"), fresh(df, "bits")
+    at = _bit(column)
+    held = F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
+    pos = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.bit_get(byte, (pos % 8).cast("int")) == 1, F.lit(False))
+    rows = df.withColumn(bucket, F.bitmap_bucket_number(at)).join(held, bucket, "left")
+    return rows.filter(hit if among else ~hit).select(*df.columns)
+
+
+def without(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows of df whose ``column`` is none of ``values`` (one column of that name); rows with a null stay."""
+    bitmaps = sieve(values)
+    maybe = sifted(df, column, bitmaps).join(values, column, "left_anti").select(*df.columns)
+    return sifted(df, column, bitmaps, among=False).unionByName(maybe)

@@ -10,7 +10,7 @@ import pytest
 from oracle import SF, connect, differences
 
 from cadenza.llm import attention_lm, decontaminate, fertility, jaccard_join, packing, pii, quality_qda, substring_index, token_counts, warc
-from cadenza.llm.common import BYTE_BPE, encode, vocabulary_path
+from cadenza.llm.common import BYTE_BPE, encode, sieve, sifted, vocabulary_path, without
 from cadenza.llm.queries import ORACLE_SQL, QUERIES
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -398,3 +398,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
             docs = out
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_without_is_an_exact_anti_join(spark):
+    rows = spark.range(5000).selectExpr("if(id % 50 = 7, null, id) AS doc_id", "id AS bucket", "cast(id AS string) AS bits")
+    rows = rows.unionByName(rows.filter("doc_id < 20"))
+    for values in (spark.range(0, 9000, 3), spark.range(0), spark.range(5000)):
+        values = values.withColumnRenamed("id", "doc_id")
+        found = without(rows, "doc_id", values)
+        assert found.columns == rows.columns
+        wanted = rows.join(values, "doc_id", "left_anti").select(*rows.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+        inside = sifted(rows, "doc_id", sieve(values)).join(values, "doc_id", "left_semi")
+        assert inside.count() == rows.join(values, "doc_id", "left_semi").count()
