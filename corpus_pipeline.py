@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import read, small_batches, written
+from cadenza.llm.common import read, small_batches, without, written
 from cadenza.llm.decontaminate import contaminated
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.packing import pack
@@ -35,9 +35,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, once."""
-    groups = written(jaccard_components(docs, k=SHINGLE_WORDS, percent=PERCENT).filter("doc_id = component_id"), "groups")
-    kept = docs.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    groups = jaccard_components(docs, k=SHINGLE_WORDS, percent=PERCENT).filter("doc_id IS NOT NULL")
+    groups = written(groups.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("first")), "groups")
+    kept = without(docs.filter("doc_id IS NOT NULL"), "doc_id", groups.filter("first = 0").select("doc_id"))
+    if not groups.filter("first > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
@@ -45,7 +46,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that aligns with a test item."""
     found = contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, "doc_id", found.select("doc_id").distinct())
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
