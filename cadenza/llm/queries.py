@@ -4,6 +4,7 @@ from cadenza.llm.attention_lm import op5_attention_lm
 from cadenza.llm.decontaminate import op8_decontamination
 from cadenza.llm.fertility import op1_fertility_rules
 from cadenza.llm.jaccard_join import op2_jaccard_join
+from cadenza.llm.oracles import OP2_SQL, OP6_SQL
 from cadenza.llm.packing import op3_packing
 from cadenza.llm.pii import op9_pii
 from cadenza.llm.quality_qda import op10_quality_classifier
@@ -26,4 +27,4 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL}
+ORACLE_SQL = {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op6_substring_dedup": OP6_SQL}

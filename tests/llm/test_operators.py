@@ -206,6 +206,14 @@ def test_warc_sql(spark):
     assert not differences(QUERIES["op4_warc"](spark, SF), connect(SF), ORACLE_SQL["op4_warc"])
 
 
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op6_substring_dedup"])
+def test_sql_of_document_queries(spark, docs, tmp_path, name):
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert not differences(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name])
+
+
 def test_decontamination_finds_edited_copies(spark, docs):
     item = docs.filter("doc_id = 9").first().text.split()[45:85]
     edited = [x if i % 9 else "edit" for i, x in enumerate(item)]
