@@ -95,4 +95,12 @@ ORACLES = {
  FROM (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])) AS w FROM part)""",
     "lucene_queries": """SELECT p_partkey, replace(p_name, ' ', ' AND ') || CASE WHEN p_partkey % 3 = 0 THEN ' AND date:[' || (1970 + p_partkey % 40) || '-01-01 TO ' || (1970 + p_partkey % 40) || '-12-31]' ELSE '' END AS query FROM part""",
     "archive_items": """SELECT 'show-' || o_orderkey AS identifier, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS downloads FROM orders""",
+    # the outcome of each way of writing, told by hand
+    "rights_rules": """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS way, CAST(o_orderdate AS DATE) AS d FROM orders),
+ found AS (SELECT o_orderkey, unnest(CASE way
+ WHEN 1 THEN [strftime(d, '%Y-%m-%d')] WHEN 2 THEN [strftime(d, '%Y-%m-%d')] WHEN 6 THEN [strftime(d, '%Y-%m-%d')]
+ WHEN 7 THEN list_distinct([strftime(d, '%Y-01-01'), strftime(d, '%Y-%m-01')]) ELSE [''] END) AS start FROM o WHERE way NOT IN (4, 5))
+ SELECT o_orderkey, 'rule' AS kind, start, NULL AS sentence FROM found
+ UNION ALL SELECT o_orderkey, 'review', '', 'No soundboards since the new label deal' FROM o WHERE way = 5
+ UNION ALL SELECT o_orderkey, 'review', '', 'Please do not trade streams' FROM o WHERE way = 6""",
 }

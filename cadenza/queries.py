@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, filters, integrity, matching, normalise, ranking, resolution, resolve, scoring, search, text, upkeep
+from cadenza.operators import catalogue, filters, integrity, matching, normalise, ranking, resolution, resolve, rights, scoring, search, text, upkeep
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
@@ -32,6 +32,7 @@ _MODULES = {
     normalise: "normal_names act_cores event_keys path_keys track_flags retired_flags canonical_places sort_names lucene_queries archive_items",
     resolve: "resolved_dates resolved_places show_kinds aligned_tracks disc_shortfall incomplete_releases duplicate_shows owned_wholly checksum_matches performance_members judgements cross_validated learned_aliases technical_gates rescored",
     upkeep: "owed_work orphans orphan_places dangling_memberships stale_staging placeholder_venues filled_roles outdated_analyses tag_inventory group_spread roster_stints migrated_counts derived_sets demotable",
+    rights: "rights_rules",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
 QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.items() for name in names.split()}

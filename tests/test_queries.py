@@ -42,6 +42,17 @@ def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan
 
 
+def test_rights_rules_of_awkward_texts(spark):
+    from cadenza.operators.rights import rules
+
+    texts = [None, "", " \n", "NO SBDS from 5-12-18", "No sbds from 5-12-31; no sbds from 2018-13-45", "No soundboards! No soundboards.", "Stream only"]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, body string, kind string")
+    got = sorted((r.id, r.kind, r.start) for r in rules(table, "id", "body").collect())
+    # a month of 13 is no date, but its year is
+    assert got == [(3, "rule", "2018-05-12"), (4, "rule", "1931-05-12"), (4, "rule", "2018-01-01"), (5, "rule", ""), (6, "review", "")]
+    assert rules(table.limit(0), "id", "body").isEmpty()
+
+
 def test_rate_limit_does_not_count_refusals(spark, tmp_path):
     from cadenza.streaming.play_log import EVENTS, play_stream, rate_limited
 
