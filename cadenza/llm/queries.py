@@ -1,9 +1,10 @@
-"""The ten operators' queries, and SQL where SQL can express one."""
+"""The operators' queries, and SQL where SQL can express one."""
 
 from cadenza.llm.attention_lm import op5_attention_lm
 from cadenza.llm.decontaminate import op8_decontamination
 from cadenza.llm.fertility import op1_fertility_rules
 from cadenza.llm.jaccard_join import op2_jaccard_join
+from cadenza.llm.merkle import OP12_SQL, op12_merkle_manifest
 from cadenza.llm.oracles import OP2_SQL, OP6_SQL
 from cadenza.llm.packing import op3_packing
 from cadenza.llm.pii import op9_pii
@@ -25,6 +26,7 @@ QUERIES = {
         op8_decontamination,
         op9_pii,
         op10_quality_classifier,
+        op12_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE_SQL = {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
