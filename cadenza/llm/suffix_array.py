@@ -12,6 +12,8 @@
    by rank; the common prefixes with both new neighbours follow from the least common prefix
    between equal symbols.  A round is one sequential pass over the chunk.  Windows whose common
    prefix with a neighbour has the window's length are repeated: no hash decides it.
+   Equal windows lie equally far from their anchor, so a segment stops as soon as its newest suffix
+   has no other with enough in common.
 4. An anchor with more segments than a chunk holds is cut over several; their classes of equal
    windows, a row each, are then added up by two 64-bit hashes.
 5. Repeated segments and windows go back to their texts, which are cut.  Texts that occur twice
@@ -39,7 +41,7 @@ from cadenza.llm.substring_index import sliding_min
 from cadenza.llm.textarrays import _BASE, _INVERSE, U, _byte_values, chunks, mix, powers
 
 WINDOW = 200
-GRAM = 64
+GRAM = 96
 #: Segments of one chunk, about: 256 KB and some 300 rounds.
 CELL = 900
 _PLACE = U((1 << 32) - 1)
@@ -65,7 +67,7 @@ class _Sums:
 
 
 class _Segments:
-    """first (byte of the chunk), count (of windows), doc, anchor and s (hash of all bytes under the windows) of each segment."""
+    """first (byte of the chunk), count (of windows), doc, anchor, lead (bytes before it) and s (hash of all bytes under the windows) of each segment."""
 
     def __init__(self, chunk, window: int, gram: int):
         n = len(chunk.data)
@@ -74,7 +76,7 @@ class _Segments:
             valid[max(end - window + 1, 0) : end] = False
         at = np.flatnonzero(valid)
         if not len(at):
-            self.first = self.count = self.doc = np.empty(0, np.int64)
+            self.first = self.count = self.doc = self.lead = np.empty(0, np.int64)
             self.anchor = self.s = np.empty(0, np.int64)
             return
         sums = _Sums(chunk.data)
@@ -86,7 +88,8 @@ class _Segments:
         new = np.flatnonzero(new)
         self.first, self.count = at[new], np.diff(np.append(new, len(at)))
         self.doc = np.searchsorted(chunk.off, self.first, "right") - 1
-        self.anchor = grams[place[new].astype(np.int64)].view(np.int64)
+        place = place[new].astype(np.int64)
+        self.anchor, self.lead = grams[place].view(np.int64), place - self.first
         self.s = sums.spans(self.first, self.first + self.count - 1 + window).view(np.int64)
 
     def cuts(self, n: int) -> np.ndarray:
@@ -117,7 +120,7 @@ def segments(docs: DataFrame, id_col: str, window: int, gram: int) -> DataFrame:
 
 
 def _strings(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, s, bytes of the segments of each text that are in its ``wanted`` list."""
+    """anchor, s, bytes, tail (bytes from the anchor on) of the segments of each text that are in its ``wanted`` list."""
 
     def run(batches):
         for batch in batches:
@@ -137,54 +140,62 @@ def _strings(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         pa.array(found.anchor[keep]),
                         pa.array(found.s[keep]),
                         pa.array([raw[a:b] for a, b in zip(found.first[keep], ends)], pa.binary()),
+                        pa.array(ends - found.first[keep] - found.lead[keep]),
                     ],
-                    names=["anchor", "s", "bytes"],
+                    names=["anchor", "s", "bytes", "tail"],
                 )
 
-    return texts.select("text", "wanted").mapInArrow(run, "anchor long, s long, bytes binary")
-
-
-def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
-    """Minimum of values[a:b] for every (non-empty) span: both ends byte by byte, what lies between by a table over blocks."""
-    top = np.iinfo(values.dtype).max
-    n = len(values)
-    padded = np.full(-(-n // block) * block, top, values.dtype)
-    padded[:n] = values
-    levels = [padded.reshape(-1, block).min(1)]
-    lo, hi = -(-a // block), b // block
-    longest = int((hi - lo).max(initial=0))
-    while 2 << (len(levels) - 1) <= longest:
-        have, step = levels[-1], 1 << (len(levels) - 1)
-        levels.append(np.minimum(have[:-step], have[step:]))
-    ahead = np.arange(block)
-    out = padded[np.minimum(a[:, None] + ahead, b[:, None] - 1)].min(1)
-    long = np.flatnonzero(b - a > block)
+    return texts.select("text", "wanted").mapInArrow(run, "anchor long, s long, bytes binary, tail long")
+
+
+_BLOCK = 16
+_AHEAD = np.arange(_BLOCK)
+
+
+def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum of values[a:b] for every (non-empty) span: short ones byte by byte, long ones by both ends and a table over blocks."""
+    out = values[a]
+    rest = np.flatnonzero(b - a > 1)
+    if not len(rest):
+        return out
+    a, b = a[rest], b[rest]
+    least = values[np.minimum(a[:, None] + _AHEAD, b[:, None] - 1)].min(1)
+    long = np.flatnonzero(b - a > _BLOCK)
     if len(long):
-        al, bl = a[long], b[long]
-        more = padded[np.maximum(bl[:, None] - 1 - ahead, al[:, None])].min(1)
-        width = hi[long] - lo[long]
-        level = np.zeros(len(long), np.int64)
-        inside = width > 0
-        level[inside] = np.floor(np.log2(width[inside])).astype(np.int64)
-        for k in np.unique(level[inside]):
-            which = np.flatnonzero(inside & (level == k))
-            left, right = lo[long[which]], hi[long[which]] - (1 << int(k))
-            more[which] = np.minimum(more[which], np.minimum(levels[k][left], levels[k][right]))
-        out[long] = np.minimum(out[long], more)
+        a, b = a[long], b[long]
+        more = values[np.maximum(b[:, None] - 1 - _AHEAD, a[:, None])].min(1)
+        lo, hi = -(-a // _BLOCK), b // _BLOCK
+        inside = np.flatnonzero(hi > lo)
+        if len(inside):
+            lo, hi = lo[inside], hi[inside]
+            level = np.frexp((hi - lo).astype(np.float64))[1].astype(np.int64) - 1  # floor of the binary logarithm
+            blocks = len(values) // _BLOCK
+            table = np.empty((int(level.max()) + 1, blocks), values.dtype)
+            values[: blocks * _BLOCK].reshape(-1, _BLOCK).min(1, out=table[0])
+            for k in range(1, len(table)):
+                step = 1 << (k - 1)
+                np.minimum(table[k - 1, :-step], table[k - 1, step:], out=table[k, :-step])
+            table = table.ravel()
+            more[inside] = np.minimum(more[inside], np.minimum(table[level * blocks + lo], table[level * blocks + hi - (1 << level)]))
+        least[long] = np.minimum(least[long], more)
+    out[rest] = least
     return out
 
 
-def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(strings: list[bytes], window: int, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of a collection: whether each window occurs twice or more, and its class of equal windows; rows by string, columns by start.
 
     Column-wise construction of the collection's Burrows-Wheeler transform and common prefixes (cut off
     at the window's length).  Places past a string's last window hold False and -1.
+
+    ``tails``, where given, are the lengths after a point such that equal windows lie equally far from
+    their strings' points.  Symbols equally far from it then go in in one round, so that a string whose
+    newest suffix has too short a prefix in common with any other has no repeated window from there on, and
+    is not carried further; the classes of such windows are unknown, -1.
     """
     m = len(strings)
     lengths = np.array([len(s) for s in strings], np.int64)
-    by = np.argsort(-lengths, kind="stable")
-    lengths = lengths[by]
-    data = np.frombuffer(b"".join(strings[i] for i in by), np.uint8)
+    data = np.frombuffer(b"".join(strings), np.uint8)
     codes = np.zeros(256, np.uint16)
     used = np.unique(data)
     codes[used] = np.arange(1, len(used) + 1)
@@ -192,39 +203,50 @@ def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.
     data = codes[data]
     last = np.cumsum(lengths) - 1
     kind = np.uint8 if window < 255 else np.uint16
+    starts = np.zeros(m, np.int64) if tails is None else tails.max(initial=0) - tails
+    rounds = int((starts + lengths).max(initial=0))
+    joining = np.split(np.argsort(starts, kind="stable"), np.searchsorted(np.sort(starts), np.arange(1, rounds)))
     # the empty suffixes, one a document; a document's open place is where its latest suffix stands
     bwt, common = np.zeros(m, data.dtype), np.zeros(m, kind)
-    place = np.arange(m)
-    rounds = int(lengths[0]) if m else 0
-    alive = np.searchsorted(-lengths, -np.arange(rounds), "left")  # documents longer than the round
+    place, added, live = np.arange(m), np.zeros(m, np.int64), np.empty(0, np.int64)
     for j in range(rounds):
-        k = int(alive[j])
-        open_ = place[:k]
-        bwt[open_] = data[last[:k] - j]
+        live = np.concatenate([live, joining[j]])
+        k = len(live)
+        if not k:
+            continue
+        open_ = place[live]
+        bwt[open_] = data[last[live] - added[live]]
         n = len(bwt)
-        order = np.argsort(bwt, kind="stable")[m - k :]  # documents that have ended keep their end sign
+        order = np.argsort(bwt, kind="stable")[m - k :]  # the others show an end sign
         latest = np.zeros(n, bool)
         latest[open_] = True
         rank = np.flatnonzero(latest[order])
         owner = np.empty(n, np.int32)
         owner[open_] = np.arange(k)
         here = order[rank]
+        live = live[owner[here]]
         symbol = bwt[here]
         before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
-        left, right = np.zeros(k, kind), np.zeros(k, kind)
-        p = np.flatnonzero((rank > 0) & (bwt[before] == symbol))
-        left[p] = np.minimum(_least(common, before[p] + 1, here[p] + 1) + kind(1), window) if len(p) else 0
-        q = np.flatnonzero((rank + 1 < len(order)) & (bwt[after] == symbol))
-        right[q] = np.minimum(_least(common, here[q] + 1, after[q] + 1) + kind(1), window) if len(q) else 0
+        sides = np.zeros(2 * k, kind)
+        near = np.flatnonzero(np.concatenate([(rank > 0) & (bwt[before] == symbol), (rank + 1 < len(order)) & (bwt[after] == symbol)]))
+        a, b = np.concatenate([before, here])[near], np.concatenate([here, after])[near]
+        sides[near] = np.minimum(_least(common, a + 1, b + 1) + kind(1), window)
+        q = near[near >= k] - k
         new = m + rank
         old = np.ones(n + k, bool)
         old[new] = False
         grown, prefix = np.zeros(n + k, bwt.dtype), np.empty(n + k, kind)
         grown[old], prefix[old] = bwt, common
-        prefix[new] = left
-        prefix[new[q] + 1] = right[q]
+        prefix[new] = sides[:k]
+        prefix[new[q] + 1] = sides[k:][q]
         bwt, common = grown, prefix
-        place[owner[here]] = new
+        place[live] = new
+        added[live] += 1
+        left = lengths[live] - added[live]
+        stay = left > 0
+        if tails is not None:
+            stay &= np.maximum(sides[:k], sides[k:]) >= window - left
+        live = live[stay]
     # the same walk once more over the whole transform: where each suffix stands
     back = np.empty(len(bwt), np.int64)
     back[np.argsort(bwt, kind="stable")[m:]] = np.arange(m, len(bwt))
@@ -232,32 +254,33 @@ def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.
     twice = equal.copy()
     twice[:-1] |= equal[1:]
     classes = np.cumsum(~equal)
-    width = max(rounds - window + 1, 0)
+    width = max(int(lengths.max(initial=0)) - window + 1, 0)
     found, of = np.zeros((m, width), bool), np.full((m, width), -1, np.int64)
-    place = np.arange(m)
-    for j in range(rounds):
-        k = int(alive[j])
-        place[:k] = back[place[:k]]
+    place, live = np.arange(m), np.arange(m)
+    for j in range(int(added.max(initial=0))):
+        live = live[added[live] > j]
+        place[live] = at = back[place[live]]
         if j + 1 >= window:
-            start = lengths[:k] - 1 - j
-            found[by[:k], start], of[by[:k], start] = twice[place[:k]], classes[place[:k]]
+            start = lengths[live] - 1 - j
+            found[live, start], of[live, start] = twice[at], classes[at]
     return found, of
 
 
 def _chunk_marks(window: int):
-    """Of one chunk (anchor, s, bytes, cells): marks of windows that are repeated in it, and the classes of anchors that are cut over chunks."""
+    """Of one chunk (anchor, s, bytes, tail, cells): marks of windows that are repeated in it, and the classes of anchors that are cut over chunks."""
     names = ["anchor", "s", "mask", "h1", "h2", "at"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(group: pa.Table) -> pa.Table:
         anchor, s, cells = (group.column(c).to_numpy() for c in ("anchor", "s", "cells"))
         strings = group.column("bytes").to_pylist()
-        found, of = repeated_windows(strings, window)
+        whole = not (cells > 1).any()
+        found, of = repeated_windows(strings, window, group.column("tail").to_numpy() if whole else None)
         hit = np.flatnonzero(found.any(1))
         packed = np.packbits(found[hit], axis=1, bitorder="little")
         empty = [pa.nulls(len(hit), t) for t in types[3:]]
         tables = [pa.table([pa.array(anchor[hit]), pa.array(s[hit]), pa.array([x.tobytes() for x in packed], pa.binary()), *empty], names=names)]
-        if (cells > 1).any():
+        if not whole:
             row, start = np.nonzero(of >= 0)
             keep = cells[row] > 1
             row, start = row[keep], start[keep]
@@ -347,7 +370,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunk = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("anchor"), F.lit(buckets))).otherwise(F.xxhash64("anchor", F.pmod(F.xxhash64("s"), F.col("cells"))))
     strings = strings.join(held.select("anchor", "s", "cells"), ["anchor", "s"]).withColumn("chunk", chunk)
     run, schema = _chunk_marks(window)
-    found = written(strings.select("chunk", "anchor", "s", "bytes", "cells").groupBy("chunk").applyInArrow(run, schema), "chunks")
+    found = written(strings.select("chunk", "anchor", "s", "bytes", "tail", "cells").groupBy("chunk").applyInArrow(run, schema), "chunks")
     discard(wanted)
 
     # anchors cut over chunks: windows that are alone in theirs, but not in all
