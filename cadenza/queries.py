@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, filters, integrity, matching, normalise, ranking, resolution, resolve, rights, scoring, search, text, upkeep
+from cadenza.operators import catalogue, dated, filters, integrity, matching, normalise, ranking, resolution, resolve, rights, scoring, search, text, upkeep
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_matching import ORACLES as _MORE
+from cadenza.plans.oracles_reader import ORACLES as _READER
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
 from cadenza.plans.oracles_rules import ORACLES as _RULES
 from cadenza.sources.catalogue import Catalogue
@@ -33,6 +34,7 @@ _MODULES = {
     resolve: "resolved_dates resolved_places show_kinds aligned_tracks disc_shortfall incomplete_releases duplicate_shows owned_wholly checksum_matches performance_members judgements cross_validated learned_aliases technical_gates rescored",
     upkeep: "owed_work orphans orphan_places dangling_memberships stale_staging placeholder_venues filled_roles outdated_analyses tag_inventory group_spread roster_stints migrated_counts derived_sets demotable",
     rights: "rights_rules",
+    dated: "mentioned_dates event_dates",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
 QUERIES = {name: _query(getattr(module, name)) for module, names in _MODULES.items() for name in names.split()}
@@ -46,4 +48,4 @@ QUERIES |= {
     "hourly_plays": lambda spark, sf_dir: windowed_plays(Catalogue(spark, sf_dir).table("events")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE).items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER).items() if k in QUERIES}
