@@ -5,18 +5,21 @@
    all windows with one anchor at one place.  Equal windows have equal anchors at equal distances,
    so a window can only be equal to windows of segments with the same anchor.
 2. Segments are pre-aggregated by anchor.  An anchor seen once has no equal windows; one whose
-   segments are all the same bytes is repeated whole.  The other anchors' distinct segments, about
-   300 bytes each, are the documents of a collection, dealt out by anchor in chunks of some 256 KB.
-3. A chunk's suffixes are ordered column-wise: in each round every document, from its right end,
-   gives one symbol to the collection's Burrows-Wheeler transform, and its next suffix is inserted
-   by rank; the common prefixes with both new neighbours follow from the least common prefix
+   segments are all the same bytes is repeated whole.  The other anchors' distinct segments are cut
+   into pieces: windows whose distance to the anchor lies in one bin.  All windows of a bin hold the
+   same bytes around the anchor, their core, so only pieces of equal core can have equal windows.
+   Again a core seen once is done, and so is one of equal pieces.
+3. The other pieces, some 230 bytes each, are the documents of a collection, dealt out by core in
+   chunks of some 200 KB.  A chunk's suffixes are ordered column-wise: in each round every document, from
+   its right end, gives one symbol to the collection's Burrows-Wheeler transform, and its next suffix is
+   inserted by rank; the common prefixes with both new neighbours follow from the least common prefix
    between equal symbols.  A round is one sequential pass over the chunk.  Windows whose common
    prefix with a neighbour has the window's length are repeated: no hash decides it.
-   Equal windows lie equally far from their anchor, so a segment stops as soon as its newest suffix
+   Equal windows lie equally far from their anchor, so a piece stops as soon as its newest suffix
    has no other with enough in common.
-4. An anchor with more segments than a chunk holds is cut over several; their classes of equal
+4. A core with more pieces than a chunk holds is cut over several; their classes of equal
    windows, a row each, are then added up by two 64-bit hashes.
-5. Repeated segments and windows go back to their texts, which are cut.  Texts that occur twice
+5. Repeated segments, pieces and windows go back to their texts, which are cut.  Texts that occur twice
    are repeated whole, and are not looked at again.
 
 The external files of the method are tables in the shared folder (segments, chunks, marks), as
@@ -41,8 +44,10 @@ from cadenza.llm.substring_index import sliding_min
 from cadenza.llm.textarrays import _BASE, _INVERSE, U, _byte_values, chunks, mix, powers
 
 WINDOW = 200
-GRAM = 96
-#: Segments of one chunk, about: 256 KB and some 300 rounds.
+GRAM = 64
+#: Distances to an anchor that make up one piece.
+BIN = 32
+#: Pieces of one chunk, about: 200 KB and some 260 rounds.
 CELL = 900
 _PLACE = U((1 << 32) - 1)
 SPANS = "array<struct<start: long, end: long>>"
@@ -119,33 +124,48 @@ def segments(docs: DataFrame, id_col: str, window: int, gram: int) -> DataFrame:
     return docs.select(id_col, "digest", "t", "text").mapInArrow(run, schema)
 
 
-def _strings(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, s, bytes, tail (bytes from the anchor on) of the segments of each text that are in its ``wanted`` list."""
+def _pieces(texts: DataFrame, window: int, gram: int, width: int) -> DataFrame:
+    """The pieces of the segments of each text that are in its ``wanted`` list.
+
+    anchor, s, begin and n (its windows in the segment), core and piece (hashes), tail (bytes from the anchor on), bytes.
+    """
 
     def run(batches):
         for batch in batches:
             wanted = batch.column(1)
             for c in chunks(batch.column(0)):
                 found = _Segments(c, window, gram)
-                keep = []
-                for i, (a, b) in enumerate(zip(*(lambda x: (x[:-1], x[1:]))(found.cuts(c.n)))):
-                    mine = wanted[c.lo + i].values
+                cuts, keep = found.cuts(c.n), []
+                for i in range(c.n):
+                    a, b, mine = cuts[i], cuts[i + 1], wanted[c.lo + i].values
                     hit = np.isin(found.s[a:b], mine.field("s").to_numpy()) & np.isin(found.anchor[a:b], mine.field("anchor").to_numpy())
                     keep.append(a + np.flatnonzero(hit))
-                keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-                raw = c.data.tobytes()
-                ends = found.first[keep] + found.count[keep] - 1 + window
+                keep = np.concatenate(keep)
+                # distances run from lead (the first window) down to lead - count + 1
+                far, near = found.lead[keep], found.lead[keep] - found.count[keep] + 1
+                low = near // width
+                bins = far // width - low + 1
+                of = np.repeat(np.arange(len(keep)), bins)
+                j = np.arange(len(of)) - np.repeat(np.cumsum(bins) - bins, bins) + low[of]
+                high = np.minimum(j * width + width - 1, far[of])
+                n = high - np.maximum(j * width, near[of]) + 1
+                seg, begin = keep[of], far[of] - high
+                start = found.first[seg] + begin
+                end, place = start + n - 1 + window, found.first[seg] + found.lead[seg]
+                sums, raw = _Sums(c.data), c.data.tobytes()
+                core = sums.spans(place - j * width, place - j * width - (width - 1) + window) if len(seg) else np.empty(0, U)
+                core = mix(core ^ mix(found.anchor[seg].view(U) + j.astype(U)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.anchor[keep]),
-                        pa.array(found.s[keep]),
-                        pa.array([raw[a:b] for a, b in zip(found.first[keep], ends)], pa.binary()),
-                        pa.array(ends - found.first[keep] - found.lead[keep]),
+                        *map(pa.array, (found.anchor[seg], found.s[seg], begin.astype(np.int32), n.astype(np.int32), core.view(np.int64))),
+                        pa.array(sums.spans(start, end).view(np.int64)),
+                        pa.array((end - place).astype(np.int32)),
+                        pa.array([raw[a:b] for a, b in zip(start, end)], pa.binary()),
                     ],
-                    names=["anchor", "s", "bytes", "tail"],
+                    names=["anchor", "s", "begin", "n", "core", "piece", "tail", "bytes"],
                 )
 
-    return texts.select("text", "wanted").mapInArrow(run, "anchor long, s long, bytes binary, tail long")
+    return texts.select("text", "wanted").mapInArrow(run, "anchor long, s long, begin int, n int, core long, piece long, tail int, bytes binary")
 
 
 _BLOCK = 16
@@ -267,38 +287,36 @@ def repeated_windows(strings: list[bytes], window: int, tails: np.ndarray | None
 
 
 def _chunk_marks(window: int):
-    """Of one chunk (anchor, s, bytes, tail, cells): marks of windows that are repeated in it, and the classes of anchors that are cut over chunks."""
-    names = ["anchor", "s", "mask", "h1", "h2", "at"]
+    """Of one chunk (core, piece, bytes, tail, cells): the windows that are repeated in it, and the classes of cores that are cut over chunks."""
+    names = ["core", "piece", "mask", "h1", "h2", "at"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(group: pa.Table) -> pa.Table:
-        anchor, s, cells = (group.column(c).to_numpy() for c in ("anchor", "s", "cells"))
+        core, piece, cells, tail = (group.column(c).to_numpy() for c in ("core", "piece", "cells", "tail"))
         strings = group.column("bytes").to_pylist()
         whole = not (cells > 1).any()
-        found, of = repeated_windows(strings, window, group.column("tail").to_numpy() if whole else None)
+        found, of = repeated_windows(strings, window, tail.astype(np.int64) if whole else None)
         hit = np.flatnonzero(found.any(1))
         packed = np.packbits(found[hit], axis=1, bitorder="little")
         empty = [pa.nulls(len(hit), t) for t in types[3:]]
-        tables = [pa.table([pa.array(anchor[hit]), pa.array(s[hit]), pa.array([x.tobytes() for x in packed], pa.binary()), *empty], names=names)]
+        tables = [pa.table([pa.array(core[hit]), pa.array(piece[hit]), pa.array([x.tobytes() for x in packed], pa.binary()), *empty], names=names)]
         if not whole:
             row, start = np.nonzero(of >= 0)
-            keep = cells[row] > 1
-            row, start = row[keep], start[keep]
             _, one = np.unique(of[row, start], return_index=True)
             row, start = row[one], start[one]
             begin = np.cumsum([0, *map(len, strings)])[row] + start
             data = np.frombuffer(b"".join(strings), np.uint8)
             h1, h2 = (_Sums(data, seed).spans(begin, begin + window).view(np.int64) for seed in (1, 2))
-            alone = ~found[row, start]
+            found_alone = ~found[row, start]
             tables.append(
                 pa.table(
-                    [pa.array(anchor[row]), pa.array(s[row], mask=~alone), pa.nulls(len(row), pa.binary()), pa.array(h1), pa.array(h2), pa.array(start.astype(np.int32), mask=~alone)],
+                    [pa.array(core[row]), pa.array(piece[row], mask=~found_alone), pa.nulls(len(row), pa.binary()), pa.array(h1), pa.array(h2), pa.array(start.astype(np.int32), mask=~found_alone)],
                     names=names,
                 )
             )
         return pa.concat_tables(tables).cast(pa.schema(list(zip(names, types))))
 
-    return run, "anchor long, s long, mask binary, h1 long, h2 long, at int"
+    return run, "core long, piece long, mask binary, h1 long, h2 long, at int"
 
 
 def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -314,23 +332,19 @@ def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     a, b = cuts[i], cuts[i + 1]
                     lo, hi = c.off[i], c.off[i + 1]
                     edge = np.zeros(hi - lo + 1, np.int32)
-                    at = {(x, y): z for x, y, z in zip(found.anchor[a:b].tolist(), found.s[a:b].tolist(), range(a, b))}
-                    same: dict[int, list[int]] = {}
-                    for z in range(a, b):
-                        same.setdefault(at[found.anchor[z], found.s[z]], []).append(z)
-                    for mark in marks[c.lo + i].as_py():
-                        z = at.get((mark["anchor"], mark["s"]))
-                        for z in same.get(z, []):
-                            first, count = found.first[z] - lo, found.count[z]
-                            if mark["at"] is not None:
-                                starts = first + np.array(mark["at"], np.int64)
-                            elif mark["mask"] is not None:
-                                bits = np.unpackbits(np.frombuffer(mark["mask"], np.uint8), bitorder="little")
-                                starts = first + np.flatnonzero(bits[:count])
-                            else:
+                    same: dict[tuple[int, int], list[int]] = {}
+                    for x, y, z in zip(found.anchor[a:b].tolist(), found.s[a:b].tolist(), range(a, b)):
+                        same.setdefault((x, y), []).append(z)
+                    # a segment that a text holds more than once is listed as often
+                    listed = {(m["anchor"], m["s"], m["begin"], m["n"], m["mask"]) for m in marks[c.lo + i].as_py()}
+                    for anchor, key, begin, n, mask in listed:
+                        for z in same.get((anchor, key), []):
+                            first, count = found.first[z] - lo + begin, found.count[z] if n is None else n
+                            if mask is None:
                                 edge[first] += 1
                                 edge[first + count - 1 + window] -= 1
                                 continue
+                            starts = first + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:count])
                             np.add.at(edge, starts, 1)
                             np.add.at(edge, starts + window, -1)
                     gone = np.cumsum(edge[:-1]) > 0
@@ -357,33 +371,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # anchors that occur more than once: with one segment, or with several
     shared = own.groupBy("anchor").agg(F.min("s").alias("s"), F.max("s").alias("z"), F.count("*").alias("c")).filter("c > 1")
     shared = written(shared, "shared")
-    several = shared.filter("s <> z").select("anchor", F.ceil(F.col("c") / F.lit(float(cell))).cast("int").alias("cells"))
-    held = sifted(own, "anchor", sieve(several.select("anchor")))
-    held = held.groupBy("anchor", "s").agg(F.count("*").alias("copies"), F.min("t").alias("t"))
-    held = written(held.join(several, "anchor"), "held")
+    several = shared.filter("s <> z").select("anchor")
+    held = sifted(own, "anchor", sieve(several)).groupBy("anchor", "s").agg(F.count("*").alias("copies"), F.min("t").alias("t"))
+    held = written(held.join(several, "anchor", "left_semi"), "held")
 
-    # the bytes of the distinct segments, each from one text
+    # their distinct segments in pieces, each from one text; cores that occur more than once: with one piece, or with several
     wanted = written(held.groupBy("t").agg(F.collect_list(F.struct("anchor", "s")).alias("wanted")), "wanted")
     texts = sifted(docs.select("t", "text"), "t", sieve(wanted.select("t"))).groupBy("t").agg(F.first("text").alias("text"))
-    strings = _strings(texts.join(wanted, "t"), window, gram)
-    buckets = max(1, -(-held.count() // cell))
-    chunk = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("anchor"), F.lit(buckets))).otherwise(F.xxhash64("anchor", F.pmod(F.xxhash64("s"), F.col("cells"))))
-    strings = strings.join(held.select("anchor", "s", "cells"), ["anchor", "s"]).withColumn("chunk", chunk)
+    width = min(BIN, max(1, window // 4))
+    pieces = written(_pieces(texts.join(wanted, "t"), window, gram, width), "pieces")
+    alike = pieces.groupBy("core").agg(F.min("piece").alias("piece"), F.max("piece").alias("z"), F.count("*").alias("c")).filter("c > 1")
+    alike = written(alike, "alike")
+    mixed = alike.filter("piece <> z").select("core")
+    mine = sifted(pieces, "core", sieve(mixed)).join(mixed, "core", "left_semi")
+    mine = written(mine.groupBy("core", "piece").agg(F.count("*").alias("c"), F.first("tail").alias("tail"), F.first("bytes").alias("bytes")), "strings")
+    cells = mine.groupBy("core").agg(F.ceil(F.count("*") / F.lit(float(cell))).cast("int").alias("cells"))
+    buckets = max(1, -(-mine.count() // cell))
+    chunk = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("core"), F.lit(buckets))).otherwise(F.xxhash64("core", F.pmod(F.xxhash64("piece"), F.col("cells"))))
     run, schema = _chunk_marks(window)
-    found = written(strings.select("chunk", "anchor", "s", "bytes", "tail", "cells").groupBy("chunk").applyInArrow(run, schema), "chunks")
-    discard(wanted)
+    found = mine.join(cells, "core").select(chunk.alias("chunk"), "core", "piece", "bytes", "tail", "cells")
+    found = written(found.groupBy("chunk").applyInArrow(run, schema), "chunks")
 
-    # anchors cut over chunks: windows that are alone in theirs, but not in all
+    # cores cut over chunks: windows that are alone in theirs, but not in all
     classes = found.filter("h1 IS NOT NULL")
-    again = classes.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    alone = classes.filter("s IS NOT NULL").join(again, ["anchor", "h1", "h2"]).groupBy("anchor", "s").agg(F.collect_set("at").alias("at"))
-    no_mask, no_at = F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<int>").alias("at")
-    marks = shared.filter("s = z").select("anchor", "s", no_mask, no_at)
-    marks = marks.unionByName(held.filter("copies > 1").select("anchor", "s", no_mask, no_at))
-    marks = marks.unionByName(found.filter("mask IS NOT NULL").select("anchor", "s", "mask", no_at))
-    marks = marks.unionByName(alone.select("anchor", "s", no_mask, "at")).withColumn("both", F.xxhash64("anchor", "s"))
-    marks = written(marks, "marks")
-    discard(shared, held, found)
+    again = classes.groupBy("core", "h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    alone = classes.filter("piece IS NOT NULL").join(again, ["core", "h1", "h2"])
+    nothing = F.lit(None)
+    all_of, mask = nothing.cast("int").alias("only"), nothing.cast("binary").alias("mask")
+    good = alike.filter("piece = z").select("core", "piece", all_of, mask).unionByName(mine.filter("c > 1").select("core", "piece", all_of, mask))
+    good = good.unionByName(found.filter("mask IS NOT NULL").select("core", "piece", all_of, "mask"))
+    good = written(good.unionByName(alone.select("core", "piece", F.col("at").alias("only"), mask)), "good")
+    rows = sifted(pieces.drop("bytes"), "core", sieve(good.select("core"))).join(good, ["core", "piece"])
+    begin = F.col("begin") + F.coalesce("only", F.lit(0))
+    marks = rows.select("anchor", "s", begin.alias("begin"), F.when(F.col("only").isNull(), F.col("n")).otherwise(1).alias("n"), "mask")
+    whole = [F.lit(0).alias("begin"), nothing.cast("int").alias("n"), mask]
+    marks = marks.unionByName(shared.filter("s = z").select("anchor", "s", *whole)).unionByName(held.filter("copies > 1").select("anchor", "s", *whole))
+    marks = written(marks.withColumn("both", F.xxhash64("anchor", "s")), "marks")
+    discard(wanted, shared, held, pieces, alike, mine, found, good)
 
     # texts that occur twice are repeated whole; the others get their marks
     none = F.sha2(F.lit("").cast("binary"), 256)
@@ -392,7 +416,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twins = written(twins.select("t", whole, none.alias("kept_sha256")), "twins")
     mine = sifted(own.withColumn("both", F.xxhash64("anchor", "s")), "both", sieve(marks.select("both"))).drop("both")
     mine = without(mine.join(marks.drop("both"), ["anchor", "s"]), "t", twins.select("t"))
-    lists = written(mine.groupBy("t").agg(F.collect_set(F.struct("anchor", "s", "mask", "at")).alias("marks")), "lists")
+    lists = written(mine.groupBy("t").agg(F.collect_list(F.struct("anchor", "s", "begin", "n", "mask")).alias("marks")), "lists")
     cut = _cut(sifted(docs.select("t", "text"), "t", sieve(lists.select("t"))).join(lists, "t"), window, gram)
     changed = written(cut.unionByName(twins), "changed")
     discard(marks, lists, twins)
