@@ -139,7 +139,10 @@ def _pieces(texts: DataFrame, window: int, gram: int, width: int) -> DataFrame:
                 for i in range(c.n):
                     a, b, mine = cuts[i], cuts[i + 1], wanted[c.lo + i].values
                     hit = np.isin(found.s[a:b], mine.field("s").to_numpy()) & np.isin(found.anchor[a:b], mine.field("anchor").to_numpy())
-                    keep.append(a + np.flatnonzero(hit))
+                    hit = np.flatnonzero(hit)
+                    # a segment that the text holds more than once is cut up once
+                    _, one = np.unique(found.s[a:b][hit], return_index=True)
+                    keep.append(a + hit[one])
                 keep = np.concatenate(keep)
                 # distances run from lead (the first window) down to lead - count + 1
                 far, near = found.lead[keep], found.lead[keep] - found.count[keep] + 1
@@ -335,10 +338,9 @@ def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     same: dict[tuple[int, int], list[int]] = {}
                     for x, y, z in zip(found.anchor[a:b].tolist(), found.s[a:b].tolist(), range(a, b)):
                         same.setdefault((x, y), []).append(z)
-                    # a segment that a text holds more than once is listed as often
-                    listed = {(m["anchor"], m["s"], m["begin"], m["n"], m["mask"]) for m in marks[c.lo + i].as_py()}
-                    for anchor, key, begin, n, mask in listed:
-                        for z in same.get((anchor, key), []):
+                    for mark in marks[c.lo + i].as_py():
+                        begin, n, mask = mark["begin"], mark["n"], mark["mask"]
+                        for z in same.get((mark["anchor"], mark["s"]), []):
                             first, count = found.first[z] - lo + begin, found.count[z] if n is None else n
                             if mask is None:
                                 edge[first] += 1
@@ -414,7 +416,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twins = prints.groupBy("t").agg(F.count("*").alias("c"), F.first("n_bytes").alias("n_bytes")).filter((F.col("c") > 1) & (F.col("n_bytes") >= window))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans")
     twins = written(twins.select("t", whole, none.alias("kept_sha256")), "twins")
-    mine = sifted(own.withColumn("both", F.xxhash64("anchor", "s")), "both", sieve(marks.select("both"))).drop("both")
+    mine = sifted(own.withColumn("both", F.xxhash64("anchor", "s")), "both", sieve(marks.select("both"))).drop("both").distinct()
     mine = without(mine.join(marks.drop("both"), ["anchor", "s"]), "t", twins.select("t"))
     lists = written(mine.groupBy("t").agg(F.collect_list(F.struct("anchor", "s", "begin", "n", "mask")).alias("marks")), "lists")
     cut = _cut(sifted(docs.select("t", "text"), "t", sieve(lists.select("t"))).join(lists, "t"), window, gram)
