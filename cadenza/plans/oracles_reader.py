@@ -23,7 +23,43 @@ _MENTIONS = f"""{_ORDERS}, n AS (
  UNION ALL SELECT o_orderkey, way, 0, y, CASE WHEN d = 2 THEN 2 ELSE m END, CASE WHEN d = 2 THEN m ELSE d END, NULL, CASE WHEN d = 2 AND m <> 2 THEN m WHEN {_SWAP} THEN d END, false, NULL FROM o WHERE way = 9
  UNION ALL SELECT o_orderkey, way, 1, 1999, 2, 23, NULL, NULL, false, 'handling' FROM o WHERE way = 9)"""
 
+_SHOWS = """t AS (
+ SELECT o_orderkey AS id, regexp_replace(a.c_name, '[^A-Za-z0-9]', ' ', 'g') AS act, CASE WHEN o_orderkey % 4 = 0 THEN regexp_replace(g.c_name, '[^A-Za-z0-9]', ' ', 'g') END AS guest,
+ regexp_replace(s_name, '[^A-Za-z0-9]', ' ', 'g') AS hall, 'City ' || (s_suppkey % 17) AS city, n_name AS state, strftime(o_orderdate, '%B %-d, %Y') AS day
+ FROM orders JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer g ON g.c_custkey = o_custkey % 7 + 1
+ JOIN supplier ON s_suppkey = o_orderkey % 7 + 1 JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+#: The units of each show's text, in order, with their roles told by hand.
+_UNITS = f"""{_SHOWS}, u AS (
+ SELECT id, 0 AS line, 0 AS pos, act AS text, 'ARTIST' AS role, 'seg' AS kind, 0 AS block, guest IS NOT NULL AS before_connector FROM t
+ UNION ALL SELECT id, 0, 1, 'with', 'CONNECTOR', 'seg', 0, false FROM t WHERE guest IS NOT NULL
+ UNION ALL SELECT id, 0, 2, guest, 'MEMBER', 'seg', 0, false FROM t WHERE guest IS NOT NULL
+ UNION ALL SELECT id, 1, 0, hall, 'VENUE', 'seg', 0, false FROM t
+ UNION ALL SELECT id, 1, 1, city, 'PLACE', 'seg', 0, false FROM t
+ UNION ALL SELECT id, 1, 2, state, 'PLACE', 'seg', 0, false FROM t
+ UNION ALL SELECT id, 2, 0, 'seeded', 'OTHER', 'seg', 0, false FROM t WHERE id % 3 = 0
+ UNION ALL SELECT id, 2, (id % 3 = 0)::INT, day, 'DATE', 'date', 0, false FROM t
+ UNION ALL SELECT id, 3, 0, 'SBD > DAT > FLAC', 'SOURCE', 'seg', 1, false FROM t
+ UNION ALL SELECT id, 4, 0, '01 opening song', 'TRACK', 'track', 2, false FROM t
+ UNION ALL SELECT id, 5, 0, '02. Second song', 'TRACK', 'track', 2, false FROM t
+ UNION ALL SELECT id, 6, 0, 'Thanks to the taper who kept all of these for so long', 'OTHER', 'seg', 3, false FROM t WHERE id % 5 = 0)"""
+_WORDS = "len(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))"
+_CAPS = "kind = 'seg' AND regexp_matches(text, '[A-Za-z]') AND text = upper(text)"
+_FEATURES = {
+    "line0": "line = 0", "line1": "line = 1", "line2_3": "line IN (2, 3)", "line4_8": "line BETWEEN 4 AND 8", "block_later": "block > 0",
+    "first_in_line": "pos = 0", "after_first": "pos > 0", "date_nonshow": "kind = 'date' AND id % 3 = 0", "date_show": "kind = 'date' AND id % 3 <> 0",
+    "numbered_track": "kind = 'track'", "w1": f"kind = 'seg' AND {_WORDS} = 1", "w2_4": f"kind = 'seg' AND {_WORDS} BETWEEN 2 AND 4", "w8p": f"kind = 'seg' AND {_WORDS} > 7",
+    "all_caps": _CAPS, "all_lower": "kind = 'seg' AND text IN ('with', 'seeded')", "starts_lower": "kind = 'seg' AND text IN ('with', 'seeded')",
+    "title_case": "kind = 'seg' AND text NOT IN ('with', 'seeded') AND text NOT LIKE 'Thanks%' AND text <> upper(text)",
+    "has_digit": "kind = 'seg' AND regexp_matches(text, '[0-9]')", "has_gt": "kind = 'seg' AND text LIKE '%>%'", "source_kw": "role = 'SOURCE'", "label_source": "role = 'SOURCE'",
+    "connector_word": "text = 'with'", "next_is_connector": "before_connector", "prev_is_connector": "role = 'MEMBER'",
+    "prev_line_date": "line = 3", "lib_artist": "role IN ('ARTIST', 'MEMBER')", "lib_venue": "role = 'VENUE'",
+}
+
 ORACLES = {
+    "feature_counts": f"WITH {_UNITS} SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n_units, count(DISTINCT id) AS n_texts FROM u WHERE {c}" for f, c in _FEATURES.items())
+    + ") WHERE n_units > 0",
+    "decoded_roles": f"WITH {_UNITS} SELECT id, line, pos, text, role FROM u",
     "mentioned_dates": f"WITH {_MENTIONS} SELECT o_orderkey, i, y AS year, m AS month, d AS day, e AS end_day, om AS other_month, a AS ambiguous, r AS role FROM n",
     # of two mentions in ways 2, 4 and 5 the more precise leads, and the other gives its year
     "event_dates": f"""WITH {_MENTIONS}, u AS (SELECT * FROM n WHERE r IS DISTINCT FROM 'handling')
