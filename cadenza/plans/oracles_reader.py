@@ -55,7 +55,14 @@ _FEATURES = {
     "prev_line_date": "line = 3", "lib_artist": "role IN ('ARTIST', 'MEMBER')", "lib_venue": "role = 'VENUE'",
 }
 
+_CAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
 ORACLES = {
+    "peeled_places": f"""WITH t AS (SELECT o_orderkey, o_orderkey % 7 AS way, {_CAP.format("array_to_string(string_split(p_name, ' ')[1:2], ' ')")} AS town, {_CAP.format("n_name")} AS land
+ FROM orders JOIN supplier ON s_suppkey = o_orderkey % 7 + 1 JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey)
+ SELECT o_orderkey, CASE way WHEN 3 THEN 'Nowhere' ELSE town END AS city, NULL::VARCHAR AS region, CASE WHEN way <> 5 THEN land END AS country,
+ ['Old Hall', '', '', 'Blue Room', 'Long Wharf', 'Royal Hall'][way + 1] AS left, ['Old Hall', 'The Barn', 'Stars', 'Blue Room', 'Long Wharf', 'Royal Hall'][way + 1] AS venue,
+ CASE way WHEN 3 THEN 'medium' WHEN 5 THEN 'low' ELSE 'high' END AS confidence FROM t WHERE way <> 6""",
     "feature_counts": f"WITH {_UNITS} SELECT * FROM ("
     + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n_units, count(DISTINCT id) AS n_texts FROM u WHERE {c}" for f, c in _FEATURES.items())
     + ") WHERE n_units > 0",

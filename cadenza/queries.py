@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, dated, filters, integrity, matching, normalise, ranking, reading, resolution, resolve, rights, scoring, search, text, upkeep
+from cadenza.operators import catalogue, dated, filters, integrity, matching, normalise, places, ranking, reading, resolution, resolve, rights, scoring, search, text, upkeep
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_reader import ORACLES as _READER
@@ -35,6 +35,7 @@ _MODULES = {
     upkeep: "owed_work orphans orphan_places dangling_memberships stale_staging placeholder_venues filled_roles outdated_analyses tag_inventory group_spread roster_stints migrated_counts derived_sets demotable",
     rights: "rights_rules",
     reading: "feature_counts decoded_roles",
+    places: "peeled_places",
     dated: "mentioned_dates event_dates",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
