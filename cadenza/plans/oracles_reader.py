@@ -58,6 +58,12 @@ _FEATURES = {
 _CAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 ORACLES = {
+    "catalogue_shows": """SELECT o_custkey, 'Act ' || o_custkey AS act, CASE WHEN o_custkey % 3 = 0 THEN '/AppData/x' || o_custkey || '/' END AS act_link,
+ CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%m-??-%y') ELSE strftime(o_orderdate, '%m-%d-%Y') END AS date, cast(month(o_orderdate) AS INT) AS month,
+ CASE WHEN o_orderkey % 5 <> 0 THEN cast(day(o_orderdate) AS INT) END AS day, cast(CASE WHEN o_orderkey % 5 = 0 THEN year(o_orderdate) % 100 ELSE year(o_orderdate) END AS INT) AS year,
+ CASE WHEN o_orderkey % 4 <> 0 THEN '/shows/' || o_orderkey || CASE WHEN o_orderkey % 4 = 1 THEN '.htm' ELSE '/' END END AS link,
+ 'Hall & Barn ' || o_orderkey AS venue, o_orderpriority AS source, ['unlinked', 'page', 'folder', 'folder'][o_orderkey % 4 + 1] AS kind FROM orders""",
+    "linked_text": """SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<a href=')) AS n_links, len(regexp_extract_all(coalesce(html, ''), '(?i)<tr[ >]')) AS n_rows FROM pages""",
     "peeled_places": f"""WITH t AS (SELECT o_orderkey, o_orderkey % 7 AS way, {_CAP.format("array_to_string(string_split(p_name, ' ')[1:2], ' ')")} AS town, {_CAP.format("n_name")} AS land
  FROM orders JOIN supplier ON s_suppkey = o_orderkey % 7 + 1 JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey)
  SELECT o_orderkey, CASE way WHEN 3 THEN 'Nowhere' ELSE town END AS city, NULL::VARCHAR AS region, CASE WHEN way <> 5 THEN land END AS country,
