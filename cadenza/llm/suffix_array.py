@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -322,41 +323,59 @@ def _chunk_marks(window: int):
     return run, "core long, piece long, mask binary, h1 long, h2 long, at int"
 
 
+def _places(chunk, found: _Segments, marks: pa.ListArray, window: int) -> np.ndarray:
+    """Whether each byte of the chunk is removed by the marks of its document."""
+    marks = marks.slice(chunk.lo, chunk.n)
+    doc = np.repeat(np.arange(chunk.n), np.diff(marks.offsets.to_numpy()))
+    flat = marks.flatten()
+    key = lambda d, anchor, s: mix(mix(anchor.view(U) + d.astype(U)) ^ s.view(U))
+    have = key(found.doc, found.anchor, found.s)
+    order = np.argsort(have, kind="stable")
+    asked = key(doc, *(flat.field(c).to_numpy() for c in ("anchor", "s")))
+    lo, hi = (np.searchsorted(have[order], asked, side) for side in ("left", "right"))
+    # a segment that a text holds more than once takes each of its marks as often
+    times = hi - lo
+    mark = np.repeat(np.arange(len(asked)), times)
+    segment = order[np.arange(len(mark)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+    first = found.first[segment] + flat.field("begin").to_numpy()[mark]
+    count = pc.fill_null(flat.field("n"), -1).to_numpy()[mark]
+    count = np.where(count < 0, found.count[segment], count)
+    masks = flat.field("mask")
+    some = masks.is_valid().to_numpy(zero_copy_only=False)[mark]
+    starts, ends = [first[~some]], [first[~some] + count[~some] - 1 + window]
+    if some.any():
+        parts = masks.take(pa.array(mark[some])).to_pylist()
+        bits = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), bitorder="little"))
+        begin = 8 * np.cumsum([0, *map(len, parts)])
+        of = np.searchsorted(begin, bits, "right") - 1
+        at = bits - begin[of]
+        at = first[some][of] + at
+        starts.append(at)
+        ends.append(at + window)
+    n = len(chunk.data) + 1
+    edge = np.bincount(np.concatenate(starts), minlength=n) - np.bincount(np.concatenate(ends), minlength=n)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """t, spans (removed runs of bytes) and kept_sha256 of texts with the segments and windows in ``marks`` removed."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            marks = batch.column(2)
             for c in chunks(batch.column(1)):
-                found = _Segments(c, window, gram)
-                cuts, out = found.cuts(c.n), []
-                for i in range(c.n):
-                    a, b = cuts[i], cuts[i + 1]
-                    lo, hi = c.off[i], c.off[i + 1]
-                    edge = np.zeros(hi - lo + 1, np.int32)
-                    same: dict[tuple[int, int], list[int]] = {}
-                    for x, y, z in zip(found.anchor[a:b].tolist(), found.s[a:b].tolist(), range(a, b)):
-                        same.setdefault((x, y), []).append(z)
-                    for mark in marks[c.lo + i].as_py():
-                        begin, n, mask = mark["begin"], mark["n"], mark["mask"]
-                        for z in same.get((mark["anchor"], mark["s"]), []):
-                            first, count = found.first[z] - lo + begin, found.count[z] if n is None else n
-                            if mask is None:
-                                edge[first] += 1
-                                edge[first + count - 1 + window] -= 1
-                                continue
-                            starts = first + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:count])
-                            np.add.at(edge, starts, 1)
-                            np.add.at(edge, starts + window, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    turn = np.diff(gone.astype(np.int8), prepend=0, append=0)
-                    spans = list(zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist()))
-                    kept = hashlib.sha256(c.data[lo:hi][~gone].tobytes()).hexdigest()
-                    out.append(([{"start": x, "end": y} for x, y in spans], kept))
-                spans, kept = zip(*out)
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], pa.array(spans, kind), pa.array(kept)], names=["t", "spans", "kept_sha256"])
+                gone = _places(c, _Segments(c, window, gram), batch.column(2), window)
+                # a run ends where its document does
+                limit = np.zeros(len(gone) + 1, bool)
+                limit[c.off] = True
+                before, after = np.concatenate([[False], gone]), np.concatenate([gone, [False]])
+                starts = np.flatnonzero(after & (~before | limit))
+                ends = np.flatnonzero(before & (~after | limit))
+                cuts = np.searchsorted(starts, c.off).astype(np.int32)
+                own = np.repeat(c.off[:-1], np.diff(cuts))
+                spans = pa.StructArray.from_arrays([pa.array(starts - own), pa.array(ends - own)], fields=list(kind.value_type))
+                kept = [hashlib.sha256(c.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(c.off[:-1], c.off[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], pa.ListArray.from_arrays(cuts, spans), pa.array(kept)], names=["t", "spans", "kept_sha256"])
 
     return texts.select("t", "text", "marks").mapInArrow(run, f"t binary, spans {SPANS}, kept_sha256 string")
 
@@ -392,7 +411,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunk = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("core"), F.lit(buckets))).otherwise(F.xxhash64("core", F.pmod(F.xxhash64("piece"), F.col("cells"))))
     run, schema = _chunk_marks(window)
     found = mine.join(cells, "core").select(chunk.alias("chunk"), "core", "piece", "bytes", "tail", "cells")
-    found = written(found.groupBy("chunk").applyInArrow(run, schema), "chunks")
+    # chunks are small but take long, so they are dealt by their number and not by their bytes
+    found = written(found.repartition(max(1, -(-buckets // 4)), "chunk").groupBy("chunk").applyInArrow(run, schema), "chunks")
 
     # cores cut over chunks: windows that are alone in theirs, but not in all
     classes = found.filter("h1 IS NOT NULL")
