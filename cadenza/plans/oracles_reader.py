@@ -58,6 +58,19 @@ _FEATURES = {
 _CAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 ORACLES = {
+    # tags and texts are alike where they are equal or differ in one letter
+    "corroboration": """WITH t AS (SELECT o_orderkey, o_orderkey AS k FROM orders), s AS (SELECT o_orderkey,
+ least(1, CASE WHEN k % 2 = 0 THEN 0.7 WHEN k % 3 < 2 THEN 0.55 ELSE 0 END + CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 0.1 ELSE 0 END)::DOUBLE AS artist,
+ least(1, CASE WHEN k % 5 > 0 THEN 0.7 WHEN k % 4 = 0 THEN 0.55 ELSE 0 END + CASE WHEN k % 5 > 0 OR k % 4 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 5 > 0 AND k % 4 = 0 THEN 0.1 ELSE 0 END)::DOUBLE AS venue,
+ CASE WHEN k % 5 > 1 THEN 0.7 ELSE 0.55 END + CASE WHEN (k % 5 > 0 OR k % 4 = 0) AND (k % 5 > 1 OR k % 2 = 0) THEN 0.2 ELSE 0 END + CASE WHEN k % 5 > 1 AND k % 2 = 0 THEN 0.1 ELSE 0 END AS city,
+ CASE WHEN k % 5 > 0 OR k % 4 = 0 THEN 0.75 ELSE 0.55 END AS state,
+ CASE WHEN k % 6 = 0 THEN CASE WHEN k % 5 > 0 OR k % 4 = 0 THEN 0.9 ELSE 0.7 END ELSE 0 END AS country,
+ least(1, round(CASE WHEN k % 4 = 0 THEN 0.7 / 3 WHEN k % 4 = 1 THEN 1.4 / 3 ELSE 0.7 END + CASE WHEN k % 4 > 1 AND k % 3 = 0 THEN 0.3 ELSE 0 END, 2))::DOUBLE AS date FROM t)
+ SELECT o_orderkey, round(artist, 2) AS artist, round(venue, 2) AS venue, round(city::DOUBLE, 2) AS city, state::DOUBLE AS state, country::DOUBLE AS country, date,
+ cast(round_even(round(28 * artist + 20 * venue + 12 * city + 8 * state + 5 * country + 27 * date, 6), 0) AS INT) AS score FROM s""",
+    "track_corroboration": """WITH r AS (SELECT l_orderkey, l_partkey % 5 AS n FROM lineitem JOIN part ON p_partkey = l_partkey)
+ SELECT l_orderkey, count(*) FILTER (n = 0) AS confirmed, count(*) FILTER (n > 2) AS tag_only, count(*) FILTER (n = 2) AS text_only, count(*) FILTER (n = 1) AS conflict, 0::BIGINT AS missing,
+ cast(round_even(round(100 * sum([1.0, 0.55, 0.6, 0.75, 0.75][n + 1]) / count(*), 6), 0) AS INT) AS score FROM r GROUP BY l_orderkey""",
     "catalogue_shows": """SELECT o_custkey, 'Act ' || o_custkey AS act, CASE WHEN o_custkey % 3 = 0 THEN '/AppData/x' || o_custkey || '/' END AS act_link,
  CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%m-??-%y') ELSE strftime(o_orderdate, '%m-%d-%Y') END AS date, cast(month(o_orderdate) AS INT) AS month,
  CASE WHEN o_orderkey % 5 <> 0 THEN cast(day(o_orderdate) AS INT) END AS day, cast(CASE WHEN o_orderkey % 5 = 0 THEN year(o_orderdate) % 100 ELSE year(o_orderdate) END AS INT) AS year,
