@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import written
+from cadenza.llm.common import discard, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -44,8 +44,15 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b) that is not its component's smallest."""
+    """node, component (its smallest node) for every node of edges (a, b) that is not its component's smallest.
+
+    Null ends join nothing, equal and repeated edges count once, and no edges give no rows.
+    The result can be given to ``discard``; superseded edges are deleted here.
+    """
     edges = written(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _stars(edges):
-        edges = written(_small_star(_large_star(edges)), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        discard(before)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out.written_path = edges.written_path
+    return out

@@ -137,12 +137,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[D
     table = np.zeros(size, np.int64)
     for r in counts.collect():
         table[r.block * (size // _BLOCKS) :][: size // _BLOCKS] = np.frombuffer(r.counts, np.int64)
+    table_path = rows.written_path
     rows = rows.filter("block IS NULL")
     twice = rows.groupBy("key").agg(F.min("key2").alias("x"), F.max("key2").alias("y")).filter("x <> y")
     clashes = frozenset(r.key for r in twice.select("key").collect())
     if clashes:
         rows = rows.withColumn("key", F.when(F.col("key").isin(*clashes), F.col("key2")).otherwise(F.col("key")))
-    return rows.select("doc_id", "n", "key", "sig"), table, clashes
+    rows = rows.select("doc_id", "n", "key", "sig")
+    rows.written_path = table_path
+    return rows, table, clashes
 
 
 def prefixes(docs: DataFrame, text_col: str, k: int, percent: int, table: np.ndarray, clashes: frozenset[int]) -> DataFrame:
@@ -326,6 +329,7 @@ def jaccard_components(
 
     ids = classes.select("key", "doc_id")
     tested = links = sets = None
+    done = [rows, classes]
     parts = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
 
     def test(pairs: DataFrame) -> None:
@@ -335,6 +339,7 @@ def jaccard_components(
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(_filtered(pairs, classes, percent), "pairs")
+        done.append(pairs)
         if pairs.isEmpty():
             return
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(ids, "key")
@@ -343,23 +348,26 @@ def jaccard_components(
         wanted = written(wanted, "wanted")
         if sets is None or not wanted.isEmpty():
             more = written(_whole_sets(docs, id_col, text_col, k, wanted, clashes), "whole-sets")
+            done.append(more)
             sets = more if sets is None else sets.unionByName(more)
         discard(wanted)
         found = written(_links(pairs, sets, percent), "links")
+        done.append(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        parts = components(links)
+        before, parts = parts, components(links)
+        discard(before)
 
     test(two.unionByName(_star_pairs(held, 0, 1, percent, False)))
     discard(kept, shared)
-    rows_of, named = held, None
+    rows_of, table_of, named = held, held, None
     for seed in range(rounds + 1):
         # shingles whose classes lie in more than one component
         of = rows_of.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).filter("x <> y")
-        before, named = rows_of, written(of.join(mixed.select("token", "c"), "token"), "named")
-        discard(before)
-        rows_of = named.drop("component", "c")
+        named = written(of.join(mixed.select("token", "c"), "token"), "named")
+        discard(table_of)
+        rows_of, table_of = named.drop("component", "c"), named
         if seed < rounds:
             test(_star_pairs(named, 1 + seed * ends, ends, percent, True))
     test(_last_pairs(named, classes, percent, cell))
@@ -368,7 +376,10 @@ def jaccard_components(
     whole = ids.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     whole = whole.join(least, "component").select("key", "component_id")
-    return rows.join(whole, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(whole, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(out, "components")
+    discard(parts, *done)
+    return out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

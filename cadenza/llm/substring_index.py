@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import read, shared_dir, written
+from cadenza.llm.common import discard, read, shared_dir, written
 from cadenza.llm.textarrays import chunks, span_hash, window_hash
 
 WINDOW = 50
@@ -252,6 +252,7 @@ class FingerprintIndex:
         out = prints.select("doc_id", "n_words", "digest").join(cut, ["doc_id", "digest"], "left")
         out = written(out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept", "digest"), "deduplicated")
         self.add_run(firsts.filter("new").select(*key, "doc_id"))
+        discard(prints, fresh, windows)
         return out
 
 

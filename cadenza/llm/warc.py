@@ -65,7 +65,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     )
     differ = (F.min("second") != F.max("second")) | (F.min("n") != F.max("n"))
     firsts = rows.groupBy("digest").agg(
-        F.when(differ, F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("long"))
+        F.when(differ, F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast(rows.schema["page_id"].dataType))
         .otherwise(F.min("page_id"))
         .alias("first_page")
     )

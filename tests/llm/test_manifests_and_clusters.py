@@ -220,3 +220,40 @@ def test_few_vectors_textual_ids_and_none(spark):
     assert len(centers) == 3 and sorted(r.distance for r in found.collect()) == [0, 0, 0]
     found, centers = clusters(spark.createDataFrame([], schema))
     assert found.isEmpty() and len(centers) == 0
+
+
+# --- what an operator leaves in the shared folder
+
+
+def _left(spark):
+    import os
+
+    from cadenza.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/cadenza".removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_superseded_tables_are_deleted(spark, docs):
+    from cadenza.llm.jaccard_join import jaccard_components
+    from cadenza.llm.substring_index import deduplicate
+
+    before = _left(spark)
+    out = jaccard_components(docs, cell=2)
+    kinds = Counter(name.rsplit("-", 1)[0] for name in _left(spark) - before)
+    assert kinds == {"components": 1} and out.count() == docs.count()
+    before = _left(spark)
+    deduplicate(docs).count()
+    assert {name.rsplit("-", 1)[0] for name in _left(spark) - before} == {"deduplicated", "index"}
+    before = _left(spark)
+    assert repeated_spans(docs, window=60, gram=20).count() == docs.count()
+    assert {name.rsplit("-", 1)[0] for name in _left(spark) - before} == {"segments", "changed"}
+
+
+def test_archive_of_pages_with_textual_ids(spark, tmp_path):
+    from cadenza.llm.warc import read_archive, write_archive
+
+    rows = [("b", "u", "x" * 200), ("a", "u", "x" * 200), (None, "u", "x" * 200), ("c", None, None)]
+    folder = write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "archive"))
+    got = {r.page_id: r.record_type for r in read_archive(spark, folder).collect()}
+    assert got == {"a": "response", "b": "revisit", None: "revisit", "c": "response"}
