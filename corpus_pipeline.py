@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; all but the last return the columns of documents.  Rows with a null doc_id
 are scored, redacted and packed, but cannot be named by the stages that decide by
-id, and so are never taken for duplicates or for contaminated.
+id, and so are never taken for duplicates or for contaminated.  Null and empty texts are
+scored like others, have no shingles and no passages, and are packed as their end alone; rows that
+repeat an id are one document, kept once by the Jaccard join; of equally near duplicates the one
+with the smallest id stays; texts of any length are worked on whole; an empty table gives no rows.
+
+A stage's table is deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import read, small_batches, without, written
+from cadenza.llm.common import discard, read, small_batches, without, written
 from cadenza.llm.decontaminate import contaminated
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.packing import pack
@@ -75,7 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = written(docs, f"stage-{number}")
+            before, docs = docs, written(docs, f"stage-{number}")
+            discard(before)
     return docs
 
 
