@@ -58,6 +58,20 @@ _FEATURES = {
 _CAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 ORACLES = {
+    "folder_names": """WITH r AS (SELECT o_orderkey, upper(replace(lower(c_name), '#', ' ')[1]) || replace(lower(c_name), '#', ' ')[2:] AS artist, year(o_orderdate)::VARCHAR AS year,
+ CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%m') END AS month, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%d') END AS day,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'City ' || c_nationkey END AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'sbd' END AS source FROM orders JOIN customer ON o_custkey = c_custkey)
+ SELECT o_orderkey, artist || ' ' || year || coalesce('-' || month, '') || coalesce('-' || day, '') || coalesce(' (' || city || ')', '') || coalesce(' ' || source, '') AS name, artist, year, month, day, city, source FROM r""",
+    "vector_signals": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x::DOUBLE, 0)) AS x FROM embeddings), s AS (SELECT vec_id, x, len(x) AS n,
+ greatest(10 * log10(greatest(list_avg(list_transform(x, lambda a: a * a)), 1e-20)), -140) AS rms, greatest(10 * log10(greatest(list_max(list_transform(x, lambda a: a * a)), 1e-20)), -140) AS peak FROM v)
+ SELECT vec_id, n, round(rms, 6) AS rms_db, round(peak, 6) AS peak_db, round(peak - rms, 6) AS crest_db, round(len(list_filter(x, lambda a: abs(a) >= 0.999)) / n, 6) AS clipped_share, round(list_avg(x), 6) AS dc_offset,
+ len(list_filter(range(2, n + 1), lambda i: (x[i] < 0) <> (x[i - 1] < 0)))::DOUBLE AS zero_crossings,
+ len(list_filter(range(1, n - 1), lambda i: abs(x[i]) >= 0.999 AND abs(x[i + 1]) >= 0.999 AND abs(x[i + 2]) >= 0.999 AND (i = 1 OR abs(x[i - 1]) < 0.999)))::DOUBLE AS n_clips FROM s""",
+    "play_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+ SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM g GROUP BY user_id, s""",
+    "returned_offers": """WITH e AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events WHERE event_type IN ('view', 'purchase'))
+ SELECT user_id, ts + INTERVAL 1 HOUR AS due FROM e WHERE event_type = 'view' AND (after IS NULL OR after >= ts + INTERVAL 1 HOUR)""",
     # tags and texts are alike where they are equal or differ in one letter
     "corroboration": """WITH t AS (SELECT o_orderkey, o_orderkey AS k FROM orders), s AS (SELECT o_orderkey,
  least(1, CASE WHEN k % 2 = 0 THEN 0.7 WHEN k % 3 < 2 THEN 0.55 ELSE 0 END + CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 0.1 ELSE 0 END)::DOUBLE AS artist,

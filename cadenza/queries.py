@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, corroboration, dated, filters, integrity, matching, normalise, places, ranking, reading, resolution, resolve, rights, scoring, search, text, upkeep, webpages
+from cadenza.operators import catalogue, corroboration, dated, filters, integrity, matching, normalise, places, ranking, reading, recordings, resolution, resolve, rights, scoring, search, text, upkeep, webpages
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_reader import ORACLES as _READER
@@ -38,6 +38,7 @@ _MODULES = {
     places: "peeled_places",
     webpages: "catalogue_shows linked_text",
     corroboration: "corroboration track_corroboration misspelt_names",
+    recordings: "folder_names vector_signals play_sessions returned_offers",
     dated: "mentioned_dates event_dates",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
