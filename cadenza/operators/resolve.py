@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.checks import date_verdict, matched_checksums, track_shortfall, wholly_owned
 from cadenza.sources.catalogue import Catalogue
 
 # Weight of a less precise compatible date.
@@ -100,14 +101,13 @@ def aligned_tracks(c: Catalogue) -> DataFrame:
 
 
 def disc_shortfall(c: Catalogue) -> DataFrame:
-    """Tracks missing per disc (supplier parity): the largest number less the tracks there, numbering that runs on counted from the disc before."""
-    rows = c.table("lineitem").select("l_orderkey", (F.col("l_suppkey") % 2 + 1).cast("int").alias("disc"), "l_linenumber").distinct()
-    discs = rows.groupBy("l_orderkey", "disc").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.count("*").alias("n"))
-    by = Window.partitionBy("l_orderkey").orderBy("disc")
-    before = F.lag("hi").over(by)
-    runs_on = F.coalesce(F.col("lo") > before, F.lit(False))
-    short = F.when(runs_on, F.col("hi") - before).otherwise(F.col("hi")) - F.col("n")
-    return discs.select("l_orderkey", "disc", short.cast("int").alias("missing")).filter("missing > 0")
+    """Shows with fewer tracks or discs than their lines say: the supplier's parity as disc, the part as total or number of discs."""
+    part = F.col("l_partkey")
+    rows = c.table("lineitem").select(
+        "l_orderkey", (F.col("l_suppkey") % 2 + 1).alias("disc"), F.when(part % 11 > 0, F.col("l_linenumber")).alias("number"),
+        F.when(part % 10 == 0, F.col("l_linenumber") + 1).alias("total"), F.when(part % 90 == 0, 3).when(part % 90 == 1, 4481).alias("discs"),
+    )
+    return track_shortfall(rows, "l_orderkey")
 
 
 def incomplete_releases(c: Catalogue) -> DataFrame:
@@ -145,32 +145,23 @@ def duplicate_shows(c: Catalogue) -> DataFrame:
 
 
 def owned_wholly(c: Catalogue) -> DataFrame:
-    """Shows all of whose checksums (parts) match, of one owner only, with as many checksums as audio files."""
-    files = c.table("lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n_hash"))
-    owners = c.table("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("owner"), F.count_distinct("l_suppkey").alias("owners"))
-    rows = c.table("lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey").distinct().join(owners, "l_partkey")
-    rows = rows.groupBy("l_orderkey").agg(F.count("*").alias("matched"), F.count_distinct("owner").alias("n_owners"), F.min("owner").alias("owner")).join(files, "l_orderkey")
-    return rows.filter("matched = n_hash AND n_owners = 1").select("l_orderkey", "owner", "n_hash")
+    """Shows all of whose parts have been seen at one supplier only, by lines before the last year, and no fewer than the show's lines."""
+    lines = c.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("checksum"), F.col("l_suppkey").alias("owner"), F.year("l_shipdate").alias("y"))
+    shows = lines.filter("l_orderkey % 10 = 0")
+    counts = shows.groupBy("l_orderkey").agg(F.count_distinct("checksum", "owner").alias("n_audio"))
+    return wholly_owned(shows, "l_orderkey", lines.filter("y < 1998 AND checksum % 3 > 0 OR owner % 7 = 0").select("checksum", F.lit(1).cast("long").alias("owner")).unionByName(lines.filter("owner % 50 = 1").select("checksum", "owner")), counts)
 
 
 def checksum_matches(c: Catalogue) -> DataFrame:
-    """Checksum entries to tracks: relative path, else unique file name, else unique stem, else position where an entry has no name and the counts are equal."""
+    """Checksum entries to tracks: relative path, else unique file name, else unique stem, else position where no entry has a name and the counts are equal."""
     base = scanned_tracks(c).filter("l_orderkey % 4 = 0").select("l_orderkey", "at", F.coalesce("tag", F.concat(F.lit("t"), F.col("printed"))).alias("stem"))
-    tracks = base.select("l_orderkey", "at", F.concat_ws("/", F.concat(F.lit("d"), (F.col("at") % 2).cast("string")), F.concat("stem", F.lit(".flac"))).alias("path"), F.concat("stem", F.lit(".flac")).alias("name"), "stem")
-    path = F.when(F.col("l_orderkey") % 12 == 0, None).when(F.col("at") % 4 == 1, F.col("path")).when(F.col("at") % 4 == 2, F.concat(F.lit("other/"), F.col("name"))).otherwise(F.concat("stem", F.lit(".wav")))
-    entries = tracks.select("l_orderkey", F.col("at").alias("entry"), path.alias("given"))
-    entries = entries.withColumn("name", F.regexp_extract("given", "([^/]+)$", 1)).withColumn("stem", F.regexp_replace("name", "\\.[^.]*$", ""))
-    entries = entries.withColumn("named", F.count("given").over(Window.partitionBy("l_orderkey")))
-
-    def unique(key: str) -> DataFrame:
-        rows = tracks.groupBy("l_orderkey", key).agg(F.min("at").alias(f"by_{key}"), F.count("*").alias("n")).filter("n = 1")
-        return rows.drop("n").withColumnRenamed(key, "given") if key == "path" else rows.drop("n")
-
-    rows = entries.join(unique("path"), ["l_orderkey", "given"], "left").join(unique("name"), ["l_orderkey", "name"], "left").join(unique("stem"), ["l_orderkey", "stem"], "left")
-    rows = rows.join(tracks.select("l_orderkey", F.col("at").alias("entry"), F.col("at").alias("position")), ["l_orderkey", "entry"], "left")
-    tiers = [("path", F.col("by_path")), ("name", F.col("by_name")), ("stem", F.col("by_stem")), ("position", F.when(F.col("named") == 0, F.col("position")))]
-    tier = F.coalesce(*(F.when(x.isNotNull(), n) for n, x in tiers))
-    return rows.select("l_orderkey", "entry", F.coalesce(*(x for _, x in tiers)).alias("track"), tier.alias("tier"))
+    at = F.col("at")
+    tracks = base.select("l_orderkey", at.alias("track"), F.concat(F.lit("d"), at % 2, F.lit("/"), F.col("stem"), F.lit(".flac")).alias("path"), "stem")
+    path = F.when(F.col("l_orderkey") % 12 == 0, None).when(F.col("track") % 4 == 1, F.upper("path")).when(F.col("track") % 4 == 2, F.concat(F.lit("other/"), F.col("stem"), F.lit(".flac"))).otherwise(F.concat("stem", F.lit(".wav")))
+    entries = tracks.select("l_orderkey", (F.col("track") - 1).alias("entry"), F.concat(F.lit("sum "), F.col("track")).alias("checksum"), path.alias("path"))
+    # of every second text without names an entry is lost, so that its places say nothing
+    entries = entries.filter("NOT (l_orderkey % 24 = 0 AND entry = 0)")
+    return matched_checksums(entries, tracks.select("l_orderkey", "track", "path"), "l_orderkey")
 
 
 def performance_members(c: Catalogue) -> DataFrame:
@@ -190,13 +181,10 @@ def performance_members(c: Catalogue) -> DataFrame:
 
 
 def judgements(c: Catalogue) -> DataFrame:
-    """Per kind of verdict the items: right, variant (same day, less precise), partial (same year), wrong, empty."""
+    """Per kind of verdict the items: right, partial (less precise), wrong (a part that the key does not state, or otherwise), empty."""
     gold = c.performance.select(F.col("id").alias("item"), F.col("y").alias("gy"), F.col("m").alias("gm"), F.col("d").alias("gd"))
     rows = gold.join(date_candidates(c).filter("source = 0").select("item", "y", "m", "d"), "item", "left")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    fits = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-    verdict = F.when(F.col("y").isNull(), "empty").when(same("y", "gy") & same("m", "gm") & same("d", "gd"), "right")
-    verdict = verdict.when((F.col("y") == F.col("gy")) & fits("m", "gm") & fits("d", "gd"), "variant").when(F.col("y") == F.col("gy"), "partial").otherwise("wrong")
+    verdict = date_verdict([F.col("gy"), F.col("gm"), F.col("gd")], [F.col("y"), F.col("m"), F.col("d")])
     return rows.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.sources.archives import source_type
 from cadenza.sources.catalogue import Catalogue
 
 
@@ -23,11 +24,13 @@ def parsed_dates(c: Catalogue) -> DataFrame:
 
 
 def source_hints(c: Catalogue) -> DataFrame:
-    """Source type from words of a name; MTX before SBD before FM before AUD."""
-    rows = c.table("documents").select("doc_id", F.lower("text").alias("t"))
-    has = lambda w: F.col("t").rlike(f"(^|[^a-z]){w}([^a-z]|$)")
-    kind = F.when(has("ion"), "MTX").when(has("ist"), "SBD").when(has("est"), "FM").when(has("was"), "AUD")
-    return rows.select("doc_id", kind.alias("source"))
+    """Source types from identifiers and source lines that are written in eight ways."""
+    key = F.col("o_orderkey")
+    marks = ["sbd", "x.mtx", "matrix-fm", "live", "audit", "live", "", "AUD"]
+    lines = ["AUD master", "", "", "board feed > dat", "FM broadcast", "sbd + aud matrix", None, "from the radio"]
+    way = (key % 8 + 1).cast("int")
+    identifier = F.concat(F.lit("act"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."), F.element_at(F.array(*map(F.lit, marks)), way))
+    return c.table("orders").select("o_orderkey", source_type(identifier, F.element_at(F.array(*map(F.lit, lines)), way)).alias("source"))
 
 
 def links(c: Catalogue) -> DataFrame:

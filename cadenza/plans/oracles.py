@@ -139,9 +139,6 @@ ORACLES = {
     "smoothed_bins": _BINS,
     "isotonic_bins": f"""WITH b AS (SELECT bin, rate, n + 2 AS n FROM ({_BINS})), e AS (SELECT i.bin, j.bin AS lo, k.bin AS hi, sum(m.rate * m.n) / sum(m.n) AS mean FROM b i JOIN b j ON j.bin <= i.bin JOIN b k ON k.bin >= i.bin JOIN b m ON m.bin BETWEEN j.bin AND k.bin GROUP BY ALL),
  l AS (SELECT bin, lo, min(mean) AS least FROM e GROUP BY ALL), f AS (SELECT bin, max(least) AS fitted FROM l GROUP BY bin) SELECT b.bin, b.rate, b.n, round(fitted, 9) AS fitted FROM b JOIN f ON b.bin = f.bin""",
-    "latency_quantiles": "SELECT event_type, "
-    + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (50, 90, 95, 99))
-    + ", max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     "waveform": """WITH u AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings)
  SELECT vec_id, CAST(floor(pos * 8 / CAST(n AS DOUBLE)) AS INT) AS bucket, CAST(max(abs(x)) AS DOUBLE) AS peak FROM u GROUP BY 1, 2""",
     "evidence": f"SELECT item, cand, round(score, 6) AS score FROM ({_EVIDENCE})",
@@ -180,9 +177,6 @@ ORACLES = {
     "area_chain": """WITH RECURSIVE a AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), chain AS (SELECT id, parent AS up, 1 AS step FROM a WHERE parent IS NOT NULL
  UNION ALL SELECT chain.id, a.parent, chain.step + 1 FROM chain JOIN a ON chain.up = a.id WHERE a.parent IS NOT NULL AND chain.step < 10) SELECT id, count(*) AS n_above, min(up) AS top FROM chain GROUP BY id""",
     "parsed_dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d FROM orders",
-    "source_hints": "SELECT doc_id, CASE "
-    + " ".join(f"WHEN regexp_matches(lower(text), '(^|[^a-z]){w}([^a-z]|$)') THEN '{k}'" for w, k in (("ion", "MTX"), ("ist", "SBD"), ("est", "FM"), ("was", "AUD")))
-    + " END AS source FROM documents",
     "links": """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
  SELECT page_id, CAST(len(h) AS INT) AS n_links, CAST(len(list_distinct(h)) AS INT) AS n_distinct, title FROM l""",
     "excerpts": "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE regexp_replace(substr(text, 1, 100), '\\s+\\S*\\z', '') || '...' END AS excerpt FROM documents",

@@ -34,9 +34,6 @@ ORACLES = {
  k AS (SELECT l_orderkey, count(*) AS listed FROM i GROUP BY 1)
  SELECT t.l_orderkey, CAST("at" AS INT) AS "at", coalesce(tag, title, 'Track ' || "at") AS title FROM t JOIN n ON t.l_orderkey = n.l_orderkey LEFT JOIN k ON k.l_orderkey = t.l_orderkey
  LEFT JOIN i ON i.l_orderkey = t.l_orderkey AND i.number = CASE WHEN n = listed THEN "at" ELSE coalesce(printed, "at") END""",
-    "disc_shortfall": """WITH r AS (SELECT l_orderkey, CAST(l_suppkey % 2 + 1 AS INT) AS disc, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
- SELECT b.l_orderkey, b.disc, CAST(b.hi - CASE WHEN b.lo > a.hi THEN a.hi ELSE 0 END - b.n AS INT) AS missing FROM r b LEFT JOIN r a ON a.l_orderkey = b.l_orderkey AND a.disc = 1 AND b.disc = 2
- WHERE b.hi - CASE WHEN b.lo > a.hi THEN a.hi ELSE 0 END - b.n > 0""",
     "incomplete_releases": """WITH o AS (SELECT DISTINCT l_orderkey, p_brand, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0),
  u AS (SELECT l_orderkey, p_brand, list(p_name) AS ours FROM o GROUP BY 1, 2),
  e AS (SELECT p_brand, CAST(p_size % 3 AS INT) AS edition, list(DISTINCT p_name) AS titles FROM part GROUP BY 1, 2),
@@ -51,17 +48,6 @@ ORACLES = {
  UNION ALL SELECT 'same show', p.id, o FROM performance p JOIN s ON p.artist_id = s.artist_id AND p.y = s.y AND p.m = s.m AND p.d = s.d WHERE p.id <> o""",
         "performance",
     ),
-    "owned_wholly": """WITH o AS (SELECT l_partkey, min(l_suppkey) AS owner FROM lineitem GROUP BY 1), r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)
- SELECT l_orderkey, min(owner) AS owner, count(*) AS n_hash FROM r JOIN o ON r.l_partkey = o.l_partkey GROUP BY 1 HAVING count(DISTINCT owner) = 1""",
-    "checksum_matches": f"""WITH b AS (SELECT l_orderkey, "at", coalesce(tag, 't' || printed) AS stem FROM ({_TRACKS}) WHERE l_orderkey % 4 = 0),
- t AS (SELECT l_orderkey, "at", 'd' || ("at" % 2) || '/' || stem || '.flac' AS path, stem || '.flac' AS name, stem FROM b),
- e AS (SELECT l_orderkey, "at" AS entry, CASE WHEN l_orderkey % 12 = 0 THEN NULL WHEN "at" % 4 = 1 THEN path WHEN "at" % 4 = 2 THEN 'other/' || name ELSE stem || '.wav' END AS given, stem FROM t),
- g AS (SELECT *, count(given) OVER (PARTITION BY l_orderkey) AS named FROM e),
- p AS (SELECT l_orderkey, path, min("at") AS "at" FROM t GROUP BY 1, 2 HAVING count(*) = 1), n AS (SELECT l_orderkey, name, min("at") AS "at" FROM t GROUP BY 1, 2 HAVING count(*) = 1), s AS (SELECT l_orderkey, stem, min("at") AS "at" FROM t GROUP BY 1, 2 HAVING count(*) = 1)
- SELECT g.l_orderkey, CAST(entry AS INT) AS entry, CAST(coalesce(p."at", n."at", s."at", CASE WHEN named = 0 THEN entry END) AS INT) AS track,
-  CASE WHEN p."at" IS NOT NULL THEN 'path' WHEN n."at" IS NOT NULL THEN 'name' WHEN s."at" IS NOT NULL THEN 'stem' WHEN named = 0 THEN 'position' END AS tier
- FROM g LEFT JOIN p ON p.l_orderkey = g.l_orderkey AND p.path = given LEFT JOIN n ON n.l_orderkey = g.l_orderkey AND n.name = string_split(given, '/')[-1]
- LEFT JOIN s ON s.l_orderkey = g.l_orderkey AND given IS NOT NULL AND s.stem = g.stem""",
     "performance_members": v(
         """WITH s AS (SELECT * FROM performance WHERE id % 20 = 0),
  r AS (SELECT s.id, musician_id, 0 AS how FROM s JOIN membership mb ON mb.artist_id = s.artist_id WHERE s.id % 60 <> 0 AND musician_id % 3 = 0
@@ -70,12 +56,6 @@ ORACLES = {
  SELECT id, musician_id, (['inherited', 'added', 'guest'])[min(how) + 1] AS how FROM r GROUP BY 1, 2""",
         "performance", "membership",
     ),
-    "judgements": v(
-        f"""WITH r AS ({_DATES}) SELECT CASE WHEN r.y IS NULL THEN 'empty' WHEN (r.y, r.m, r.d) IS NOT DISTINCT FROM (p.y, p.m, p.d) THEN 'right'
-  WHEN r.y = p.y AND coalesce(r.m = p.m, true) AND coalesce(r.d = p.d, true) THEN 'variant' WHEN r.y = p.y THEN 'partial' ELSE 'wrong' END AS verdict, count(*) AS n
- FROM performance p LEFT JOIN (SELECT * FROM r WHERE source = 0) r ON r.item = p.id GROUP BY 1""",
-        "performance",
-    ),
     "cross_validated": """WITH r AS (SELECT CAST(event_id % 5 AS INT) AS fold, CAST(least(floor(value / 5), 20) AS INT) AS bin, event_type = 'purchase' AS pos FROM events WHERE event_type IN ('purchase', 'view')),
  g AS (SELECT f.fold, CAST(c.range AS INT) AS cut, count(*) FILTER (r.fold <> f.fold AND (r.bin >= c.range) = pos) AS inside, count(*) FILTER (r.fold = f.fold AND (r.bin >= c.range) = pos) AS held, count(*) FILTER (r.fold = f.fold) AS n
   FROM (SELECT DISTINCT fold FROM r) f, range(0, 21) c, r GROUP BY 1, 2)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, corroboration, dated, filters, integrity, matching, normalise, places, ranking, reading, recordings, resolution, resolve, rights, scoring, search, text, upkeep, webpages
+from cadenza.operators import catalogue, checks, corroboration, dated, filters, integrity, matching, normalise, places, ranking, reading, recordings, resolution, resolve, rights, scoring, search, text, upkeep, webpages
 from cadenza.plans.oracles import ORACLES as _ORACLES
+from cadenza.plans.oracles_checks import ORACLES as _CHECKS
 from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_reader import ORACLES as _READER
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
@@ -39,6 +40,7 @@ _MODULES = {
     webpages: "catalogue_shows linked_text",
     corroboration: "corroboration track_corroboration misspelt_names",
     recordings: "folder_names vector_signals play_sessions returned_offers",
+    checks: "named_acts checksum_files",
     dated: "mentioned_dates event_dates",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
@@ -53,4 +55,4 @@ QUERIES |= {
     "hourly_plays": lambda spark, sf_dir: windowed_plays(Catalogue(spark, sf_dir).table("events")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER).items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER | _CHECKS).items() if k in QUERIES}
