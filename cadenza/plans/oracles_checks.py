@@ -7,7 +7,24 @@ from cadenza.plans.views import with_views as v
 
 _PLACE = "(list(value ORDER BY value))[least(count(*) - 1, cast(floor(count(*) * {}) AS BIGINT)) + 1]"
 
+_WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
 ORACLES = {
+    "credited_titles": f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {_WORDS.format("p_name")} WHEN 1 THEN {_WORDS.format("p_name")} WHEN 2 THEN 'Song of the ' || {_WORDS.format("p_name")} || ' (Alt Take)'
+ ELSE 'Song of the ' || {_WORDS.format("p_name")} END AS title, CASE WHEN p_partkey % 4 = 1 THEN 'Carla Bley' END AS writer FROM part""",
+    "folder_marks": """SELECT o_orderkey, ['AUD', 'SBD', 'FM', NULL][o_orderkey % 4 + 1] AS source, ['schoeps,nak700,AKG451', 'at853,SCHOEPS', NULL, NULL][o_orderkey % 4 + 1] AS gear,
+ CASE WHEN o_orderkey + 2100 < 10000000 THEN cast(o_orderkey + 2100 AS INT) END AS number FROM orders""",
+    # room is what folder, ending and spare leave of 34 characters
+    "safe_names": """WITH s AS (SELECT DISTINCT l_partkey, p_name, CASE l_partkey % 3 WHEN 0 THEN 'A - ' || p_name || ' - ''x''' WHEN 1 THEN '01 - Long Act - ' || p_name ELSE 'nul_' END AS stem FROM lineitem JOIN part ON p_partkey = l_partkey),
+ c AS (SELECT *, greatest(34 - 14 - 5 - 4, 12) AS room, CASE WHEN l_partkey % 3 = 1 THEN '01 - ' || p_name ELSE stem END AS short FROM s),
+ d AS (SELECT *, substr(short, 1, room) AS start FROM c), e AS (SELECT *, length(start) - length(string_split(start, ' ')[-1]) - 1 AS space FROM d)
+ SELECT l_partkey, stem || '.flac' AS safe, CASE WHEN length(stem) <= room THEN stem WHEN length(short) <= room THEN short
+ ELSE regexp_replace(CASE WHEN space >= room * 0.6 THEN substr(start, 1, space) ELSE start END, '[ \\-.,;(]+$', '') END || '.flac' AS fitted FROM e""",
+    "whole_years": """WITH o AS (SELECT o_orderkey AS k, year(o_orderdate) AS y, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '-%m') END AS m, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '-%d') END AS d FROM orders)
+ SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN 'text 1' WHEN (k % 2 = 0) = (y < 2000) THEN 'text 2' ELSE 'inferred' END AS how,
+ (CASE WHEN k % 3 = 0 THEN y WHEN k % 2 = 0 AND y < 2000 THEN y + 100 WHEN k % 2 = 1 AND y >= 2000 THEN y WHEN y % 100 <= 26 THEN 2000 + y % 100 ELSE 1900 + y % 100 END)::VARCHAR || coalesce(m || coalesce(d, ''), '') AS date FROM o""",
+    "graded_events": """SELECT event_id, round(least(100, greatest(0, value * 0.5956 + 40.592)), 6) AS grade,
+ round(CASE WHEN value < 10 THEN 0.1 WHEN value < 50 THEN 0.5 WHEN value >= 90 THEN 0.95 ELSE 1 / (1 + exp(-value / 100)) END, 6) AS p FROM events""",
     "judgements": v(
         f"""WITH r AS ({_DATES}) SELECT CASE WHEN r.y IS NULL THEN 'empty' WHEN (r.y, r.m, r.d) IS NOT DISTINCT FROM (p.y, p.m, p.d) THEN 'right'
   WHEN r.y <> p.y OR r.m IS NOT NULL AND r.m IS DISTINCT FROM p.m OR r.d IS NOT NULL AND r.d IS DISTINCT FROM p.d THEN 'wrong' ELSE 'partial' END AS verdict, count(*) AS n
