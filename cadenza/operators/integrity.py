@@ -17,21 +17,13 @@ def visible_recordings(c: Catalogue) -> DataFrame:
 
 
 def visible_counts(c: Catalogue) -> DataFrame:
-    """Sizes of the derived sets: recordings, then shows, acts, venues, genres."""
-    shows = c.performance.join(visible_recordings(c).select(F.col("performance_id").alias("id")).distinct(), "id", "left_semi")
-    acts = c.artist.join(shows.select(F.col("artist_id").alias("id")).distinct(), "id", "left_semi")
-    parts = [
-        ("recordings", visible_recordings(c).select("id")),
-        ("shows", shows.select("id")),
-        ("acts", acts.select("id")),
-        ("venues", shows.select("venue_id").filter("venue_id IS NOT NULL").distinct()),
-        ("genres", acts.select("genre_id").distinct()),
-    ]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Sizes of the derived sets: recordings, then shows, acts, venues, genres; the closure is built once, and counted in one pass."""
+    shows = c.performance.select(F.col("id").alias("show"), "artist_id", "venue_id")
+    acts = c.artist.select(F.col("id").alias("act"), "genre_id")
+    rows = visible_recordings(c).join(shows, F.col("performance_id") == F.col("show"), "left").join(acts, F.col("artist_id") == F.col("act"), "left")
+    sets = {"shows": "show", "acts": "act", "venues": "venue_id", "genres": "genre_id"}
+    counts = rows.agg(F.count("*").alias("recordings"), *(F.count_distinct(column).alias(name) for name, column in sets.items()))
+    return counts.unpivot([], ["recordings", *sets], "what", "n")
 
 
 def orphan_acts(c: Catalogue) -> DataFrame:

@@ -59,7 +59,8 @@ class _Read:
 
 class _Batch(_Read, DataSourceReader):
     def partitions(self) -> list[File]:
-        return [File(n) for n in names(self.options["path"], self.ending)]
+        only = self.options.get("only")
+        return [File(n) for n in names(self.options["path"], self.ending) if only in (None, n)]
 
 
 class _Stream(_Read, DataSourceStreamReader):
@@ -99,7 +100,7 @@ def _page_items(file, name: str, options: dict[str, str]) -> Iterator[tuple]:
 
 
 class DumpSource(DataSource):
-    """Lines of .tar.xz dumps; options path and entity."""
+    """Lines of .tar.xz dumps; options path, entity, and only (one file of the folder)."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,20 +1,19 @@
 """Readers and writers of files beside the catalogue's tables.
 
-Text formats use Spark's own readers; bytes that need a guess at their encoding, and
-archives, are read as binary files and decoded in Arrow batches, a file a row.
+Text formats use Spark's own readers; bytes that need a guess at their encoding are read as binary
+files and decoded in Arrow batches, a file a row; archives are a data source.
 """
 
 from __future__ import annotations
 
-import io
-import lzma
-import tarfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.archives import register
+
 GAZETTEER = "id long, name string, ascii_name string, alternates string, latitude double, longitude double, class string, code string, country string, admin1 string, population long"
 
 
@@ -42,17 +41,56 @@ def reference_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in rows.columns)).distinct()
 
 
+#: The file of a replaced table's folder that names the version in force.
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and paths in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Build beside, then rename: readers see the old files or the new ones, never half of them."""
+    """Write a new version below path, then point to it by one rename: readers see the old rows or the new ones, never half of them, never none.
+
+    The version before stays, for readers that have begun on it; older ones are deleted.
+    """
     spark = df.sparkSession
-    beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    where = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(where(path)):
-        fs.rename(where(path), where(old))
-    fs.rename(where(beside), where(path))
-    fs.delete(where(old), True)
+    fs, where = _files(spark, path)
+    before = _version(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    beside = where(f"{path}/.{version}")
+    out = fs.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    java = spark.sparkContext._gateway
+    rename = getattr(spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = java.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    folder = fs.makeQualified(where(path)).toUri()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder, spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(where(f"{path}/{POINTER}")), options)
+    for status in fs.listStatus(where(path)):
+        if status.isDirectory() and status.getPath().getName() not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    fs, where = _files(spark, path)
+    pointer = where(f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    return spark.read.text(pointer.toString()).first()[0]
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``replace_table`` writes."""
+    version = _version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no table has been written to {path}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def decode_text(data: bytes | None) -> str | None:
@@ -90,21 +128,7 @@ def show_folders(spark: SparkSession, path: str, audio: tuple[str, ...] = ("flac
 
 
 def tar_json(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """line: the JSON lines of the members named ``entity`` in .tar.xz dumps; an archive is one task, read as a stream."""
-
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                with tarfile.open(fileobj=lzma.open(io.BytesIO(data)), mode="r|") as dump:
-                    for member in dump:
-                        if member.name.rsplit("/", 1)[-1] != entity:
-                            continue
-                        lines = []
-                        for line in dump.extractfile(member):
-                            lines.append(line.decode().rstrip("\n"))
-                            if len(lines) == 1000:
-                                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
-                                lines = []
-                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
+    """line: the JSON lines of the members named ``entity`` in one .tar.xz dump, read as a stream whatever its size."""
+    register(spark)
+    folder, _, name = path.rpartition("/")
+    return spark.read.format("archive_dump").option("entity", entity).option("only", name).load(folder or ".").select("line")

@@ -35,10 +35,13 @@ def test_gazetteer_and_reference(spark, tmp_path):
 
 def test_replaced_table_and_folders(spark, tmp_path):
     where = str(tmp_path / "t")
-    for n in (3, 5):
+    for n in (3, 5, 7):
+        old = files.current_table(spark, where) if n > 3 else None
         files.replace_table(spark.range(n), where)
-        assert spark.read.parquet(where).count() == n
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+        assert files.current_table(spark, where).count() == n
+    # what a reader began on stays until the next version but one
+    assert old.count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "t").iterdir()) == 2
     show = tmp_path / "s" / "show"
     for disc in ("disc 1", "CD2"):
         (show / disc).mkdir(parents=True)
