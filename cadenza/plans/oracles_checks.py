@@ -10,6 +10,26 @@ _PLACE = "(list(value ORDER BY value))[least(count(*) - 1, cast(floor(count(*) *
 _WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 ORACLES = {
+    "weighed_candidates": f"""WITH c AS (SELECT item, ['tags', 'info', 'folder'][source + 1] AS src, source, y, m, d, [10.0, 3.0, 4.0][source + 1] AS w,
+  CASE WHEN source = 1 THEN least(1, 0.5 * (item % 4)) - CASE WHEN item % 5 = 1 THEN 1.5 ELSE 0 END ELSE 0 END AS extra,
+  (y IS NOT NULL)::INT + (m IS NOT NULL)::INT + (d IS NOT NULL)::INT AS k FROM ({_DATES}) WHERE y IS NOT NULL),
+ s AS (SELECT t.item, t.src, t.source, t.y, t.m, t.d, t.k, sum(CASE WHEN (v.y, v.m, v.d) IS NOT DISTINCT FROM (t.y, t.m, t.d) THEN v.w + v.extra
+  WHEN v.k < t.k AND coalesce(v.y = t.y, true) AND coalesce(v.m = t.m, true) AND coalesce(v.d = t.d, true) THEN v.w * 0.3 ELSE 0 END)::DOUBLE AS score
+  FROM c t JOIN c v ON v.item = t.item GROUP BY ALL),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY k DESC, source) = 1),
+ r AS (SELECT DISTINCT b.item, s.y, s.m, s.d, s.score FROM b JOIN s ON s.item = b.item AND (s.y <> b.y OR s.m <> b.m OR s.d <> b.d)),
+ q AS (SELECT item, score FROM r UNION ALL SELECT item, 1.0 FROM b), m AS (SELECT item, max(score) AS most FROM q GROUP BY 1),
+ l AS (SELECT q.item, any_value(most) AS most, any_value(most) + ln(sum(exp(score - most))) AS mass FROM q JOIN m USING (item) GROUP BY 1),
+ x AS (SELECT DISTINCT a.item FROM c a JOIN c b ON a.item = b.item AND (a.y <> b.y OR a.m <> b.m OR a.d <> b.d)),
+ p AS (SELECT b.*, score - mass AS logit, score - most AS margin, x.item IS NOT NULL AS conflict FROM b JOIN l USING (item) LEFT JOIN x ON x.item = b.item),
+ g AS (SELECT *, CASE WHEN score <= 1 THEN 0 WHEN logit < 0 THEN 0.2 WHEN logit < 3 THEN 0.6 WHEN logit >= 8 THEN 0.99 ELSE 1 / (1 + exp(-logit)) END AS pp FROM p)
+ SELECT item, src AS source, y, m, d, conflict, CASE WHEN score <= 1 THEN 'empty' WHEN pp >= 0.9 AND margin >= 2 AND logit >= 1 THEN 'confident' ELSE 'tentative' END AS label,
+ round(score, 6) AS score, round(logit, 6) AS logit, round(margin, 6) AS margin, round(pp::DOUBLE, 6) AS p FROM g""",
+    "shareable_recordings": v(
+        """SELECT location = 'library' AND kind = 'live' AND NOT is_official AND (performance_id % 3 > 0 OR performance_id % 9 = 0) AS shareable, cast(performance_id % 9 AS INT) AS release, count(*) AS n
+ FROM recording GROUP BY 1, 2""",
+        "recording",
+    ),
     "credited_titles": f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {_WORDS.format("p_name")} WHEN 1 THEN {_WORDS.format("p_name")} WHEN 2 THEN 'Song of the ' || {_WORDS.format("p_name")} || ' (Alt Take)'
  ELSE 'Song of the ' || {_WORDS.format("p_name")} END AS title, CASE WHEN p_partkey % 4 = 1 THEN 'Carla Bley' END AS writer FROM part""",
     "folder_marks": """SELECT o_orderkey, ['AUD', 'SBD', 'FM', NULL][o_orderkey % 4 + 1] AS source, ['schoeps,nak700,AKG451', 'at853,SCHOEPS', NULL, NULL][o_orderkey % 4 + 1] AS gear,
