@@ -93,3 +93,63 @@ def search_all(c: Catalogue, q: str, limit: int = 20) -> DataFrame:
         out.append(rows.select("grp", "id", "first_key", (reduce(lambda a, b: a + b, scores, F.lit(0)) / max(len(terms), 1)).alias("score")))
     by = Window.partitionBy("grp").orderBy(F.desc("score"), "first_key", "id")
     return reduce(DataFrame.unionByName, out).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit).select("grp", "id", "score", "place")
+
+
+def _graded(keys: DataFrame, by: list[str], terms: list[str]) -> DataFrame:
+    """by, first (the key with the least place), t0, t1, ...: the best grade of each term among the keys (by, place, key) of one thing."""
+    rows = keys.withColumn("key", norm(F.col("key"))).filter("key <> ''")
+    return rows.groupBy(*by).agg(F.min(F.struct("place", "key"))["key"].alias("first"), *(F.max(grade(F.col("key"), t)).alias(f"t{i}") for i, t in enumerate(terms)))
+
+
+def ranked_search(entities: DataFrame, acts: DataFrame, venues: DataFrame, recordings: DataFrame, typed: str, limit: int = 20) -> DataFrame:
+    """grp, id, score, place, total: the best ``limit`` of each group and how many match (a top-k report).
+
+    ``entities`` has the keys (grp, id, place, key) of all things that have names.  A recording is found by the keys of its act, the
+    act's members among them (``acts``: artist_id, place, key), and of its venue (``venues``: venue_id, place, key); these are graded
+    once for each act and venue, and not for each recording.  ``recordings``: id, artist_id, venue_id, quality, y, m, d.
+
+    Every text term has to match, and on recordings every date, which counts as exact; the score is the mean.  Entities match
+    text alone, and are left out if none is typed.  Entities go by score, first key and id; recordings by score, quality and date.
+    """
+    terms, dates = parse_query(typed)
+    names = [f"t{i}" for i in range(len(terms))]
+    if not terms and not dates:
+        return entities.limit(0).select("grp", "id", F.lit(0.0).alias("score"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("total"))
+    found = recordings.filter(reduce(lambda a, b: a & b, [F.col(k) == x for date in dates for k, x in zip("ymd", date) if x is not None], F.lit(True)))
+    if terms:
+        sides = [_graded(keys, [by], terms).select(by, *(F.col(t).alias(f"{by}_{t}") for t in names)) for keys, by in ((acts, "artist_id"), (venues, "venue_id"))]
+        found = found.join(sides[0], "artist_id", "left").join(sides[1], "venue_id", "left")
+        found = found.select("id", "quality", "y", "m", "d", *(F.greatest(F.lit(0), F.coalesce(f"artist_id_{t}", F.lit(0)), F.coalesce(f"venue_id_{t}", F.lit(0))).alias(t) for t in names))
+    every = reduce(lambda a, b: a & b, [F.col(t) > 0 for t in names], F.lit(True))
+    total = reduce(lambda a, b: a + b, [F.col(t) for t in names], F.lit(0))
+    rank = [-F.coalesce("quality", F.lit(-1.0)), *(-F.coalesce(p, F.lit(0)) for p in "ymd")]
+    found = found.filter(every).select(F.lit("recordings").alias("grp"), "id", ((total + EXACT * len(dates)) / (len(terms) + len(dates))).alias("score"), F.lit("").alias("first"), F.array(*(r.cast("double") for r in rank)).alias("rank"))
+    if terms:
+        others = _graded(entities, ["grp", "id"], terms).filter(every)
+        found = found.unionByName(others.select("grp", "id", (total / len(terms)).alias("score"), "first", F.lit(None).cast("array<double>").alias("rank")))
+    by = Window.partitionBy("grp").orderBy(F.desc("score"), "first", "rank", "id")
+    best = found.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit)
+    return best.join(found.groupBy("grp").agg(F.count("*").alias("total")), "grp").select("grp", "id", "score", "place", "total")
+
+
+def _keys(rows: DataFrame, columns: list[str], *of: Column | str) -> DataFrame:
+    """of, place, key: the columns of a row as keys, in their order."""
+    return rows.select(*of, F.posexplode(F.array(*columns)).alias("place", "key")).filter("key IS NOT NULL")
+
+
+def search_people(c: Catalogue, typed: str) -> DataFrame:
+    """The whole search, members of acts, musicians, albums and engineers with their aliases among its keys."""
+    letters = F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij")
+    musicians = c.table("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Player "), letters).alias("name"))
+    members = c.membership.join(musicians, F.col("musician_id") == F.col("id")).select("artist_id", F.lit(2).alias("place"), F.col("name").alias("key"))
+    engineers = c.table("nation").select(F.col("n_nationkey").alias("id"), "n_name", F.concat(F.lit("Play-"), F.col("n_name")).alias("alias"))
+    albums = c.recording.filter("kind = 'studio'").join(c.performance.select(F.col("id").alias("performance_id"), "artist_id"), "performance_id")
+    albums = albums.join(c.artist.select(F.col("id").alias("artist_id"), "name", "sort_name"), "artist_id").select("id", F.concat(F.lit("Record "), F.col("performance_id")).alias("title"), "name", "sort_name")
+    own, halls = _keys(c.artist, ["name", "sort_name"], F.col("id").cast("long").alias("id")), _keys(c.venue, ["name", "city", "state", "country"], "id")
+    entities = [("artists", own), ("venues", halls), ("musicians", _keys(musicians, ["name"], "id")), ("albums", _keys(albums, ["title", "name", "sort_name"], "id")), ("engineers", _keys(engineers, ["n_name", "alias"], F.col("id").cast("long").alias("id")))]
+    entities = reduce(DataFrame.unionByName, [k.withColumn("grp", F.lit(g)) for g, k in entities])
+    shows = c.performance.select(F.col("id").alias("performance_id"), "artist_id", "venue_id", "y", "m", "d")
+    quality = F.when(F.col("quality") == "A", 90.0).when(F.col("quality") == "B", 70.0)
+    recordings = c.recording.filter("kind = 'live'").select("id", "performance_id", quality.alias("quality")).join(shows, "performance_id")
+    acts = own.withColumnRenamed("id", "artist_id").unionByName(members)
+    return ranked_search(entities, acts, halls.withColumnRenamed("id", "venue_id"), recordings, typed)

@@ -13,6 +13,7 @@ from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_reader import ORACLES as _READER
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
 from cadenza.plans.oracles_rules import ORACLES as _RULES
+from cadenza.plans.oracles_search import ORACLES as _SEARCH
 from cadenza.sources.catalogue import Catalogue
 from cadenza.streaming.play_log import windowed_plays
 
@@ -54,7 +55,9 @@ QUERIES |= {
     "search_mixed": _query(search.search_all, "customer 1997-05"),
     "search_date_only": _query(search.search_all, "3/9/96"),
     "search_albums": _query(search.search_all, "red widget"),
+    "search_people": _query(search.search_people, "play c"),
+    "search_members": _query(search.search_people, "player 1997-05"),
     "hourly_plays": lambda spark, sf_dir: windowed_plays(Catalogue(spark, sf_dir).table("events")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER | _CHECKS).items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER | _CHECKS | _SEARCH).items() if k in QUERIES}
