@@ -10,6 +10,9 @@ _PLACE = "(list(value ORDER BY value))[least(count(*) - 1, cast(floor(count(*) *
 _WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 ORACLES = {
+    "engineer_credits": """WITH o AS (SELECT o_orderkey AS k, translate(substr(md5(o_orderkey::VARCHAR), 1, 6), '0123456789', 'ghijklmnop') AS n FROM orders), w AS (SELECT k, 'Pat ' || upper(n[1]) || n[2:] AS who FROM o)
+ SELECT k AS o_orderkey, unnest([['recording', 'mastering'], ['recording', 'transfer'], ['recording'], ['transfer', 'mastering'], [], ['recording', 'mastering']][k % 6 + 1]) AS role,
+ unnest([[who, who], [who, 'Ann Other'], [who], [who, who], [], [who, who]][k % 6 + 1]) AS name FROM w""",
     "weighed_candidates": f"""WITH c AS (SELECT item, ['tags', 'info', 'folder'][source + 1] AS src, source, y, m, d, [10.0, 3.0, 4.0][source + 1] AS w,
   CASE WHEN source = 1 THEN least(1, 0.5 * (item % 4)) - CASE WHEN item % 5 = 1 THEN 1.5 ELSE 0 END ELSE 0 END AS extra,
   (y IS NOT NULL)::INT + (m IS NOT NULL)::INT + (d IS NOT NULL)::INT AS k FROM ({_DATES}) WHERE y IS NOT NULL),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.operators import catalogue, checks, corroboration, dated, evidence, filters, integrity, matching, named, normalise, places, ranking, reading, recordings, resolution, resolve, rights, scoring, search, text, upkeep, webpages
+from cadenza.operators import catalogue, checks, corroboration, credits, dated, evidence, filters, integrity, matching, named, normalise, places, ranking, reading, recordings, resolution, resolve, rights, scoring, search, text, upkeep, webpages
 from cadenza.plans.oracles import ORACLES as _ORACLES
 from cadenza.plans.oracles_checks import ORACLES as _CHECKS
 from cadenza.plans.oracles_matching import ORACLES as _MORE
@@ -44,6 +44,7 @@ _MODULES = {
     checks: "named_acts checksum_files",
     named: "credited_titles folder_marks safe_names whole_years graded_events",
     evidence: "weighed_candidates shareable_recordings",
+    credits: "engineer_credits",
     dated: "mentioned_dates event_dates",
     text: "parsed_dates source_hints links excerpts turn_statistics json_counts infix recently_played",
 }
