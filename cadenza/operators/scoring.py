@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.curves import CREST, DUR_REL, FLAT_REL, GROUP_WEIGHTS, HF_RATIO, MID_SNR, SOURCE_OFFSET, TILT, curve, geometric
+from cadenza.functions.quality import scored
 from cadenza.operators.checks import indexed_quantiles
 from cadenza.sources.catalogue import Catalogue
 
@@ -120,3 +121,23 @@ def confidence_gates(c: Catalogue, tau: float = 0.6, margin: float = 0.5, least:
     chance = 1 / (1 + F.exp(-F.col("logit")))
     good = (F.round(chance, 6) >= tau) & (F.col("margin") >= margin) & (F.col("logit") >= least)
     return rows.select("item", "cand", F.round(chance, 6).alias("chance"), good.alias("confident"))
+
+
+def _figures(c: Catalogue) -> DataFrame:
+    """Figures of each line: quantities and sizes taken for measurements, some of them unknown."""
+    n, size, part = F.col("l_quantity").cast("double"), F.col("p_size").cast("double"), F.col("l_partkey")
+    rows = c.table("lineitem").join(c.table("part"), part == F.col("p_partkey"))
+    known = lambda by, x: F.when(part % by > 0, x)
+    return rows.select(
+        F.struct("l_orderkey", "l_linenumber", part, "l_suppkey", "l_shipdate", "l_quantity").alias("line"),
+        F.when(part % 5 == 0, "radio mix").when(part % 5 == 1, " sbd > dat").when(part % 5 == 2, "Aud").when(part % 5 == 3, "mtx").alias("source"),
+        known(3, -n / 3).alias("spectral_tilt_db_oct"), known(4, -size - 15).alias("hf_energy_ratio_db"), known(6, size).alias("mid_snr_db"), known(3, n / 2).alias("crowd_snr_db"),
+        known(12, n / 2).alias("crest_factor_db"), F.when(part % 10 == 0, n / 100).alias("clipping_pct"), F.when(part % 14 == 0, -n - 30).alias("channel_rms_min_db"),
+        (n / 50 - 0.35).alias("phase_correlation"), F.col("l_linenumber").alias("dropout_count"),
+    )
+
+
+def scored_recordings(c: Catalogue) -> DataFrame:
+    """Bands of lines with their mean composite and what was broken."""
+    rows = scored(_figures(c), "line")
+    return rows.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 6).alias("composite"), F.round(F.avg("noise"), 6).alias("noise"), F.sum(F.size("issues")).alias("issues"))

@@ -13,6 +13,7 @@ from cadenza.plans.oracles_matching import ORACLES as _MORE
 from cadenza.plans.oracles_reader import ORACLES as _READER
 from cadenza.plans.oracles_resolve import ORACLES as _RESOLVE
 from cadenza.plans.oracles_rules import ORACLES as _RULES
+from cadenza.plans.oracles_quality import ORACLES as _QUALITY
 from cadenza.plans.oracles_search import ORACLES as _SEARCH
 from cadenza.sources.catalogue import Catalogue
 from cadenza.streaming.play_log import windowed_plays
@@ -27,7 +28,7 @@ def _query(f: Callable[..., DataFrame], *args, **options) -> Callable[[SparkSess
 _MODULES = {
     catalogue: "artist_counts kind_counts recent_recordings favourites on_this_day venue_counts genre_counts musician_counts role_counts top_acts_of_venue instruments show_places track_places first_images image_chain personnel",
     integrity: "visible_recordings visible_counts orphan_acts owed_recordings wiped_personnel replaced_slice upserted",
-    scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence confidence_gates",
+    scoring: "quality_composite non_music completeness fit_statistics confusion smoothed_bins isotonic_bins latency_quantiles waveform evidence confidence confidence_gates scored_recordings",
     resolution: "tiered_lookup gram_frequency fuzzy_candidates similar_names content_duplicates sole_owner stable_sample dominant_place capped_aliases popularity area_chain",
     ranking: "round_robin lead_first queue_order collision_names natural_keys release_choice date_spans status_buckets grid_search next_places",
     matching: "equal_sets dated_names shows_covering unique_date_matches tiered_match title_overlap engineer_roles only_users run_changes field_report verdict_reasons shelf_pool",
@@ -61,4 +62,4 @@ QUERIES |= {
     "hourly_plays": lambda spark, sf_dir: windowed_plays(Catalogue(spark, sf_dir).table("events")),
     "search_month": _query(search.search_dated, 1997, 5),
 }
-ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER | _CHECKS | _SEARCH).items() if k in QUERIES}
+ORACLES = {k: v for k, v in (_ORACLES | _MORE | _RULES | _RESOLVE | _READER | _CHECKS | _SEARCH | _QUALITY).items() if k in QUERIES}
