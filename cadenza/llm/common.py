@@ -55,14 +55,16 @@ def encode(text: str | None, folder: str | None = None):
     return byte_bpe(folder).encode_to_numpy(text or "", allowed_special="all")
 
 
-#: Rows of an Arrow batch: what a Python worker holds at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, but for one longer text.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if int(spark.conf.get(key).rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
