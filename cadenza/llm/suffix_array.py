@@ -50,6 +50,8 @@ GRAM = 64
 BIN = 32
 #: Pieces of one chunk, about: 200 KB and some 260 rounds.
 CELL = 900
+#: Bytes of text that are hashed at once: their arrays of 64-bit values stay in a core's cache.
+CHUNK_BYTES = 1 << 16
 _PLACE = U((1 << 32) - 1)
 SPANS = "array<struct<start: long, end: long>>"
 
@@ -109,7 +111,7 @@ def segments(docs: DataFrame, id_col: str, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch.column(3)):
+            for c in chunks(batch.column(3), CHUNK_BYTES):
                 found = _Segments(c, window, gram)
                 parts = pa.StructArray.from_arrays([pa.array(found.anchor), pa.array(found.s)], names=["anchor", "s"])
                 yield pa.RecordBatch.from_arrays(
@@ -134,7 +136,7 @@ def _pieces(texts: DataFrame, window: int, gram: int, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             wanted = batch.column(1)
-            for c in chunks(batch.column(0)):
+            for c in chunks(batch.column(0), CHUNK_BYTES):
                 found = _Segments(c, window, gram)
                 cuts, keep = found.cuts(c.n), []
                 for i in range(c.n):
@@ -363,7 +365,7 @@ def _cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), CHUNK_BYTES):
                 gone = _places(c, _Segments(c, window, gram), batch.column(2), window)
                 # a run ends where its document does
                 limit = np.zeros(len(gone) + 1, bool)
