@@ -12,7 +12,7 @@ from cadenza.sources.catalogue import Catalogue
 def credited_titles(c: Catalogue) -> DataFrame:
     """Titles in title case, without the writer that some name at their end."""
     n = F.col("p_partkey") % 4
-    written = F.concat(F.when(n == 0, F.upper("p_name")).when(n == 1, F.col("p_name")).otherwise(F.concat(F.lit("song of the "), F.col("p_name"))), F.when(n == 1, " (Carla Bley)").when(n == 2, " (Alt Take)").otherwise(""))
+    written = F.concat(F.when(n == 0, F.upper("p_name")).when(n == 1, F.col("p_name")).otherwise(F.concat(F.lit("song of the "), F.col("p_name"))), F.when(n == 1, " (Maria Berg)").when(n == 2, " (Alt Take)").otherwise(""))
     title, writer = names.songwriter(written)
     return c.table("part").select("p_partkey", names.title_case(title).alias("title"), writer.alias("writer"))
 

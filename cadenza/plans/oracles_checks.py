@@ -34,7 +34,7 @@ ORACLES = {
         "recording",
     ),
     "credited_titles": f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {_WORDS.format("p_name")} WHEN 1 THEN {_WORDS.format("p_name")} WHEN 2 THEN 'Song of the ' || {_WORDS.format("p_name")} || ' (Alt Take)'
- ELSE 'Song of the ' || {_WORDS.format("p_name")} END AS title, CASE WHEN p_partkey % 4 = 1 THEN 'Carla Bley' END AS writer FROM part""",
+ ELSE 'Song of the ' || {_WORDS.format("p_name")} END AS title, CASE WHEN p_partkey % 4 = 1 THEN 'Maria Berg' END AS writer FROM part""",
     "folder_marks": """SELECT o_orderkey, ['AUD', 'SBD', 'FM', NULL][o_orderkey % 4 + 1] AS source, ['schoeps,nak700,AKG451', 'at853,SCHOEPS', NULL, NULL][o_orderkey % 4 + 1] AS gear,
  CASE WHEN o_orderkey + 2100 < 10000000 THEN cast(o_orderkey + 2100 AS INT) END AS number FROM orders""",
     # room is what folder, ending and spare leave of 34 characters
