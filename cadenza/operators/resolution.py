@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,12 +147,18 @@ def popularity(c: Catalogue) -> DataFrame:
 def area_chain(c: Catalogue, depth: int = 10) -> DataFrame:
     """Ancestors of each part number in a tree of halves, at most ``depth`` steps, cycles cut."""
     area = c.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent"))
-    view = "cadenza_area_" + uuid.uuid4().hex
-    area.createOrReplaceTempView(view)
-    return c.spark.sql(
-        f"""WITH RECURSIVE chain(id, at, step) AS (
-          SELECT id, parent, 1 FROM {view} WHERE parent IS NOT NULL
-          UNION ALL SELECT chain.id, a.parent, chain.step + 1 FROM chain JOIN {view} a ON chain.at = a.id
-          WHERE a.parent IS NOT NULL AND chain.step < {depth})
-        SELECT id, count(*) AS n_above, min(at) AS top FROM chain GROUP BY id"""
-    )
+    return ancestors(area, depth)
+
+
+def ancestors(area: DataFrame, depth: int) -> DataFrame:
+    """id, n_above, top: how many steps up from each id of ``area`` (id, parent), ``depth`` at most, and the least id reached.
+
+    A join a step with one row an id, so that chains of any number fit; of repeated ids every way up counts.
+    """
+    area = area.filter("parent IS NOT NULL").groupBy("id", "parent").agg(F.count("*").alias("ways"))
+    up = area.select(F.col("id").alias("at"), F.col("parent").alias("next"), F.col("ways").alias("more"))
+    rows = area.select("id", F.col("parent").alias("at"), "ways", F.col("ways").alias("n_above"), F.col("parent").alias("top"))
+    for _ in range(depth - 1):
+        ways = F.coalesce(F.col("ways") * F.col("more"), F.lit(0))
+        rows = rows.join(up, "at", "left").select("id", F.col("next").alias("at"), ways.alias("ways"), (F.col("n_above") + ways).alias("n_above"), F.least("top", "next").alias("top"))
+    return rows.groupBy("id").agg(F.sum("n_above").alias("n_above"), F.min("top").alias("top"))
