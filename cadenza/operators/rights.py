@@ -46,6 +46,11 @@ def _first(start: str, condition: str) -> Column:
     return F.expr(f"array_min(transform(filter(places, i -> coalesce({condition}, false)), i -> {start}))")
 
 
+def _once(value: Column) -> Column:
+    """The value as what a generator gives: columns made of it do not compute it again, for each word of a sentence."""
+    return F.explode(F.array(value))
+
+
 def _restriction() -> Column:
     """The word with which a restriction begins, or null."""
     denied = f"{_of('j', BANS)} OR {_of('j', GRANTS)} AND (get(words, j - 1) = 'not' OR get(words, j - 1) = 'be' AND get(words, j - 2) = 'not')"
@@ -59,7 +64,7 @@ def _restriction() -> Column:
     after = f"{_of('i', AUDIENCE)} AND (get(words, i + 1) = 'only' OR {_of('i + 1', UPLOADS)} AND get(words, i + 2) = 'only')"
     return F.coalesce(
         _first("IF(get(words, i - 1) = 'no', i - 1, i - 2)", f"{_board('i')} AND (get(words, i - 1) = 'no' OR {_of('i - 1', 'more new')} AND get(words, i - 2) = 'no')"),
-        _first("i", f"{_board('i')} AND exists(places, j -> coalesce({near} AND ({denied}), false))"),
+        _first("i", f"{_board('i')} AND exists(places, j -> coalesce(({denied}) AND {near}, false))"),
         _first(f"{verb} - 1", f"{_board('i')} AND {verbs} AND {forbidden}"),
         _first("i", f"{after} OR get(words, i) = 'only' AND {_of('i + 1', AUDIENCE)}"),
     )
@@ -72,17 +77,18 @@ def rules(texts: DataFrame, key: str, text: str) -> DataFrame:
     stands for all dated ones of its text.  Null and empty texts give no rows.
     """
     lines = F.split(F.regexp_replace(text, r"([.;!?])\s+", "$1\n"), "\n+")
-    rows = texts.select(key, F.explode(lines).alias("sentence")).withColumn("sentence", F.trim("sentence")).filter("sentence <> ''")
-    rows = rows.withColumn("pieces", F.regexp_extract_all("sentence", F.lit(WORD + "[^A-Za-z0-9]*"), F.lit(0)))
+    own = texts.select(key, F.explode(lines).alias("sentence")).withColumn("sentence", F.trim("sentence")).filter("sentence <> ''")
+    # equal sentences are read once
+    rows = own.select("sentence").distinct().withColumn("pieces", F.regexp_extract_all("sentence", F.lit(WORD + "[^A-Za-z0-9]*"), F.lit(0)))
     rows = rows.withColumn("words", F.transform("pieces", lambda p: F.lower(F.regexp_extract(p, "^" + WORD, 0))))
     rows = rows.withColumn("places", F.expr("IF(size(words) > 0, sequence(0, size(words) - 1), array())"))
-    rows = rows.withColumn("hit", _restriction())
+    rows = rows.withColumn("hit", _once(_restriction()))
     begins = _first("i", f"i >= hit AND ({_of('i', TIMES)} OR get(words, i) = 'as' AND get(words, i + 1) = 'of')")
-    rows = rows.withColumn("dated", begins).withColumn("dated", F.expr("array_join(slice(pieces, dated + 1, size(pieces)), '')"))
+    rows = rows.withColumn("dated", _once(begins)).withColumn("dated", F.expr("array_join(slice(pieces, dated + 1, size(pieces)), '')"))
     word = f"w IN ({', '.join(repr(w) for w in CAREFUL.split())}) OR {_starts('w', CAREFUL_STEMS)}"
     topic = f"{_board('i')} OR {_of('i', TOPICS)} OR {_starts('get(words, i)', TOPIC_STEMS)}"
     careful = F.expr(f"exists(words, w -> {word})") & F.expr(f"exists(places, i -> coalesce({topic}, false))")
-    rows = rows.select(key, "sentence", F.col("hit").isNotNull().alias("restricts"), "dated", careful.alias("careful"))
+    rows = rows.select("sentence", F.col("hit").isNotNull().alias("restricts"), "dated", careful.alias("careful"))
     # the first date after the time word; a number that can only be a year, where nothing else can be read
     tails = rows.select("dated").filter("dated IS NOT NULL").distinct()
     first = date_mentions(tails, "dated", "dated", PIVOT).filter("i = 0 AND year IS NOT NULL")
@@ -91,8 +97,8 @@ def rules(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.join(first, "dated", "left").withColumn("start", F.coalesce("start", F.when(year != "", F.concat(year, F.lit("-01-01"))), F.lit("")))
     unread = F.col("dated").isNotNull() & (F.col("start") == "")
     rows = rows.withColumn("kind", F.when(F.col("restricts") & ~unread, "rule").when(F.col("restricts") | F.col("careful"), "review")).filter("kind IS NOT NULL")
-    rows = rows.withColumn("start", F.when(F.col("kind") == "rule", F.col("start")).otherwise(""))
-    rows = rows.withColumn("sentence", F.when(F.col("kind") == "review", F.col("sentence"))).select(key, "kind", "start", "sentence").distinct()
+    rows = rows.select("sentence", "kind", F.when(F.col("kind") == "rule", F.col("start")).otherwise("").alias("start"))
+    rows = own.join(rows, "sentence").withColumn("sentence", F.when(F.col("kind") == "review", F.col("sentence"))).select(key, "kind", "start", "sentence").distinct()
     always = F.bool_or((F.col("kind") == "rule") & (F.col("start") == "")).over(Window.partitionBy(key))
     return rows.withColumn("always", always).filter("kind = 'review' OR start = '' OR NOT always").drop("always")
 

@@ -17,3 +17,17 @@ def test_chains_are_not_bounded_by_a_row_limit(spark):
     area = spark.createDataFrame([(1, None), (2, 1), (2, 1), (3, 2), (9, 8), (8, 9), (5, 7)], "id long, parent long")
     got = {r.id: (r.n_above, r.top) for r in ancestors(area, 4).collect()}
     assert got == {2: (2, 1), 3: (3, 1), 9: (4, 8), 8: (4, 8), 5: (1, 7)}
+
+
+def test_rules_of_a_long_sentence(spark):
+    import time
+
+    from cadenza.operators.rights import rules
+
+    texts = ["no " + "matrix " * 150 + "since 2018-05-12", "no " + "matrix " * 150 + "since 2018-05-12", "matrix " * 150]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    began = time.perf_counter()
+    got = sorted((r.id, r.kind, r.start) for r in rules(table, "id", "body").collect())
+    # a rule is looked for once a sentence, not for each word again
+    assert time.perf_counter() - began < 30
+    assert got == [(0, "rule", "2018-05-12"), (1, "rule", "2018-05-12")]
