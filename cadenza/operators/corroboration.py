@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.blocks import block_ratio, close_pairs, closest
+from cadenza.functions.blocks import alike, close_pairs, closest
 from cadenza.sources.catalogue import Catalogue
 
 # Weights of the parts, what presence, a known name and agreement count, and a track's points.
@@ -22,7 +22,7 @@ def _real(value: Column) -> Column:
 
 def agree(a: Column, b: Column) -> Column:
     """Both present, and alike in title case."""
-    return _real(a) & _real(b) & F.coalesce(block_ratio(F.initcap(a), F.initcap(b)) >= CUTOFF, F.lit(False))
+    return _real(a) & _real(b) & F.coalesce(alike(F.initcap(a), F.initcap(b), CUTOFF), F.lit(False))
 
 
 def name_score(tag: Column, text: Column, tag_known: Column, text_known: Column, agreed: Column) -> Column:

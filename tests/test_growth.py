@@ -31,3 +31,19 @@ def test_rules_of_a_long_sentence(spark):
     # a rule is looked for once a sentence, not for each word again
     assert time.perf_counter() - began < 30
     assert got == [(0, "rule", "2018-05-12"), (1, "rule", "2018-05-12")]
+
+
+def test_close_pairs_of_many_names_that_are_not_alike(spark):
+    import random
+    import time
+
+    from cadenza.functions.blocks import close_pairs
+
+    r = random.Random(3)
+    names = ["".join(r.choice("abcdefghijklmnop") for _ in range(16)) for _ in range(20_000)]
+    table = spark.createDataFrame([(n, n[:14] + "#" + n[15:]) for n in names], "name string, typo string").repartition(4)
+    began = time.perf_counter()
+    got = {(x.a, x.b) for x in close_pairs(table.selectExpr("typo AS name"), table, 0.85).collect()}
+    # names of sixteen letters that share a few runs by chance are not compared
+    assert time.perf_counter() - began < 45
+    assert got == {(n[:14] + "#" + n[15:], n) for n in names}
