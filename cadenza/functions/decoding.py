@@ -11,11 +11,12 @@ order, from the same weights, and the shards' results are averaged.  Only weight
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,22 +75,30 @@ class Texts:
     """The units of all texts of a batch, end to end: off (first unit of each text), sparse features, and allowed roles."""
 
     def __init__(self, model: Model, column: pa.Array):
-        units = [x or [] for x in column.to_pylist()]
-        self.off = np.cumsum([0, *map(len, units)])
-        flat = [u for text in units for u in text]
-        self.may = np.array([model.allowed.get(u["kind"], np.zeros(model.n, bool)) for u in flat], bool).reshape(-1, model.n)
-        unit, feature, value = [], [], []
-        for i, u in enumerate(flat):
-            have = dict(u["feats"] or [])
-            for r, needed in model.needs:
-                if not have.get(needed):
-                    self.may[i, r] = False
-            for f, v in have.items():
-                if v and (j := model.row.get(f)) is not None:
-                    unit.append(i)
-                    feature.append(j)
-                    value.append(v)
-        self.unit, self.feature, self.value = np.array(unit, np.int64), np.array(feature, np.int64), np.array(value)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        self.off = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        flat = column.flatten()
+        kinds, feats = flat.field("kind").dictionary_encode(), flat.field("feats")
+        may = np.array([model.allowed.get(k, np.zeros(model.n, bool)) for k in [*kinds.dictionary.to_pylist(), None]], bool).reshape(-1, model.n)
+        self.may = may[pc.fill_null(kinds.indices, len(may) - 1).to_numpy(zero_copy_only=False).astype(np.int64)]
+        # the entries of all units' maps, end to end
+        entries = feats.offsets.to_numpy()
+        n = np.where(feats.is_null().to_numpy(zero_copy_only=False), 0, np.diff(entries))
+        at = np.arange(n.sum()) + np.repeat(entries[:-1] - (np.cumsum(n) - n), n)
+        keys = feats.keys.dictionary_encode()
+        names = keys.dictionary.to_pylist()
+        value = pc.fill_null(feats.items, 0.0).to_numpy(zero_copy_only=False)[at]
+        of, unit = keys.indices.to_numpy(zero_copy_only=False)[at].astype(np.int64), np.repeat(np.arange(len(n)), n)
+        for r, needed in model.needs:
+            lacks = np.ones(len(n), bool)
+            if needed in names:
+                lacks[unit[(of == names.index(needed)) & (value != 0)]] = False
+            self.may[lacks, r] = False
+        feature = np.array([model.row.get(f, -1) for f in names], np.int64)[of] if names else of
+        used = (feature >= 0) & (value != 0)
+        self.unit, self.feature, self.value = unit[used], feature[used], value[used]
 
     def scores(self, model: Model) -> np.ndarray:
         out = np.tile(model.b, (len(self.may), 1))
@@ -136,8 +145,8 @@ def local_scores(path: np.ndarray, scores: np.ndarray, off: np.ndarray, start: n
     return out + np.where(ends[:, None], 0.0, step[:, np.roll(path, -1)].T)
 
 
-def decoded(texts: DataFrame, key: str, units: str, weights: Weights) -> DataFrame:
-    """key, decoded: role, score, runner-up and its distance of every unit, one array a text (null and empty ones give an empty one).
+def decoded(texts: DataFrame, key: str, units: str, weights: Weights, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns to keep, decoded: role, score, runner-up and its distance of every unit, one array a text (null and empty ones give an empty one).
 
     A text in which some unit can take no role has null roles throughout.
     """
@@ -166,9 +175,11 @@ def decoded(texts: DataFrame, key: str, units: str, weights: Weights) -> DataFra
                 pa.array(np.where(good, gap, 0.0), mask=~good),
             ]
             out = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(found.off.astype(np.int32), out)], names=[key, "decoded"])
+            kept = [batch.column(2 + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.ListArray.from_arrays(found.off.astype(np.int32), out)], names=[key, *keep, "decoded"])
 
-    return texts.select(key, units).mapInArrow(run, f"`{key}` {key_type}, decoded {DECODED}")
+    also = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
+    return texts.select(key, units, *keep).mapInArrow(run, f"`{key}` {key_type}, {also}decoded {DECODED}")
 
 
 def _counts(model: Model, found: Texts, a: int, b: int, path: np.ndarray, sign: float, out: np.ndarray) -> None:

@@ -7,10 +7,14 @@ a date, a numbered track, a connector word, or a segment between separators.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadenza.functions.dates import date_mentions
+from cadenza.functions.dates import read_dates
 from cadenza.functions.decoding import Weights, decoded
 from cadenza.operators.dated import LATEST
 from cadenza.sources.catalogue import Catalogue
@@ -30,10 +34,24 @@ def normal(text: Column) -> Column:
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, line (from 0, blank ones not counted), block (blank lines before it that follow a text line), text."""
+    return texts.select(key, F.posexplode(_lines(text)).alias("line", "x")).select(key, "line", "x.block", "x.text")
+
+
+def _lines(text: str) -> Column:
     blocks = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n\s*"), lambda b: F.trim(b) != "")
     rows = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.split(b, "\n"), lambda x: F.struct(i.alias("block"), F.trim(x).alias("text")))))
-    out = texts.select(key, F.posexplode(F.filter(rows, lambda x: x["text"] != "")).alias("line", "x"))
-    return out.select(key, "line", "x.block", "x.text")
+    return F.filter(rows, lambda x: x["text"] != "")
+
+
+@lru_cache(20_000)
+def _dates(text: str) -> list[dict]:
+    return [{"start": m.start, "end": m.end, "role": m.role} for m in read_dates(text, LATEST)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("role", T.StringType())])))
+def line_dates(text: pd.Series) -> pd.Series:
+    """Place and role of each date of a line, in order; none of null."""
+    return pd.Series([[] if x is None else _dates(x) for x in text], dtype="object")
 
 
 def units(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,18 +59,12 @@ def units(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     A numbered line is a track only beside another one.  Null and blank texts have no units.
     """
-    # a line is known by its text's key and its number; equal lines are read once
-    own = lines(texts, key, text)
-    number = r"^\d{1,2}[ .)-]+\S"
-    order = Window.partitionBy(key).orderBy("line")
-    numbered = F.col("text").rlike(number)
-    own = own.withColumn("numbered", numbered)
-    track = F.col("numbered") & (F.coalesce(F.lag("numbered").over(order), F.lit(False)) | F.coalesce(F.lead("numbered").over(order), F.lit(False)))
-    own = own.withColumn("track", track).drop("numbered")
-    plain = own.filter(~F.col("track"))
-    found = date_mentions(plain.select("text").distinct(), "text", "text", LATEST)
-    found = found.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "role"))).alias("dates"))
-    plain = plain.join(found, "text", "left").withColumn("dates", F.coalesce("dates", F.expr("cast(array() AS array<struct<start: int, end: int, role: string>>)")))
+    # a text's lines are one array, so that neighbours are found without a shuffle; dates are read where the line is
+    rows = texts.select(key, _lines(text).alias("of")).withColumn("numbered", F.transform("of", lambda x: x["text"].rlike(r"^\d{1,2}[ .)-]+\S")))
+    rows = rows.select(key, "numbered", F.posexplode("of").alias("line", "x"))
+    track = F.get("numbered", F.col("line")) & (F.coalesce(F.get("numbered", F.col("line") - 1), F.lit(False)) | F.coalesce(F.get("numbered", F.col("line") + 1), F.lit(False)))
+    plain = rows.select(key, "line", "x.block", "x.text", track.alias("track"))
+    plain = plain.withColumn("dates", line_dates(F.when(~F.col("track"), F.col("text"))))
     # a date becomes a mark with its number, and every separator a break
     marked = F.aggregate(
         F.transform(F.reverse("dates"), lambda d, i: F.struct(d["start"].alias("a"), d["end"].alias("b"), (F.size("dates") - 1 - i).alias("n"))),
@@ -65,19 +77,17 @@ def units(texts: DataFrame, key: str, text: str) -> DataFrame:
     words = "|".join(CONNECTORS)
     body = F.regexp_replace(body, rf"(?i)(?<=\s)({words})\.?(?=\s)", f"{_BREAK}$1{_BREAK}")
     pieces = F.filter(F.transform(F.split(body, f"[,;{_BREAK}]| - | @ "), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    plain = plain.select(key, "line", "block", "text", label.alias("label"), "dates", pieces.alias("pieces"))
-    plain = plain.select(key, "line", "block", (F.size("pieces") - 1).alias("last"), "label", F.col("text").alias("whole"), "dates", F.posexplode("pieces").alias("pos", "text"))
+    pieces = F.when(F.col("track"), F.array("text")).otherwise(pieces)
+    plain = plain.select(key, "line", "block", "track", "text", F.when(~F.col("track"), label).alias("label"), "dates", pieces.alias("pieces"))
+    plain = plain.select(key, "line", "block", "track", (F.size("pieces") - 1).alias("last"), "label", F.col("text").alias("whole"), "dates", F.posexplode("pieces").alias("pos", "text"))
     date = F.get("dates", F.substring("text", F.lit(2), F.lit(9)).try_cast("int"))
-    is_date = F.col("text").startswith(_DATE)
-    plain = plain.select(
+    is_date = ~F.col("track") & F.col("text").startswith(_DATE)
+    return plain.select(
         key, "line", "block", "pos", "last",
-        F.when(is_date, "date").otherwise("seg").alias("kind"), "label",
+        F.when(F.col("track"), "track").when(is_date, "date").otherwise("seg").alias("kind"), "label",
         F.when(is_date, F.substring("whole", date["start"] + 1, date["end"] - date["start"])).otherwise(F.col("text")).alias("text"),
         F.when(is_date, date["role"]).alias("role"),
     )
-    nothing = F.lit(None).cast("string")
-    tracks = own.filter("track").select(key, "line", "block", F.lit(0).alias("pos"), F.lit(0).alias("last"), F.lit("track").alias("kind"), nothing.alias("label"), "text", nothing.alias("role"))
-    return plain.unionByName(tracks)
 
 
 def _rest(text: Column, start: Column) -> Column:
@@ -90,9 +100,16 @@ def unit_features(found: DataFrame, key: str, acts: DataFrame, venues: DataFrame
     ``acts`` and ``venues`` have a column ``name``.
     """
     rows = found.withColumn("core", F.when(F.col("kind") == "seg", normal(F.col("text"))))
-    for name, table in (("lib_artist", acts), ("lib_venue", venues)):
-        known = table.select(normal(F.col("name")).alias("core")).filter("core <> ''").distinct().withColumn(name, F.lit(True))
-        rows = rows.join(known, "core", "left")
+    # only places of known names meet them; what is found returns to the text, whose units stay together from here on
+    names = acts.select(normal(F.col("name")).alias("core"), F.lit(True).alias("lib_artist"), F.lit(False).alias("lib_venue"))
+    names = names.unionByName(venues.select(normal(F.col("name")).alias("core"), F.lit(False).alias("lib_artist"), F.lit(True).alias("lib_venue")))
+    names = names.filter("core <> ''").groupBy("core").agg(F.max("lib_artist").alias("lib_artist"), F.max("lib_venue").alias("lib_venue"))
+    known = rows.filter("core <> ''").select(key, "line", "pos", "core").join(names, "core")
+    known = known.groupBy(key).agg(F.collect_list(F.struct("line", "pos", "lib_artist", "lib_venue")).alias("known"))
+    rows = rows.join(known, key, "left")
+    for name in ("lib_artist", "lib_venue"):
+        rows = rows.withColumn(name, F.expr(f"exists(known, k -> k.line = line AND k.pos = pos AND k.{name})"))
+    rows = rows.drop("known")
     order = Window.partitionBy(key).orderBy("line", "pos")
     by_line = Window.partitionBy(key).orderBy("line").rangeBetween(-1, -1)
     connector = (F.col("kind") == "seg") & F.col("core").isin(*CONNECTORS)
@@ -100,8 +117,9 @@ def unit_features(found: DataFrame, key: str, acts: DataFrame, venues: DataFrame
     rows = rows.withColumn("next_connector", F.lead("connector").over(order)).withColumn("last_connector", F.lag("connector").over(order))
     rows = rows.withColumn("date_before", F.max(F.col("kind") == "date").over(by_line))
     seg, date = F.col("kind") == "seg", F.col("kind") == "date"
-    n, text, core = F.size(F.split("core", " ")), F.col("text"), F.col("core")
-    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    # what several features ask for is a column, computed once
+    rows = rows.withColumn("letters", F.when(seg, F.regexp_replace("text", "[^A-Za-z]", ""))).withColumn("n", F.size(F.split("core", " ")))
+    n, text, core, letters = F.col("n"), F.col("text"), F.col("core"), F.col("letters")
     upper, lower = (letters != "") & (letters == F.upper(letters)), (letters != "") & (letters == F.lower(letters))
     has = lambda words: core.rlike(rf"(^| )({'|'.join(words)})( |$)")
     line = F.col("line")
@@ -119,9 +137,9 @@ def unit_features(found: DataFrame, key: str, acts: DataFrame, venues: DataFrame
         "prev_line_date": seg & (F.col("pos") == 0) & F.col("date_before"),
         "lib_artist": F.col("lib_artist"), "lib_venue": F.col("lib_venue"),
     }
-    names = [F.when(c, name) for name, c in conditions.items()]
-    names += [F.when(seg & (F.col("label") == label), f"label_{kind}") for label, kind in LABELS.items()]
-    return rows.select(key, "line", "pos", "kind", "text", F.array_sort(F.array_compact(F.array(*names))).alias("feats"))
+    conditions |= {f"label_{kind}": seg & F.col("label").isin(*(x for x, k in LABELS.items() if k == kind)) for kind in LABELS.values()}
+    names = [F.when(conditions[name], name) for name in sorted(conditions)]
+    return rows.select(key, "line", "pos", "kind", "text", F.array_compact(F.array(*names)).alias("feats"))
 
 
 def as_texts(rows: DataFrame, key: str) -> DataFrame:
@@ -183,7 +201,6 @@ def feature_counts(c: Catalogue) -> DataFrame:
 
 def decoded_roles(c: Catalogue) -> DataFrame:
     """The role of every unit."""
-    texts = as_texts(_features(c), "id")
-    roles = decoded(texts, "id", "units", WEIGHTS).select("id", F.posexplode("decoded").alias("at", "d"))
-    words = texts.select("id", F.posexplode("x").alias("at", "x"))
-    return words.join(roles, ["id", "at"]).select("id", F.col("x.line").alias("line"), F.col("x.pos").alias("pos"), F.col("x.text").alias("text"), F.col("d.role").alias("role"))
+    roles = decoded(as_texts(_features(c), "id"), "id", "units", WEIGHTS, ["x"])
+    roles = roles.select("id", F.explode(F.arrays_zip("x", "decoded")).alias("u"))
+    return roles.select("id", F.col("u.x.line").alias("line"), F.col("u.x.pos").alias("pos"), F.col("u.x.text").alias("text"), F.col("u.decoded.role").alias("role"))

@@ -47,3 +47,21 @@ def test_close_pairs_of_many_names_that_are_not_alike(spark):
     # names of sixteen letters that share a few runs by chance are not compared
     assert time.perf_counter() - began < 45
     assert got == {(n[:14] + "#" + n[15:], n) for n in names}
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_units_of_a_text_stay_together(spark):
+    from cadenza.operators.reading import units
+
+    texts = spark.createDataFrame([(1, "Act\nHall, May 5, 1990\n\n01 one\n02 two\n\n03 lone"), (2, None), (3, "1 a\nx\n2 b")], "id long, body string")
+    found = units(texts, "id", "body")
+    # neighbouring lines and dates of lines are found where the text is
+    assert _shuffles(found) == 0
+    got = sorted((r.id, r.line, r.pos, r.kind, r.text) for r in found.collect())
+    assert got == [
+        (1, 0, 0, "seg", "Act"), (1, 1, 0, "seg", "Hall"), (1, 1, 1, "date", "May 5, 1990"), (1, 2, 0, "track", "01 one"), (1, 3, 0, "track", "02 two"), (1, 4, 0, "track", "03 lone"),
+        (3, 0, 0, "seg", "1 a"), (3, 1, 0, "seg", "x"), (3, 2, 0, "seg", "2 b"),
+    ]
