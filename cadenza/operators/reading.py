@@ -195,8 +195,11 @@ def _features(c: Catalogue) -> DataFrame:
 
 def feature_counts(c: Catalogue) -> DataFrame:
     """How many units and texts have each feature."""
-    rows = _features(c).select("id", F.explode("feats").alias("feature"))
-    return rows.groupBy("feature").agg(F.count("*").alias("n_units"), F.countDistinct("id").alias("n_texts"))
+    texts = _features(c).groupBy("id").agg(F.flatten(F.collect_list("feats")).alias("all"))
+    # all of a text's features, and each of them once
+    both = F.array(F.struct(F.lit(False).alias("once"), F.col("all").alias("f")), F.struct(F.lit(True).alias("once"), F.array_distinct("all").alias("f")))
+    rows = texts.select(F.explode(both).alias("x")).select("x.once", F.explode("x.f").alias("feature"))
+    return rows.groupBy("feature").agg(F.count_if(~F.col("once")).alias("n_units"), F.count_if("once").alias("n_texts"))
 
 
 def decoded_roles(c: Catalogue) -> DataFrame:
