@@ -77,22 +77,31 @@ def search_all(c: Catalogue, q: str, limit: int = 20) -> DataFrame:
     shows = c.performance.select(F.col("id").alias("show"), "artist_id", "venue_id", "y", "m", "d", F.col("city").alias("own_city"))
     for y, m, d in dates:
         shows = shows.filter(reduce(lambda a, b: a & b, [F.col(k) == x for k, x in (("y", y), ("m", m), ("d", d)) if x is not None]))
-    acts = c.artist.select(F.col("id").alias("artist_id"), F.col("name").alias("act"), "sort_name")
-    venues = c.venue.select(F.col("id").alias("venue_id"), F.col("name").alias("venue"), "city", "state", "country")
-    recordings = library.join(shows, "show").join(acts, "artist_id").join(venues, "venue_id", "left")
-    groups = [("recordings", recordings.withColumn("city", F.coalesce("city", "own_city")), "id", ["act", "sort_name", "venue", "city", "state", "country"])]
+    # keys are graded once for each act, venue and own city, and not for each recording
+    acts = c.artist.select(F.col("id").alias("artist_id"), *_best(["name", "sort_name"], terms, "act_"))
+    venues = c.venue.select(F.col("id").alias("venue_id"), F.col("city").isNotNull().alias("has_city"), *_best(["city", "state", "country", "name"], terms, "venue_"))
+    found = library.join(shows, "show").join(acts, "artist_id").join(venues, "venue_id", "left")
+    for i, t in enumerate(terms):
+        # an own city is one of few, or none: graded only where no venue has one
+        own = F.when(F.col("has_city"), 0).otherwise(F.coalesce(grade(norm(F.col("own_city")), t), F.lit(0)))
+        found = found.withColumn(f"t{i}", F.greatest(f"act_t{i}", F.coalesce(f"venue_t{i}", F.lit(0)), own))
+    scores = [F.col(f"t{i}") for i in range(len(terms))]
+    every = reduce(lambda a, b: a & b, [s > 0 for s in scores], F.lit(True))
+    score = (reduce(lambda a, b: a + b, scores, F.lit(0)) / max(len(terms), 1)).alias("score")
+    groups = {"recordings": found.withColumn("first_key", F.col("act_key"))}
     if terms:
-        groups += [("artists", c.artist, "id", ["name", "sort_name"]), ("venues", c.venue, "id", ["name", "city", "state", "country"]), ("albums", c.table("part"), "p_partkey", ["p_name", "p_brand"])]
-    out = []
-    for grp, rows, key, names in groups:
-        rows = rows.select(F.lit(grp).alias("grp"), F.col(key).alias("id"), *(norm(F.col(n)).alias(f"k{i}") for i, n in enumerate(names)))
-        best = [F.greatest(F.lit(0), *(F.coalesce(grade(F.col(f"k{i}"), t), F.lit(0)) for i in range(len(names)))) for t in terms]
-        rows = rows.select("grp", "id", F.col("k0").alias("first_key"), *(b.alias(f"t{i}") for i, b in enumerate(best)))
-        scores = [F.col(f"t{i}") for i in range(len(terms))]
-        rows = rows.filter(reduce(lambda a, b: a & b, [s > 0 for s in scores], F.lit(True)))
-        out.append(rows.select("grp", "id", "first_key", (reduce(lambda a, b: a + b, scores, F.lit(0)) / max(len(terms), 1)).alias("score")))
-    by = Window.partitionBy("grp").orderBy(F.desc("score"), "first_key", "id")
-    return reduce(DataFrame.unionByName, out).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit).select("grp", "id", "score", "place")
+        for grp, rows, key, names in (("artists", c.artist, "id", ["name", "sort_name"]), ("venues", c.venue, "id", ["name", "city", "state", "country"]), ("albums", c.table("part"), "p_partkey", ["p_name", "p_brand"])):
+            groups[grp] = rows.select(F.col(key).alias("id"), *_best(names, terms, "")).withColumnRenamed("key", "first_key")
+    order = [F.desc("score"), "first_key", "id"]
+    # the best of a group are kept as its rows are read; no group is sorted whole
+    out = [rows.filter(every).select(F.lit(grp).alias("grp"), "id", "first_key", score).orderBy(*order).limit(limit) for grp, rows in groups.items()]
+    return reduce(DataFrame.unionByName, out).withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).select("grp", "id", "score", "place")
+
+
+def _best(names: list[str], terms: list[str], prefix: str) -> list[Column]:
+    """key (the first name's) and t0, t1, ...: each term's best grade among the names, 0 if there is none."""
+    best = [F.greatest(F.lit(0), *(F.coalesce(grade(norm(F.col(n)), t), F.lit(0)) for n in names)) for t in terms]
+    return [norm(F.col(names[0])).alias(f"{prefix}key"), *(b.alias(f"{prefix}t{i}") for i, b in enumerate(best))]
 
 
 def _graded(keys: DataFrame, by: list[str], terms: list[str]) -> DataFrame:

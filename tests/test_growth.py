@@ -65,3 +65,11 @@ def test_units_of_a_text_stay_together(spark):
         (1, 0, 0, "seg", "Act"), (1, 1, 0, "seg", "Hall"), (1, 1, 1, "date", "May 5, 1990"), (1, 2, 0, "track", "01 one"), (1, 3, 0, "track", "02 two"), (1, 4, 0, "track", "03 lone"),
         (3, 0, 0, "seg", "1 a"), (3, 1, 0, "seg", "x"), (3, 2, 0, "seg", "2 b"),
     ]
+
+
+def test_search_keeps_the_best_of_a_group_as_rows_are_read(spark):
+    plan = QUERIES["search_groups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # four groups, none of them sorted whole; names are graded below the joins, so that no recording carries one
+    assert plan.count("TakeOrderedAndProject") == 4
+    joined = plan.split("TakeOrderedAndProject")[1]
+    assert "sort_name" not in joined.split("Join")[0]
