@@ -233,11 +233,17 @@ def voted_dates(mentions: DataFrame, key: str) -> DataFrame:
     another looks up, for each set of parts that others can know, those they have in common.
     """
     rows = mentions.filter("role IS NULL OR role <> 'handling'").withColumn("known", _known(F.col("year"), F.col("month"), F.col("day"))).filter("known > 0")
-    sets = rows.withColumn("common", F.explode(F.expr("filter(sequence(1, 7), s -> (s & known) = s)")))
-    counts = sets.withColumn("code", _code(F.col("common"))).groupBy(key, F.col("known").alias("theirs"), "common", "code").agg(F.count("*").alias("n"))
-    asks = rows.withColumn("theirs", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("common", F.expr("theirs & known")).filter("common > 0")
-    asks = asks.withColumn("code", _code(F.col("common"))).join(counts, [key, "theirs", "common", "code"], "left")
-    rows = asks.groupBy(key, "i", "year", "month", "day", "end_day", "ambiguous", "known").agg((F.sum(F.coalesce("n", F.lit(0))) - 1).alias("agree"))
+    # what a mention adds (n = 1) and what it looks up (n = 0) are cells of one table, dealt by its text alone: one shuffle for all steps
+    cell = lambda theirs, common, n: F.struct(theirs.alias("theirs"), common.alias("common"), F.lit(n).alias("n"))
+    known = F.col("known")
+    adds = F.transform(F.expr("filter(sequence(1, 7), s -> (s & known) = s)"), lambda s: cell(known, s, 1))
+    asks = F.transform(F.expr("filter(sequence(1, 7), s -> (s & known) > 0)"), lambda s: cell(s, s.bitwiseAND(known), 0))
+    # the number is given, for cells are many times what is shuffled
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = rows.repartition(parts, key).select(key, "i", "year", "month", "day", "end_day", "ambiguous", "known", F.explode(F.concat(adds, asks)).alias("cell"))
+    cells = cells.select("*", "cell.*").drop("cell").withColumn("code", _code(F.col("common")))
+    cells = cells.withColumn("like", F.sum("n").over(Window.partitionBy(key, "theirs", "common", "code"))).filter("n = 0")
+    rows = cells.groupBy(key, "i", "year", "month", "day", "end_day", "ambiguous", "known").agg((F.sum("like") - 1).alias("agree"))
     earlier = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     dated = F.when(F.col("year").isNotNull() & (F.bit_count("known") >= 2), F.col("year"))
     late = (F.min(dated).over(earlier) != F.col("year")) | (F.max(dated).over(earlier) != F.col("year"))

@@ -73,3 +73,12 @@ def test_search_keeps_the_best_of_a_group_as_rows_are_read(spark):
     assert plan.count("TakeOrderedAndProject") == 4
     joined = plan.split("TakeOrderedAndProject")[1]
     assert "sort_name" not in joined.split("Join")[0]
+
+
+def test_votes_of_a_text_take_one_shuffle(spark):
+    from cadenza.functions.dates import date_mentions, voted_dates
+
+    texts = spark.createDataFrame([(1, "May 5, 1990\n1990\nMay 5"), (2, "no date")], "id long, body string")
+    votes = voted_dates(date_mentions(texts, "id", "body", 2026), "id")
+    assert _shuffles(votes) == 1
+    assert [(r.id, r.year, r.month, r.day) for r in votes.collect()] == [(1, 1990, 5, 5)]
