@@ -108,19 +108,23 @@ def matched_checksums(entries: DataFrame, tracks: DataFrame, key: str) -> DataFr
     low = lambda c: F.lower(c)
     stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
     plain = low(F.regexp_replace(F.translate("path", "\\", "/"), "^/+|/+$", ""))
-    have = tracks.select(key, "track", plain.alias("path"))
-    have = have.withColumn("name", _last(F.col("path"))).withColumn("stem", stem(F.col("name")))
+    # entries and tracks are rows of one table, dealt by their show alone: one shuffle for all tiers
+    said = entries.select(key, "entry", "checksum", plain.alias("path"), F.lit(None).cast(tracks.schema["track"].dataType).alias("of"))
+    have = tracks.select(key, F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"), F.lit(None).cast("string").alias("checksum"), plain.alias("path"), F.col("track").alias("of"))
+    rows = said.withColumn("is_track", F.lit(False)).unionByName(have.withColumn("is_track", F.lit(True))).filter(F.col(key).isNotNull())
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    rows = rows.withColumn("name", _last(F.col("path"))).withColumn("stem", stem(F.col("name")))
+    is_track = F.col("is_track")
+    show = Window.partitionBy(key)
+    counts = {"tracks": F.count_if(is_track), "entries": F.count_if(~is_track), "named": F.count(F.when(~is_track, F.col("path")))}
+    rows = rows.withColumn("place", F.when(is_track, F.row_number().over(Window.partitionBy(key, "is_track").orderBy("of")) - 1).otherwise(F.col("entry")))
+    rows = rows.select("*", *(n.over(show).alias(c) for c, n in counts.items())).filter("tracks > 0 AND entries > 0")
     # a path with its folders is one track's; of tracks with one path the last counts, of names only those that are one track's
-    by = {"path": have.groupBy(key, "path").agg(F.max("track").alias("by_path"))}
-    for c in ("name", "stem"):
-        by[c] = have.groupBy(key, c).agg(F.max("track").alias(f"by_{c}"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    rows = entries.withColumn("path", plain).withColumn("name", _last(F.col("path"))).withColumn("stem", stem(F.col("name")))
-    for c, found in by.items():
-        rows = rows.join(found, [key, c], "left")
-    counts = entries.groupBy(key).agg(F.count("*").alias("entries"), F.count("path").alias("named"))
-    counts = counts.join(tracks.groupBy(key).agg(F.count("*").alias("tracks")), key)
-    place = have.select(key, F.col("track").alias("by_position"), (F.row_number().over(Window.partitionBy(key).orderBy("track")) - 1).alias("entry"))
-    rows = rows.join(counts, key).join(place, [key, "entry"], "left")
+    for c in ("path", "name", "stem"):
+        same = Window.partitionBy(key, c)
+        one = F.col(c).isNotNull() if c == "path" else F.col(c).isNotNull() & (F.count_if(is_track).over(same) == 1)
+        rows = rows.withColumn(f"by_{c}", F.when(one, F.max("of").over(same)))
+    rows = rows.withColumn("by_position", F.max("of").over(Window.partitionBy(key, "place"))).filter(~is_track)
     position = F.when((F.col("named") == 0) & (F.col("entries") == F.col("tracks")), F.col("by_position"))
     tiers = {"path": F.col("by_path"), "name": F.col("by_name"), "stem": F.col("by_stem"), "position": position}
     rows = rows.withColumn("track", F.coalesce(*tiers.values())).withColumn("tier", F.coalesce(*(F.when(c.isNotNull(), t) for t, c in tiers.items())))

@@ -82,3 +82,35 @@ def test_votes_of_a_text_take_one_shuffle(spark):
     votes = voted_dates(date_mentions(texts, "id", "body", 2026), "id")
     assert _shuffles(votes) == 1
     assert [(r.id, r.year, r.month, r.day) for r in votes.collect()] == [(1, 1990, 5, 5)]
+
+
+def test_checksums_of_a_show_take_one_shuffle(spark):
+    from cadenza.operators.checks import matched_checksums
+
+    entries = spark.createDataFrame([(1, 0, "c0", "a/1.flac"), (1, 1, "c1", "B.flac"), (2, 0, "c2", None), (3, 0, "c3", "x.flac"), (None, 0, "c4", None)], "k long, entry int, checksum string, path string")
+    tracks = spark.createDataFrame([(1, 7, "A\\1.flac"), (1, 8, "b.flac"), (1, 9, "c/b.flac"), (2, 5, None), (4, 1, "y"), (None, 1, None)], "k long, track int, path string")
+    found = matched_checksums(entries, tracks, "k")
+    assert _shuffles(found) <= 2
+    assert sorted(map(tuple, found.collect())) == [(1, 7, "c0", "path"), (1, 8, "c1", "path"), (2, 5, "c2", "position")]
+
+
+def test_rows_of_a_page_are_sorted_once(spark):
+    from cadenza.operators.webpages import show_rows
+
+    page = '<a href="/AppData/x/">A</a><table><tr><td>01-02-90<td>H</tr></table>loose<table><tr><td>01-03-90<td>I</tr></table>'
+    found = show_rows(spark.createDataFrame([(1, page)], "id long, page string"), "id", "page")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.act, r.act_link, r.date, r.venue) for r in found.collect()) == [("A", "/AppData/x/", "01-02-90", "H"), ("loose", None, "01-03-90", "I")]
+
+
+def test_members_are_found_without_their_days(spark):
+    assert "l_shipdate" not in QUERIES["derived_sets"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("musician")[-1].split("genre")[0]
+    assert "count(distinct" not in QUERIES["musician_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_worker_holds_few_pages_at_once(spark):
+    from cadenza.functions.tables import PAGES, page_rows
+
+    rows = page_rows(spark.range(0, 100, 1, 1).selectExpr("id", "'<p>a<p>b' AS page"), "id", "page")
+    assert PAGES <= 100 and rows.count() == 200
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
