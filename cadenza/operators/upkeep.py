@@ -125,7 +125,9 @@ def derived_sets(c: Catalogue) -> DataFrame:
     shows = c.recording.filter("location = 'library' AND kind = 'live' AND NOT is_official AND is_favorite").select(F.col("performance_id").alias("id")).distinct()
     shows = c.performance.join(shows, "id", "left_semi").select("id", "artist_id", "venue_id")
     acts = shows.select(F.col("artist_id").alias("id")).distinct()
-    people = c.membership.join(acts.withColumnRenamed("id", "artist_id"), "artist_id", "left_semi").select(F.col("musician_id").alias("id")).distinct()
+    # a member's days are not asked for: lines are not grouped by stints, and only the acts' orders are joined
+    played = c.table("orders").join(acts, F.col("o_custkey") == F.col("id"), "left_semi").select("o_orderkey")
+    people = c.table("lineitem").select("l_orderkey", "l_suppkey").join(played, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_suppkey").alias("id")).distinct()
     genres = c.artist.join(acts, "id", "left_semi").select(F.col("genre_id").alias("id")).distinct()
     venues = shows.filter("venue_id IS NOT NULL").select(F.col("venue_id").alias("id")).distinct()
     return _union([rows.select(F.lit(name).alias("kind"), F.col("id").cast("long").alias("id")) for name, rows in (("act", acts), ("venue", venues), ("musician", people), ("genre", genres))])
