@@ -41,21 +41,26 @@ def show_rows(pages: DataFrame, key: str, page: str) -> DataFrame:
     short = F.when(F.length(short) <= HEADING, short)
     order = Window.partitionBy(key).orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # what is asked of a row's cells, in place of the cells
+    rows = rows.select(
+        key, "n", "kind", "when", named.alias("named"), short.alias("short"), one_cell.alias("one_cell"), first.alias("first"), F.get("cells", F.lit(1))["text"].alias("venue"),
+        F.coalesce(F.get("cells", F.lit(2))["text"], F.lit("")).alias("source"), (is_row & dated & (F.size("cells") >= 2)).alias("listed"),
+    )
+    first, named, short, one_cell = F.col("first"), F.col("named"), F.col("short"), F.col("one_cell")
     rows = rows.withColumn("table", F.coalesce(F.sum((F.col("kind") == "end").cast("int")).over(before), F.lit(0)))
-    inside = Window.partitionBy(key, "table").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("named", named).withColumn("locked", F.coalesce(F.max("named").over(inside), F.lit(False)))
+    # tables are numbered in page order, so that one sort serves all: the last table with a folder link before is this one
+    rows = rows.withColumn("locked", F.coalesce(F.max(F.when(named, F.col("table"))).over(before) == F.col("table"), F.lit(False)))
     # loose text does not replace the name that a folder link gave, a row of one cell does
     heading = F.when(named, F.struct(first["text"].alias("act"), first["href"].alias("act_link")))
     heading = heading.otherwise(F.when(short.isNotNull() & (one_cell | ~F.col("locked")), F.struct(short.alias("act"), F.lit(None).cast("string").alias("act_link"))))
     rows = rows.withColumn("heading", heading).withColumn("heading", F.last("heading", ignorenulls=True).over(before))
-    rows = rows.filter(is_row & dated & (F.size("cells") >= 2))
+    rows = rows.filter("listed")
     ending = F.lower(F.regexp_extract(F.regexp_replace(first["href"], r"[?#].*$", ""), r"\.([A-Za-z0-9]+)/?$", 1))
     kind = F.when(first["href"].isNull(), "unlinked").when(ending.isin(*PAGES), "page").otherwise("folder")
     act = F.trim(F.regexp_replace("heading.act", r"\s*[:\-]+\s*$", ""))
-    source = F.coalesce(F.get("cells", F.lit(2))["text"], F.lit(""))
     return rows.select(
         key, "n", act.alias("act"), F.col("heading.act_link").alias("act_link"), first["text"].alias("date"), "when.*", first["href"].alias("link"),
-        F.get("cells", F.lit(1))["text"].alias("venue"), source.alias("source"), kind.alias("kind"),
+        "venue", "source", kind.alias("kind"),
     )
 
 
