@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.dates import date_mentions
@@ -40,31 +40,82 @@ def normal(text: Column) -> Column:
     return plain
 
 
-def _blanked(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text with its dates blank."""
-    found = date_mentions(texts.select(F.col(text).alias("t")).filter("t IS NOT NULL").distinct(), "t", "t", LATEST)
-    found = found.groupBy(F.col("t").alias(text)).agg(F.collect_list(F.struct("start", "end")).alias("dates"))
+def _blanked(lines: DataFrame) -> DataFrame:
+    """line, and text: the line with its dates blank."""
+    found = date_mentions(lines, "line", "line", LATEST)
+    found = found.groupBy("line").agg(F.collect_list(F.struct("start", "end")).alias("dates"))
     blank = F.aggregate(
-        F.col("dates"), F.col(text), lambda t, d: F.concat(F.substring(t, F.lit(1), d["start"]), F.repeat(F.lit(" "), d["end"] - d["start"]), F.substring(t, d["end"] + 1, F.length(t)))
+        F.col("dates"), F.col("line"), lambda t, d: F.concat(F.substring(t, F.lit(1), d["start"]), F.repeat(F.lit(" "), d["end"] - d["start"]), F.substring(t, d["end"] + 1, F.length(t)))
     )
-    return texts.select(key, text).join(found, text, "left").select(key, F.coalesce(blank, F.col(text)).alias("text"))
+    return lines.join(found, "line", "left").select("line", F.coalesce(blank, F.col("line")).alias("text"))
 
 
-def _runs(texts: DataFrame, key: str) -> DataFrame:
-    """key, clause, a, b (first word and the one after the last), run, size, and the clause's words: runs that do not cross a comma."""
-    clauses = F.split("text", _CLAUSE)
-    # a comma ends a word's segment
-    pieces = F.regexp_extract_all(F.col("body"), F.lit(r"[^\s,]+,?"), F.lit(0))
-    rows = texts.select(key, F.posexplode(clauses).alias("clause", "body")).withColumn("words", pieces).filter("size(words) > 0")
+def _runs(lines: DataFrame) -> DataFrame:
+    """line, text, clause, a, b (first word and the one after the last), run, name, and the clause's words: runs that do not cross a comma."""
+    rows = lines.select("line", "text", F.posexplode(F.split("text", _CLAUSE)).alias("clause", "body"))
+    rows = rows.select("line", "text", "clause", F.explode(F.array(_words(F.col("body")))).alias("words")).filter("size(words) > 0")
     # three names at most stand at the end, each of a few words
     ends = F.expr(f"sequence(greatest(1, size(words) - {2 * LONGEST}), size(words))")
-    rows = rows.select(key, "clause", "words", F.explode(ends).alias("b"))
+    rows = rows.select("line", "text", "clause", "words", F.explode(ends).alias("b"))
     rows = rows.withColumn("a", F.explode(F.expr(f"sequence(greatest(0, b - {LONGEST}), b - 1)")))
-    run = F.expr("slice(words, a + 1, b - a)")
-    rows = rows.withColumn("run", F.array_join(run, " ")).filter(~F.expr("exists(slice(words, a + 1, b - a - 1), w -> endswith(w, ','))"))
-    rows = rows.withColumn("run", F.regexp_replace("run", ",$", "")).withColumn("name", normal(F.col("run")))
-    # a run begins a segment, or stands inside one
-    return rows.withColumn("opens", (F.col("a") == 0) | F.expr("endswith(get(words, a - 1), ',')")).filter("name <> ''")
+    rows = rows.filter(~F.expr("exists(slice(words, a + 1, b - a - 1), w -> endswith(w, ','))"))
+    rows = rows.withColumn("run", F.regexp_replace(F.array_join(F.expr("slice(words, a + 1, b - a)"), " "), ",$", ""))
+    # a generator's value is computed once, for the filter and for the join
+    return rows.withColumn("name", F.explode(F.array(normal(F.col("run"))))).filter("name <> ''")
+
+
+def _words(clause: Column) -> Column:
+    """Words of a clause; a comma ends a word's segment."""
+    return F.regexp_extract_all(clause, F.lit(r"[^\s,]+,?"), F.lit(0))
+
+
+def _spots(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """line, text, countries, regions, cities: what the gazetteer knows at the ends of a line's clauses; bare: the large city at a clause's end."""
+    found = runs.join(names, "name")
+    before, at_end = F.expr("get(words, a - 1)"), F.col("b") == F.size("words")
+    # what a name may be by itself: a short code is to be written in capitals, unless a city vouches for it
+    letters = F.regexp_replace("run", "[^A-Za-z]", "")
+    written = F.when(F.length(letters) <= 3, letters == F.upper(letters)).otherwise(F.substring(F.trim(F.regexp_replace("run", r"^\(", "")), 1, 1).rlike(r"\p{Lu}"))
+    # a country's full name may be written in any way
+    free = (F.col("sure") & (written | (F.col("kind") == "country") & (F.length(letters) > 3))).alias("free")
+    # a city begins a segment, or stands inside one
+    is_city = (F.col("kind") == "city") & ((F.col("a") == 0) | F.endswith(before, F.lit(",")) | ~F.coalesce(normal(before).isin(*MODIFIERS), F.lit(False)))
+    called = F.coalesce(F.nullif("label", F.lit("")), "run")
+    large = is_city & at_end & (F.col("population") >= LARGE) & called.rlike(r"^\p{Lu}")
+    listed = lambda which, *columns: F.collect_list(F.when(which, F.struct(*columns)))
+    return found.groupBy("line").agg(
+        F.first("text").alias("text"),
+        listed((F.col("kind") == "country") & at_end, "clause", "a", "cc", "label", free).alias("countries"),
+        listed(F.col("kind") == "region", "clause", "a", "b", at_end.alias("last"), "cc", "region", "label", free, F.col("city").alias("says")).alias("regions"),
+        listed(is_city, "clause", "a", "b", "cc", "region", called.alias("city")).alias("cities"),
+        F.max(F.when(large, F.struct("clause", (-F.col("a")).alias("n"), "population", called.alias("city")))).alias("bare"),
+    )
+
+
+def _heads() -> Column:
+    """What stands right of a city: a region before a country, a region at the clause's end, a country."""
+    region = "'a', r.a, 'cc', r.cc, 'region', r.region, 'label', r.label, 'region_free', r.free, 'says', r.says"
+    no_region = "'a', c.a, 'cc', c.cc, 'region', string(NULL), 'label', string(NULL), 'region_free', true, 'says', string(NULL)"
+    country, no_country = "'country', c.label, 'country_free', c.free", "'country', string(NULL), 'country_free', true"
+    return F.expr(
+        f"""concat(
+        flatten(transform(regions, r -> transform(filter(countries, c -> c.clause = r.clause AND c.cc = r.cc AND c.a = r.b), c -> named_struct('clause', r.clause, {region}, {country})))),
+        transform(filter(regions, r -> r.last), r -> named_struct('clause', r.clause, {region}, {no_country})),
+        transform(countries, c -> named_struct('clause', c.clause, {no_region}, {country})))"""
+    )
+
+
+def _readings() -> Column:
+    """city, from, vouched: the cities that a head can have."""
+    # one that the gazetteer knows there
+    known = "transform(filter(cities, c -> c.clause = clause AND c.cc = cc AND c.b = a AND (region IS NULL OR c.region = region)), c -> named_struct('city', c.city, 'from', c.a, 'vouched', true))"
+    # a name that says the city too, with or without the city's own word before it
+    said = "filter(array(named_struct('city', says, 'from', a, 'vouched', true)), x -> x.city IS NOT NULL)"
+    # else the rest of the segment, as it is written; a country after other words of its segment needs a city
+    inside = "region IS NULL AND a > 0 AND NOT coalesce(endswith(get(words, a - 1), ','), true)"
+    good = f"rest <> '' AND NOT rest RLIKE '[0-9]' AND a - begin <= {LONGEST_CITY}"
+    free = f"named_struct('city', if({good}, rest, NULL), 'from', if({good}, begin, a), 'vouched', false)"
+    return F.expr(f"concat({known}, {said}, filter(array({free}), x -> region_free AND country_free AND says IS NULL AND NOT ({inside})))")
 
 
 def peeled(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
@@ -74,67 +125,47 @@ def peeled(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataF
     a clause stands for itself, without a country, at low confidence.  ``left`` is what the clause says before
     the place, ``venue`` that, else the clause after ``@``, else the clause before, else the one after.
     High confidence: the gazetteer knows the city in that region or country.  Null and blank texts give no rows.
+
+    Equal lines are read once.  A line's runs are joined with the gazetteer once; what they mean
+    together is read from the line's own list of what was found, without a further shuffle.
     """
-    blank = _blanked(texts, key, text)
-    runs = _runs(blank, key)
+    lines = texts.select(key, F.col(text).alias("line")).filter("line IS NOT NULL")
+    return lines.join(_places(lines.select("line").distinct(), gazetteer), "line").drop("line")
+
+
+def _places(lines: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """line, city, region, country, left, venue, confidence: a row per line (each once) that ends in a place."""
     names = gazetteer.withColumn("name", normal(F.col("name")))
-    spot = [key, "clause"]
-    end = F.size("words")
-    found = runs.join(names, "name")
-    # what a name may be by itself: a short code is to be written in capitals, unless a city vouches for it
-    letters = F.regexp_replace("run", "[^A-Za-z]", "")
-    written = F.when(F.length(letters) <= 3, letters == F.upper(letters)).otherwise(F.substring(F.trim(F.regexp_replace("run", r"^\(", "")), 1, 1).rlike(r"\p{Lu}"))
-    # a country's full name may be written in any way
-    found = found.withColumn("free", F.col("sure") & (written | (F.col("kind") == "country") & (F.length(letters) > 3)))
-    country = found.filter("kind = 'country'").filter(F.col("b") == end).select(*spot, F.col("a").alias("at"), "cc", F.col("label").alias("country"), F.col("free").alias("country_free"))
-    region = found.filter("kind = 'region'").select(*spot, "a", "b", "cc", "region", F.col("label"), F.col("free").alias("region_free"), F.col("city").alias("says"), end.alias("size"))
-    city = found.filter("kind = 'city'").select(*spot, F.col("a").alias("city_a"), F.col("b").alias("city_b"), "cc", F.col("region").alias("city_region"), F.coalesce(F.nullif("label", F.lit("")), "run").alias("run"), "opens", "words", "population")
-    city = city.filter(F.col("opens") | ~F.coalesce(normal(F.expr("get(words, city_a - 1)")).isin(*MODIFIERS), F.lit(False)))
-
-    # heads: what stands right of the city
-    both = region.join(country, [*spot, "cc"]).filter(F.col("b") == F.col("at")).drop("at", "size")
-    last = region.filter(F.col("b") == F.col("size")).drop("size").withColumn("country", F.lit(None).cast("string")).withColumn("country_free", F.lit(True))
-    alone = country.select(*spot, F.col("at").alias("a"), "cc", F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("region_free"), F.lit(None).cast("string").alias("says"), "country", "country_free")
-    columns = [*spot, "a", "cc", "region", "label", "region_free", "says", "country", "country_free"]
-    heads = reduce(DataFrame.unionByName, [x.select(*columns) for x in (both, last, alone)])
-
-    # a city that the gazetteer knows there
-    known = city.select(*spot, "city_a", "city_b", "cc", "city_region", "run")
-    known = heads.join(known.withColumnsRenamed({key: "k_", "clause": "c_", "cc": "cc_"}), (F.col(key).eqNullSafe(F.col("k_"))) & (F.col("clause") == F.col("c_")) & (F.col("cc") == F.col("cc_")) & (F.col("a") == F.col("city_b")))
-    known = known.filter(F.col("region").isNull() | (F.col("region") == F.col("city_region")))
-    known = known.select(*columns, F.col("run").alias("city"), F.col("city_a").alias("from"), F.lit(True).alias("vouched"))
-    # a name that says the city too, with or without the city's own word before it
-    said = heads.filter("says IS NOT NULL").select(*columns, F.col("says").alias("city"), F.col("a").alias("from"), F.lit(True).alias("vouched"))
-    # else the rest of the segment, as it is written
-    free = heads.filter("region_free AND country_free AND says IS NULL")
-    clause = runs.select(*spot, "words").dropDuplicates(spot)
-    free = free.join(clause, spot)
+    spots = _spots(_runs(_blanked(lines)), names)
+    heads = spots.select("line", "text", "bare", "cities", F.explode_outer(_heads()).alias("h")).select("line", "text", "bare", "cities", "h.*")
+    heads = heads.withColumn("words", F.explode_outer(F.array(_words(F.get(F.split("text", _CLAUSE), F.col("clause"))))))
     begin = F.expr("coalesce(array_max(filter(sequence(1, greatest(a - 1, 1)), i -> i < a AND endswith(get(words, i - 1), ','))), 0)")
-    free = free.withColumn("from", begin).withColumn("city", F.regexp_replace(F.array_join(F.expr("slice(words, from + 1, a - from)"), " "), ",$", ""))
-    good = (F.col("city") != "") & ~F.col("city").rlike("[0-9]") & (F.col("a") - F.col("from") <= LONGEST_CITY)
-    free = free.withColumn("city", F.when(good, F.col("city"))).withColumn("from", F.when(good, F.col("from")).otherwise(F.col("a")))
-    # a country after other words of its segment needs a city
-    inside = F.col("region").isNull() & (F.col("a") > 0) & ~F.coalesce(F.expr("endswith(get(words, a - 1), ',')"), F.lit(True))
-    free = free.filter(~inside).select(*columns, "city", "from", F.lit(False).alias("vouched"))
-
-    readings = reduce(DataFrame.unionByName, [known, said, free])
-    rank = [F.col("clause"), F.col("vouched").cast("int"), F.col("country").isNotNull().cast("int"), F.col("region").isNotNull().cast("int"), -F.col("from"), F.col("cc") == "US", F.col("cc")]
-    best = readings.groupBy(key).agg(F.max(F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), "region", "label", "city", "from", "vouched", "country")).alias("x"))
-    best = best.select(key, F.col("x.r0").alias("clause"), "x.region", "x.label", "x.city", "x.from", "x.vouched", "x.country", F.col("x.r6").alias("cc"))
+    heads = heads.withColumn("begin", F.explode_outer(F.array(begin)))
+    heads = heads.withColumn("rest", F.explode_outer(F.array(F.regexp_replace(F.array_join(F.expr("slice(words, begin + 1, a - begin)"), " "), ",$", ""))))
+    readings = heads.withColumn("o", F.explode_outer(_readings()))
+    rank = [F.col("clause"), F.col("o.vouched").cast("int"), F.col("country").isNotNull().cast("int"), F.col("region").isNotNull().cast("int"), -F.col("o.from"), F.col("cc") == "US", F.col("cc")]
+    reading = F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), "region", "label", "o.city", "o.from", "o.vouched", "country")
+    best = readings.groupBy("line").agg(F.first("text").alias("text"), F.first("bare").alias("bare"), F.max(F.when(F.col("o").isNotNull(), reading)).alias("x")).filter("x IS NOT NULL OR bare IS NOT NULL")
+    # where nothing else is known, a large city
+    either = lambda read, bare: F.when(F.col("x").isNotNull(), F.col(read)).otherwise(bare)
+    confidence = F.when(F.col("x").isNull(), "low").when(F.col("x.vouched"), "high").otherwise("medium")
+    best = best.select(
+        "line",
+        "text",
+        either("x.r0", F.col("bare.clause")).alias("clause"),
+        either("x.city", F.col("bare.city")).alias("city"),
+        either("x.from", -F.col("bare.n")).alias("from"),
+        F.col("x.label").alias("region"),
+        "x.country",
+        F.col("x.r6").alias("cc"),
+        confidence.alias("confidence"),
+    )
     states = names.filter("kind = 'country'").groupBy("cc").agg(F.max("label").alias("of_cc"))
-    best = best.join(F.broadcast(states), "cc", "left").withColumn("country", F.coalesce("country", "of_cc")).drop("of_cc", "cc")
-    best = best.withColumn("confidence", F.when(F.col("vouched"), "high").otherwise("medium")).drop("vouched", "region").withColumnRenamed("label", "region")
-
-    bare = city.filter((F.col("city_b") == F.size("words")) & (F.col("population") >= LARGE) & F.col("run").rlike(r"^\p{Lu}"))
-    bare = bare.groupBy(key).agg(F.max(F.struct("clause", (-F.col("city_a")).alias("n"), "population", F.col("run").alias("city"))).alias("x")).join(best.select(key), key, "left_anti")
-    nothing = F.lit(None).cast("string")
-    bare = bare.select(key, "x.clause", nothing.alias("region"), "x.city", (-F.col("x.n")).alias("from"), nothing.alias("country"), F.lit("low").alias("confidence"))
-    out = best.unionByName(bare.select(*best.columns)).join(blank, key)
+    out = best.join(F.broadcast(states), "cc", "left").withColumn("country", F.coalesce("country", "of_cc"))
 
     # the clauses around it
     parts = F.transform(F.split("text", _CLAUSE), F.trim)
-    words = F.regexp_extract_all(F.get(parts, F.col("clause")), F.lit(r"[^\s,]+,?"), F.lit(0))
-    left = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("from")), " "), r"[\s,]+$", "")
+    left = F.regexp_replace(F.array_join(F.slice(_words(F.get(parts, F.col("clause"))), F.lit(1), F.col("from")), " "), r"[\s,]+$", "")
     signs = F.regexp_extract_all(F.col("text"), F.lit(_CLAUSE), F.lit(0))
     out = out.withColumn("left", left).withColumn("parts", parts).withColumn("signs", signs)
     after, before = F.get("parts", F.col("clause") + 1), F.get("parts", F.col("clause") - 1)
@@ -142,7 +173,7 @@ def peeled(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataF
     full = lambda c: F.nullif(c, F.lit(""))
     venue = F.coalesce(full(F.col("left")), full(at), full(before), full(after), F.lit(""))
     shown = F.when((F.col("city") == F.upper("city")) | (F.col("city") == F.lower("city")), F.initcap("city")).otherwise(F.col("city"))
-    return out.select(key, shown.alias("city"), "region", "country", "left", venue.alias("venue"), "confidence")
+    return out.select("line", shown.alias("city"), "region", "country", "left", venue.alias("venue"), "confidence")
 
 
 def gazetteer(c: Catalogue) -> DataFrame:
