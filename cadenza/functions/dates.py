@@ -38,7 +38,8 @@ _MONTH = {name: i + 1 for i, name in enumerate(MONTHS)} | {name: MONTHS.index(ne
 #: Kinds of words and signs; all else is "w".  Digits: Y year, n one, d two, F four that are no year, N others; q two unknown digits, Q four.
 _WORDS = {"of": "f", "or": "a", "and": "R", "thru": "r", "through": "r", "to": "r", "until": "u", "xx": "x", "st": "o", "nd": "o", "rd": "o", "th": "o"} | dict.fromkeys(_MONTH, "M")
 _SIGNS = {"-": "-", "–": "e", "—": "e", "&": "&", ".": ".", "/": "/", ",": ",", ":": ":", "'": "'", " ": " ", "\t": " ", "??": "q", "????": "Q"}
-_DIGIT = re.compile("[0-9]")
+#: One, two or four digits: no notation is without them.
+_DIGITS = re.compile("(?<![0-9])(?:[0-9]{1,2}|[0-9]{4})(?![0-9])")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\?+|.", re.S)
 
 
@@ -137,8 +138,7 @@ def pivoted(year: int, latest: int) -> int:
 
 def read_dates(text: str | None, latest: int) -> list[Mention]:
     """All mentions in text order."""
-    # no notation is without digits
-    if not text or not _DIGIT.search(text):
+    if not text or not _DIGITS.search(text):
         return []
     tokens = list(_TOKEN.finditer(text))
     kinds = "".join(_kind(t[0]) for t in tokens)

@@ -107,6 +107,24 @@ class Texts:
         return out
 
 
+class Present:
+    """Units whose features are there or not: off (first unit of each text), has (units, features), and allowed roles."""
+
+    def __init__(self, model: Model, off: np.ndarray, kinds: Sequence[str], kind: np.ndarray, features: Sequence[str], has: np.ndarray):
+        self.off = off
+        self.may = np.array([model.allowed.get(k, np.zeros(model.n, bool)) for k in kinds], bool)[kind]
+        place = {f: i for i, f in enumerate(features)}
+        for r, needed in model.needs:
+            self.may[~has[:, place[needed]] if needed in place else slice(None), r] = False
+        used = [f for f in model.features if f in place]
+        self.has, self.row = has[:, [place[f] for f in used]], [model.row[f] for f in used]
+
+    def scores(self, model: Model) -> np.ndarray:
+        out = self.has.astype(float) @ model.e[self.row] + model.b
+        out[~self.may] = NEVER
+        return out
+
+
 def best_paths(scores: np.ndarray, off: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
     """The role of every unit on its text's best path; the first of equal ones.  Units without any role get -1."""
     lengths = np.diff(off)
@@ -114,20 +132,25 @@ def best_paths(scores: np.ndarray, off: np.ndarray, start: np.ndarray, step: np.
     by = np.argsort(-lengths, kind="stable")
     first, alive = off[:-1][by], np.searchsorted(-lengths[by], -np.arange(longest), "left")
     back = np.full(scores.shape, -1, np.int64)
-    best = np.empty((len(by), len(start)))
+    best = np.empty((len(start), len(by)))  # by role, so that all texts of a role lie side by side
     for i in range(longest):
         k = int(alive[i])
         at = first[:k] + i
+        now = best[:, :k]
         if i == 0:
-            best[:k] = scores[at] + start
-        else:
-            ways = best[:k, :, None] + step
-            back[at] = ways.argmax(1)
-            best[:k] = ways.max(1) + scores[at]
+            now[:] = (scores[at] + start).T
+            continue
+        most, of = now[0] + step[0][:, None], np.zeros((len(start), k), np.int64)
+        for a in range(1, len(start)):
+            way = now[a] + step[a][:, None]
+            of[way > most] = a  # the first of equal ones stays
+            np.maximum(most, way, most)
+        back[at] = of.T
+        now[:] = most + scores[at].T
     path = np.full(len(scores), -1, np.int64)
     last = by[lengths[by] > 0]
-    role = best[: len(last)].argmax(1)
-    role[~np.isfinite(best[: len(last)].max(1, initial=NEVER))] = -1
+    role = best[:, : len(last)].argmax(0)
+    role[~np.isfinite(best[:, : len(last)].max(0, initial=NEVER))] = -1
     for i in range(longest - 1, -1, -1):
         k = int(alive[i])
         at = first[:k] + i

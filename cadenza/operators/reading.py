@@ -1,153 +1,126 @@
 """Info texts read as units with features, and the units' roles decoded.
 
-Lines, segments and features are expressions; names of acts and venues are found by joins on
-their normal form, so that a library of any size is no per-row dictionary.  A unit is a stretch of one line:
-a date, a numbered track, a connector word, or a segment between separators.
+A unit is a stretch of one line: a date, a numbered track, a connector word, or a segment between separators.
+Texts are read in Arrow batches, where they are; names of acts and venues are found by joins on
+their normal form, so that a library of any size is no per-row dictionary.  What is shuffled are texts and
+names that were found, never units.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cadenza.functions.dates import read_dates
-from cadenza.functions.decoding import Weights, decoded
+from cadenza.functions.decoding import Model, Present, Weights, best_paths
+from cadenza.functions.units import FEATURES, KINDS, Units, slices
 from cadenza.operators.dated import LATEST
 from cadenza.sources.catalogue import Catalogue
 
-# Words that tell what a segment is, and the labels before a colon.
-VENUE_WORDS = "theatre theater hall club arena ballroom auditorium stadium center centre park cafe lounge tavern".split()
-SOURCE_WORDS = "sbd soundboard aud audience fm matrix dat cassette flac shn master".split()
-CONNECTORS = "with feat featuring".split()
-LABELS = {"source": "source", "lineage": "lineage", "venue": "venue", "artist": "artist", "date": "date", "taper": "notes", "notes": "notes"}
-_BREAK, _DATE = "\u0001", "\u0002"
-
 
 def normal(text: Column) -> Column:
     """Lower case, letters and digits with single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line (from 0, blank ones not counted), block (blank lines before it that follow a text line), text."""
-    return texts.select(key, F.posexplode(_lines(text)).alias("line", "x")).select(key, "line", "x.block", "x.text")
-
+def units(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line (from 0, blank ones not counted), block, pos (in its line), last (pos of the line's last), kind, label, text, role (of a date): a row per unit.
 
-def _lines(text: str) -> Column:
-    blocks = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n\s*"), lambda b: F.trim(b) != "")
-    rows = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.split(b, "\n"), lambda x: F.struct(i.alias("block"), F.trim(x).alias("text")))))
-    return F.filter(rows, lambda x: x["text"] != "")
+    A numbered line is a track only beside another one.  Null and blank texts have no units.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = Units(part.column(1), LATEST)
+                numbers = [pa.array(x.astype(np.int32)) for x in (found.line, found.block, found.pos, found.last)]
+                of = [found.of_forms([f(u) for u in found.forms], pa.string()) for f in (lambda u: KINDS[u.kind], lambda u: u.label, lambda u: u.text, lambda u: u.role)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.text)), *numbers, *of], names=names)
 
-@lru_cache(20_000)
-def _dates(text: str) -> list[dict]:
-    return [{"start": m.start, "end": m.end, "role": m.role} for m in read_dates(text, LATEST)]
+    names = [key, "line", "block", "pos", "last", "kind", "label", "text", "role"]
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {_type(texts, key)}, line int, block int, pos int, last int, kind string, label string, text string, role string")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("role", T.StringType())])))
-def line_dates(text: pd.Series) -> pd.Series:
-    """Place and role of each date of a line, in order; none of null."""
-    return pd.Series([[] if x is None else _dates(x) for x in text], dtype="object")
+def _type(texts: DataFrame, key: str) -> str:
+    return texts.schema[key].dataType.simpleString()
 
 
-def units(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line, block, pos (in its line), last (pos of the line's last), kind, label, text, role (of a date): a row per unit.
+def with_known(texts: DataFrame, key: str, text: str, acts: DataFrame, venues: DataFrame) -> DataFrame:
+    """key, text, known: each text with those of its segments' cores that are names, and whether of an act or of a venue.
 
-    A numbered line is a track only beside another one.  Null and blank texts have no units.
+    ``acts`` and ``venues`` have a column ``name``.  A core goes to the names once for all texts of a batch.
     """
-    # a text's lines are one array, so that neighbours are found without a shuffle; dates are read where the line is
-    rows = texts.select(key, _lines(text).alias("of")).withColumn("numbered", F.transform("of", lambda x: x["text"].rlike(r"^\d{1,2}[ .)-]+\S")))
-    rows = rows.select(key, "numbered", F.posexplode("of").alias("line", "x"))
-    track = F.get("numbered", F.col("line")) & (F.coalesce(F.get("numbered", F.col("line") - 1), F.lit(False)) | F.coalesce(F.get("numbered", F.col("line") + 1), F.lit(False)))
-    plain = rows.select(key, "line", "x.block", "x.text", track.alias("track"))
-    plain = plain.withColumn("dates", line_dates(F.when(~F.col("track"), F.col("text"))))
-    # a date becomes a mark with its number, and every separator a break
-    marked = F.aggregate(
-        F.transform(F.reverse("dates"), lambda d, i: F.struct(d["start"].alias("a"), d["end"].alias("b"), (F.size("dates") - 1 - i).alias("n"))),
-        F.col("text"),
-        lambda t, d: F.concat(F.substring(t, F.lit(1), d["a"]), F.lit(_BREAK + _DATE), d["n"].cast("string"), F.lit(_BREAK), _rest(t, d["b"])),
-    )
-    label = F.lower(F.regexp_extract("text", r"^([A-Za-z][A-Za-z ]{0,24}):[ \t]+\S", 1))
-    label = F.when(label.isin(*LABELS), label)
-    body = F.when(label.isNotNull(), F.regexp_replace(marked, r"^[A-Za-z][A-Za-z ]{0,24}:[ \t]+", "")).otherwise(marked)
-    words = "|".join(CONNECTORS)
-    body = F.regexp_replace(body, rf"(?i)(?<=\s)({words})\.?(?=\s)", f"{_BREAK}$1{_BREAK}")
-    pieces = F.filter(F.transform(F.split(body, f"[,;{_BREAK}]| - | @ "), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    pieces = F.when(F.col("track"), F.array("text")).otherwise(pieces)
-    plain = plain.select(key, "line", "block", "track", "text", F.when(~F.col("track"), label).alias("label"), "dates", pieces.alias("pieces"))
-    plain = plain.select(key, "line", "block", "track", (F.size("pieces") - 1).alias("last"), "label", F.col("text").alias("whole"), "dates", F.posexplode("pieces").alias("pos", "text"))
-    date = F.get("dates", F.substring("text", F.lit(2), F.lit(9)).try_cast("int"))
-    is_date = ~F.col("track") & F.col("text").startswith(_DATE)
-    return plain.select(
-        key, "line", "block", "pos", "last",
-        F.when(F.col("track"), "track").when(is_date, "date").otherwise("seg").alias("kind"), "label",
-        F.when(is_date, F.substring("whole", date["start"] + 1, date["end"] - date["start"])).otherwise(F.col("text")).alias("text"),
-        F.when(is_date, date["role"]).alias("role"),
-    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = Units(part.column(1), LATEST)
+                code, of = found.named()
+                every, first = np.unique(code, return_index=True)
+                keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), part.column(0).take(pa.array(of)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.cores, pa.string()).take(pa.array(every)), keys], names=["core", "of"])
 
-def _rest(text: Column, start: Column) -> Column:
-    return F.substring(text, start + 1, F.length(text))
+    names = acts.select(normal(F.col("name")).alias("core"), F.lit(True).alias("lib_artist"), F.lit(False).alias("lib_venue"))
+    names = names.unionByName(venues.select(normal(F.col("name")).alias("core"), F.lit(False).alias("lib_artist"), F.lit(True).alias("lib_venue")))
+    names = names.filter("core <> ''").groupBy("core").agg(F.max("lib_artist").alias("lib_artist"), F.max("lib_venue").alias("lib_venue"))
+    cores = texts.select(key, text).mapInArrow(run, f"core string, of array<{_type(texts, key)}>")
+    found = cores.join(names, "core").select(F.explode("of").alias(key), F.struct("core", "lib_artist", "lib_venue").alias("x"))
+    return texts.select(key, text).join(found.groupBy(key).agg(F.collect_list("x").alias("known")), key, "left")
 
 
-def unit_features(found: DataFrame, key: str, acts: DataFrame, venues: DataFrame) -> DataFrame:
-    """key, line, pos, kind, text, feats (names, sorted): what is known of each unit of ``units`` and of its neighbours.
+def feature_rows(texts: DataFrame, key: str) -> DataFrame:
+    """feature (its place in FEATURES; null: all of one text), key, n: from texts ``with_known``.
 
-    ``acts`` and ``venues`` have a column ``name``.
+    For each feature how many units have it, some at a time and without a key; for each text a row whose n has a bit for each of its features.
     """
-    rows = found.withColumn("core", F.when(F.col("kind") == "seg", normal(F.col("text"))))
-    # only places of known names meet them; what is found returns to the text, whose units stay together from here on
-    names = acts.select(normal(F.col("name")).alias("core"), F.lit(True).alias("lib_artist"), F.lit(False).alias("lib_venue"))
-    names = names.unionByName(venues.select(normal(F.col("name")).alias("core"), F.lit(False).alias("lib_artist"), F.lit(True).alias("lib_venue")))
-    names = names.filter("core <> ''").groupBy("core").agg(F.max("lib_artist").alias("lib_artist"), F.max("lib_venue").alias("lib_venue"))
-    known = rows.filter("core <> ''").select(key, "line", "pos", "core").join(names, "core")
-    known = known.groupBy(key).agg(F.collect_list(F.struct("line", "pos", "lib_artist", "lib_venue")).alias("known"))
-    rows = rows.join(known, key, "left")
-    for name in ("lib_artist", "lib_venue"):
-        rows = rows.withColumn(name, F.expr(f"exists(known, k -> k.line = line AND k.pos = pos AND k.{name})"))
-    rows = rows.drop("known")
-    order = Window.partitionBy(key).orderBy("line", "pos")
-    by_line = Window.partitionBy(key).orderBy("line").rangeBetween(-1, -1)
-    connector = (F.col("kind") == "seg") & F.col("core").isin(*CONNECTORS)
-    rows = rows.withColumn("connector", F.coalesce(connector, F.lit(False)))
-    rows = rows.withColumn("next_connector", F.lead("connector").over(order)).withColumn("last_connector", F.lag("connector").over(order))
-    rows = rows.withColumn("date_before", F.max(F.col("kind") == "date").over(by_line))
-    seg, date = F.col("kind") == "seg", F.col("kind") == "date"
-    # what several features ask for is a column, computed once
-    rows = rows.withColumn("letters", F.when(seg, F.regexp_replace("text", "[^A-Za-z]", ""))).withColumn("n", F.size(F.split("core", " ")))
-    n, text, core, letters = F.col("n"), F.col("text"), F.col("core"), F.col("letters")
-    upper, lower = (letters != "") & (letters == F.upper(letters)), (letters != "") & (letters == F.lower(letters))
-    has = lambda words: core.rlike(rf"(^| )({'|'.join(words)})( |$)")
-    line = F.col("line")
-    conditions = {
-        "line0": line == 0, "line1": line == 1, "line2_3": line.between(2, 3), "line4_8": line.between(4, 8), "line_late": line > 8,
-        "block_later": F.col("block") > 0, "first_in_line": F.col("pos") == 0, "after_first": F.col("pos") > 0,
-        "date_nonshow": date & (F.col("role") == "handling"), "date_show": date & ~F.col("role").eqNullSafe("handling"),
-        "numbered_track": F.col("kind") == "track",
-        "w1": seg & (n == 1), "w2_4": seg & n.between(2, 4), "w5_7": seg & n.between(5, 7), "w8p": seg & (n > 7),
-        "all_caps": seg & upper, "all_lower": seg & lower, "starts_lower": seg & text.rlike("^[^A-Za-z]*[a-z]"),
-        "title_case": seg & ~upper & text.rlike("[A-Z]") & ~text.rlike("(^|[^A-Za-z0-9])[a-z]"),
-        "has_digit": seg & text.rlike("[0-9]"), "has_clock": seg & text.rlike("[0-9]{1,2}:[0-9]{2}"), "has_gt": seg & text.contains(">"),
-        "venue_word": seg & has(VENUE_WORDS), "source_kw": seg & has(SOURCE_WORDS), "connector_word": F.col("connector"),
-        "next_is_connector": seg & F.col("next_connector"), "prev_is_connector": seg & F.col("last_connector"),
-        "prev_line_date": seg & (F.col("pos") == 0) & F.col("date_before"),
-        "lib_artist": F.col("lib_artist"), "lib_venue": F.col("lib_venue"),
-    }
-    conditions |= {f"label_{kind}": seg & F.col("label").isin(*(x for x, k in LABELS.items() if k == kind)) for kind in LABELS.values()}
-    names = [F.when(conditions[name], name) for name in sorted(conditions)]
-    return rows.select(key, "line", "pos", "kind", "text", F.array_compact(F.array(*names)).alias("feats"))
-
-
-def as_texts(rows: DataFrame, key: str) -> DataFrame:
-    """key, units: the units of each text in order, each feature with value 1."""
-    ordered = F.sort_array(F.collect_list(F.struct("line", "pos", "kind", "feats", "text")))
-    out = rows.groupBy(key).agg(ordered.alias("x"))
-    feats = lambda x: F.map_from_entries(F.transform(x["feats"], lambda f: F.struct(f, F.lit(1.0))))
-    return out.select(key, "x", F.transform("x", lambda x: F.struct(x["kind"].alias("kind"), feats(x).alias("feats"))).alias("units"))
+    bits = 1 << np.arange(len(FEATURES), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = Units(part.column(1), LATEST)
+                has = found.features(part.column(2))
+                full = np.flatnonzero(np.diff(found.off))
+                of_text = np.logical_or.reduceat(has, found.off[full], 0) @ bits if len(full) else np.empty(0, np.int64)
+                every = len(FEATURES)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(np.arange(every, dtype=np.int32)), pa.nulls(len(full), pa.int32())]),
+                        pa.concat_arrays([pa.nulls(every, part.schema.field(0).type), part.column(0).take(pa.array(full))]),
+                        pa.array(np.concatenate([has.sum(0), of_text])),
+                    ],
+                    names=["feature", key, "n"],
+                )
+
+    return texts.mapInArrow(run, f"feature int, `{key}` {_type(texts, key)}, n long")
+
+
+def roles(texts: DataFrame, key: str, weights: Weights) -> DataFrame:
+    """key, line, pos, text, role: every unit of texts ``with_known``, with its role on its text's best path."""
+    names = pa.array([*weights.roles, None], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(weights, sorted({f for f, _ in weights.emission}))
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = Units(part.column(1), LATEST)
+                has = Present(model, found.off, KINDS, found.kind, FEATURES, found.features(part.column(2)))
+                path = best_paths(has.scores(model), found.off, model.s, model.t)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(found.text)),
+                        pa.array(found.line.astype(np.int32)),
+                        pa.array(found.pos.astype(np.int32)),
+                        found.of_forms([u.text for u in found.forms], pa.string()),
+                        names.take(pa.array(np.where(path < 0, len(names) - 1, path))),
+                    ],
+                    names=[key, "line", "pos", "text", "role"],
+                )
+
+    return texts.mapInArrow(run, f"`{key}` {_type(texts, key)}, line int, pos int, text string, role string")
 
 
 #: Roles and weights for headers of info texts, set by hand.
@@ -176,9 +149,11 @@ def info_texts(c: Catalogue) -> DataFrame:
     )
     acts = c.table("customer").select(F.col("c_custkey").alias("act"), F.regexp_replace("c_name", "[^A-Za-z0-9]", " ").alias("name"))
     venues = c.venue.select("id", "name", "city", "state")
-    # a venue for every seventh act number
-    shows = shows.join(acts, "act").join(acts.select(F.col("act").alias("guest"), F.col("name").alias("second")), "guest", "left")
-    shows = shows.withColumn("venue_id", F.col("id") % 7 + 1).join(venues.select(F.col("id").alias("venue_id"), F.col("name").alias("hall"), "city", "state"), "venue_id")
+    # guests and venues are the first seven of their tables, however many rows these have
+    guests = acts.filter(F.col("act").between(1, 7)).select(F.col("act").alias("guest"), F.col("name").alias("second"))
+    halls = venues.filter(F.col("id").between(1, 7)).select(F.col("id").alias("venue_id"), F.col("name").alias("hall"), "city", "state")
+    shows = shows.join(acts, "act").join(F.broadcast(guests), "guest", "left")
+    shows = shows.withColumn("venue_id", F.col("id") % 7 + 1).join(F.broadcast(halls), "venue_id")
     body = F.concat(
         F.col("name"), F.when(F.col("second").isNotNull(), F.concat(F.lit(" with "), F.col("second"))).otherwise(""), F.lit("\n"),
         F.regexp_replace("hall", "[^A-Za-z0-9]", " "), F.lit(", "), F.col("city"), F.lit(", "), F.col("state"), F.lit("\n"),
@@ -188,22 +163,20 @@ def info_texts(c: Catalogue) -> DataFrame:
     return shows.select("id", body.alias("body"))
 
 
-def _features(c: Catalogue) -> DataFrame:
+def _known(c: Catalogue) -> DataFrame:
     acts = c.table("customer").select(F.regexp_replace("c_name", "[^A-Za-z0-9]", " ").alias("name"))
-    return unit_features(units(info_texts(c), "id", "body"), "id", acts, c.venue.select("name"))
+    return with_known(info_texts(c), "id", "body", acts, c.venue.select("name"))
 
 
 def feature_counts(c: Catalogue) -> DataFrame:
     """How many units and texts have each feature."""
-    texts = _features(c).groupBy("id").agg(F.flatten(F.collect_list("feats")).alias("all"))
-    # all of a text's features, and each of them once
-    both = F.array(F.struct(F.lit(False).alias("once"), F.col("all").alias("f")), F.struct(F.lit(True).alias("once"), F.array_distinct("all").alias("f")))
-    rows = texts.select(F.explode(both).alias("x")).select("x.once", F.explode("x.f").alias("feature"))
-    return rows.groupBy("feature").agg(F.count_if(~F.col("once")).alias("n_units"), F.count_if("once").alias("n_texts"))
+    rows = feature_rows(_known(c), "id")
+    # rows of one text are one text
+    rows = rows.groupBy("feature", "id").agg(F.sum("n").alias("n"), F.bit_or("n").alias("bits"))
+    has = [F.struct(F.lit(f).alias("feature"), F.coalesce(F.sum(F.when(F.col("feature") == i, F.col("n"))), F.lit(0)).alias("n_units"), F.count_if(F.col("feature").isNull() & (F.getbit("bits", F.lit(i)) == 1)).alias("n_texts")) for i, f in enumerate(FEATURES)]
+    return rows.agg(F.array(*has).alias("x")).select(F.inline("x")).filter("n_units > 0")
 
 
 def decoded_roles(c: Catalogue) -> DataFrame:
     """The role of every unit."""
-    roles = decoded(as_texts(_features(c), "id"), "id", "units", WEIGHTS, ["x"])
-    roles = roles.select("id", F.explode(F.arrays_zip("x", "decoded")).alias("u"))
-    return roles.select("id", F.col("u.x.line").alias("line"), F.col("u.x.pos").alias("pos"), F.col("u.x.text").alias("text"), F.col("u.decoded.role").alias("role"))
+    return roles(_known(c), "id", WEIGHTS)
