@@ -52,3 +52,16 @@ def test_rows_that_stand_twice_are_texts_of_their_own(spark, tmp_path, name):
     con = connect(str(tmp_path))
     con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert not differences(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_features_of_a_text_count_once(spark):
+    from cadenza.operators.reading import feature_rows, with_known
+
+    texts = spark.createDataFrame([(1, "Act, act\nHall"), (2, None), (3, ""), (1, "Act"), (None, "Hall")], "id long, body string").repartition(2)
+    acts, venues = spark.createDataFrame([("ACT",)], "name string"), spark.createDataFrame([("hall",), (None,), ("act",)], "name string")
+    rows = feature_rows(with_known(texts, "id", "body", acts, venues), "id").collect()
+    n = {f: sum(r.n for r in rows if r.feature == i) for i, f in enumerate(units.FEATURES)}
+    assert (n["lib_artist"], n["lib_venue"], n["line0"], n["line1"], n["after_first"], n["w1"]) == (3, 4, 4, 1, 1, 5)
+    # a name is found by its text's key, so not in a text without one; texts without units have no row
+    bits = sorted((str(r.id), r.n >> units.PLACE["lib_venue"] & 1) for r in rows if r.feature is None)
+    assert bits == [("1", 1), ("1", 1), ("None", 0)]
